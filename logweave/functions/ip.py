@@ -11,6 +11,8 @@ from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from logweave.functions.once import once
+
 # Address blocks not reachable globally (IANA special-purpose registries),
 # and the blocks inside them that are.
 PRIVATE = (
@@ -48,8 +50,7 @@ def _groups_hex(part: Column) -> Column:
 def with_ip_hex(df: DataFrame, text: Column, column: str) -> DataFrame:
     """Add ``column``: hex form of the address in ``text``, NULL for anything that is none.
 
-    Built in steps, each a projection of its own, so that no step is evaluated twice and
-    the generated code stays small. Version-6 work is done only for texts with a colon.
+    Built in steps, each a projection of its own, so that the generated code stays small. Version-6 work is done only for texts with a colon.
     """
     t, v4, a, tail, head, rest = (f"_ip{i}" for i in range(6))
     df = df.withColumn(t, text)
@@ -84,7 +85,7 @@ def with_ip_hex(df: DataFrame, text: Column, column: str) -> DataFrame:
     missing = F.lit(32) - F.length(head) - F.length(rest)
     well_formed = (gap & (missing >= 4)) | (~gap & (missing == 0))
     v6 = F.when(well_formed, F.concat(F.col(head), F.repeat(F.lit("0"), missing), F.col(rest)))
-    return df.withColumn(column, F.coalesce(F.col(v4), v6)).drop(t, v4, a, tail, tail + "h", head, rest)
+    return once(df, column, F.coalesce(F.col(v4), v6)).drop(t, v4, a, tail, tail + "h", head, rest)
 
 
 def hex_bounds(network: str) -> tuple[str, str]:

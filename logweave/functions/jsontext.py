@@ -4,28 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from logweave.functions.once import once
+
 
 def with_parsed(df: DataFrame, text: Column, column: str) -> DataFrame:
     """Add ``column``: the text as a variant, NULL unless the *whole* text is one JSON value.
 
     The parser itself stops after the first value and would accept trailing text. So the
     text is parsed as first item of a list whose second item is the text's own hash: any
-    leftover shifts or swallows the hash. The list is a projection of its own, which keeps
-    the parse at one per row.
+    leftover shifts or swallows the hash.
     """
     listed = "_listed_json"
     guard = F.xxhash64(text)
+    items = F.try_parse_json(F.concat(F.lit("["), text, F.lit(","), guard.cast("string"), F.lit("]")))
+    whole = F.try_variant_get(F.col(listed), "$[1]", "bigint") == guard
     return (
-        df.withColumn(
-            listed,
-            F.try_parse_json(F.concat(F.lit("["), text, F.lit(","), guard.cast("string"), F.lit("]"))),
-        )
-        .withColumn(
-            column,
-            F.when(
-                F.try_variant_get(F.col(listed), "$[1]", "bigint") == guard,
-                F.variant_get(F.col(listed), "$[0]", "variant"),
-            ),
-        )
+        once(df, listed, items)
+        .withColumn(column, F.when(whole, F.variant_get(F.col(listed), "$[0]", "variant")))
         .drop(listed)
     )

@@ -13,6 +13,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from logweave.functions import ip as ips, useragent_rules as ua
+from logweave.functions.once import once
 from logweave.model import Fields, is_open, literal, note, put
 from logweave.operators import joins
 from logweave.operators.base import Step
@@ -38,7 +39,7 @@ def _check(source_field: str | None, target_field: str | None) -> None:
 
 def _begin(df: DataFrame, source: str, ignore_missing: bool) -> DataFrame:
     """Add the lookup key; note the rows without a source if asked to."""
-    df = df.withColumn(_KEY, Fields(df).source(source))
+    df = once(df, _KEY, Fields(df).source(source))
     if not ignore_missing:
         df = note(df, "enrich_error", F.lit(f"Source field not found: {source}"), F.col(_KEY).isNull())
     return df
@@ -253,14 +254,8 @@ def user_agent(
     def run(df: DataFrame) -> DataFrame:
         out = _begin(df, source_field, ignore_missing)
         text, other, none = F.col(_KEY), F.lit("Other"), F.lit(None).cast("string")
-        # Rule positions get a projection of their own: each pattern runs once per row.
-        out = out.withColumns(
-            {
-                "_browser": ua.first_rule(text, browsers),
-                "_system": ua.first_rule(text, systems),
-                "_device": ua.first_rule(text, devices),
-            }
-        )
+        for column, rules in {"_browser": browsers, "_system": systems, "_device": devices}.items():
+            out = once(out, column, ua.first_rule(text, rules))
         browser, system, device = F.col("_browser"), F.col("_system"), F.col("_device")
         kind = ua.pick(device, [r.kind for r in devices], F.lit(""))
         bot = (kind == "bot") | (ua.pick(browser, [r.kind for r in browsers], F.lit("")) == "bot")

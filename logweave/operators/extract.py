@@ -8,6 +8,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, functions as F
 
 from logweave.functions import grok_patterns, regex
+from logweave.functions.once import once
 from logweave.model import Fields, is_open, put, remove
 from logweave.operators.base import Step
 
@@ -82,8 +83,8 @@ def _extract(
     preserve: bool,
     first_only: bool,
 ) -> DataFrame:
-    # One column of matched groups per pattern, in a projection of its own, so that each
-    # pattern runs once per row however many fields it feeds.
+    # One column of matched groups per pattern: each pattern runs once per row however many
+    # fields it feeds.
     columns = [f"_match{i}" for i in range(len(patterns))]
     source = F.nullif(Fields(df).source(field), F.lit(""))
     if first_only:
@@ -92,9 +93,10 @@ def _extract(
             if i:
                 earlier = reduce(or_, [regex.matched(F.col(c)) for c in columns[:i]])
                 groups = F.when(~earlier, groups)
-            df = df.withColumn(columns[i], groups)
+            df = once(df, columns[i], groups)
     else:
-        df = df.withColumns({c: regex.match_groups(source, p) for c, (p, _) in zip(columns, patterns)})
+        for column, (pattern, _) in zip(columns, patterns):
+            df = once(df, column, regex.match_groups(source, pattern))
     hits = [regex.matched(F.col(c)) for c in columns]
     found = [_named(F.col(c), p, names) for c, (p, names) in zip(columns, patterns)]
     if target:

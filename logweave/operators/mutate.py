@@ -8,6 +8,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from logweave.functions import regex, text as tx
+from logweave.functions.once import once
 from logweave.model import Fields, literal, note, put, quoted, remove
 from logweave.operators.base import Step, chain
 
@@ -154,8 +155,7 @@ def convert_fields(types: dict[str, str]) -> Step:
             converted = _CONVERTERS[target](value, kind)
             if converted is None:  # already of that type
                 continue
-            # The outcome gets a projection of its own: it feeds the field and the error.
-            df = df.withColumn("_converted", converted)
+            df = once(df, "_converted", converted)  # feeds the field and the error
             done = F.col("_converted").isNotNull()
             if target in ("int", "float", "timestamp"):
                 df = note(df, f"convert_error_{name}", message, present & ~done)
