@@ -9,19 +9,19 @@ from pyspark.sql import Column, functions as F
 
 @dataclass(frozen=True)
 class Rule:
-    """``pattern`` finds the product; its groups are the version parts.
+    """``pattern`` finds the product; its group is the version.
 
-    ``version`` gives the version parts where the text does not spell them.
+    ``version`` gives the version where the text does not spell it.
     """
 
     pattern: str
     family: str
     brand: str | None = None
-    version: tuple[str, ...] | None = None
+    version: str | None = None
     kind: str = ""  # mobile, tablet, pc or bot
 
 
-_V3 = r"(\d+)(?:\.(\d+))?(?:\.(\d+))?"
+_V3 = r"(\d+(?:[._]\d+){0,2})"
 
 # Product tokens browsers, systems and devices announce themselves with.
 BROWSERS = (
@@ -45,18 +45,18 @@ BROWSERS = (
     Rule(rf"[Pp]ython-requests/{_V3}", "Python Requests"),
 )
 SYSTEMS = (
-    Rule(r"Windows NT 10\.0", "Windows", version=("10",)),
-    Rule(r"Windows NT 6\.3", "Windows", version=("8", "1")),
-    Rule(r"Windows NT 6\.2", "Windows", version=("8",)),
-    Rule(r"Windows NT 6\.1", "Windows", version=("7",)),
-    Rule(r"Windows", "Windows", version=()),
-    Rule(r"(?:iPhone|CPU) OS (\d+)[_.](\d+)(?:[_.](\d+))?", "iOS"),
+    Rule(r"Windows NT 10\.0", "Windows", version="10"),
+    Rule(r"Windows NT 6\.3", "Windows", version="8.1"),
+    Rule(r"Windows NT 6\.2", "Windows", version="8"),
+    Rule(r"Windows NT 6\.1", "Windows", version="7"),
+    Rule(r"Windows", "Windows", version=""),
+    Rule(rf"(?:iPhone|CPU) OS {_V3}", "iOS"),
     Rule(rf"Android {_V3}", "Android"),
-    Rule(r"Android", "Android", version=()),
-    Rule(r"Mac OS X (\d+)[_.](\d+)(?:[_.](\d+))?", "Mac OS X"),
-    Rule(r"CrOS \S+ (\d+)\.(\d+)\.(\d+)", "Chrome OS"),
-    Rule(r"Ubuntu", "Ubuntu", version=()),
-    Rule(r"Linux", "Linux", version=()),
+    Rule(r"Android", "Android", version=""),
+    Rule(rf"Mac OS X {_V3}", "Mac OS X"),
+    Rule(rf"CrOS \S+ {_V3}", "Chrome OS"),
+    Rule(r"Ubuntu", "Ubuntu", version=""),
+    Rule(r"Linux", "Linux", version=""),
 )
 DEVICES = (
     Rule(r"(?i)bot\b|spider|crawler|slurp", "Spider", brand="Spider", kind="bot"),
@@ -87,15 +87,17 @@ def pick(position: Column, values: list, default: Column) -> Column:
     return F.coalesce(F.get(constants, position), default)
 
 
-def version_text(text: Column, position: Column, rules: tuple[Rule, ...]) -> Column:
-    """Version of the chosen rule as ``(91, 0, 4472)``; ``()`` without one."""
+def found_version(text: Column, position: Column, rules: tuple[Rule, ...]) -> Column:
+    """Version of the chosen rule as spelled, empty without one."""
     chain = None
     for i, rule in enumerate(rules):
-        if rule.version is not None:
-            value = F.array(*(F.lit(v) for v in rule.version)).cast("array<string>")
-        else:
-            value = F.array(*(F.nullif(F.regexp_extract(text, rule.pattern, g), F.lit("")) for g in (1, 2, 3)))
+        value = F.regexp_extract(text, rule.pattern, 1) if rule.version is None else F.lit(rule.version)
         chain = F.when(position == i, value) if chain is None else chain.when(position == i, value)
-    joined = F.array_join(F.coalesce(chain, F.array().cast("array<string>")), ", ")
-    comma = F.when((joined != "") & ~F.contains(joined, F.lit(",")), F.lit(",")).otherwise(F.lit(""))
-    return F.concat(F.lit("("), joined, comma, F.lit(")"))
+    return F.coalesce(chain, F.lit(""))
+
+
+def version_text(version: Column) -> Column:
+    """``91.0.4472`` as ``(91, 0, 4472)``, ``7`` as ``(7,)``."""
+    parts = F.regexp_replace(version, "[._]", ", ")
+    single = (version != "") & ~F.contains(parts, F.lit(","))
+    return F.concat(F.lit("("), parts, F.when(single, F.lit(",")).otherwise(F.lit("")), F.lit(")"))

@@ -256,6 +256,8 @@ def user_agent(
         text, other, none = F.col(_KEY), F.lit("Other"), F.lit(None).cast("string")
         for column, rules in {"_browser": browsers, "_system": systems, "_device": devices}.items():
             out = once(out, column, ua.first_rule(text, rules))
+        out = once(out, "_browser_version", ua.found_version(text, F.col("_browser"), browsers))
+        out = once(out, "_system_version", ua.found_version(text, F.col("_system"), systems))
         browser, system, device = F.col("_browser"), F.col("_system"), F.col("_device")
         kind = ua.pick(device, [r.kind for r in devices], F.lit(""))
         bot = (kind == "bot") | (ua.pick(browser, [r.kind for r in browsers], F.lit("")) == "bot")
@@ -268,9 +270,9 @@ def user_agent(
         )
         info = F.struct(
             ua.pick(browser, [r.family for r in browsers], other).alias("browser_family"),
-            ua.version_text(text, browser, browsers).alias("browser_version"),
+            ua.version_text(F.col("_browser_version")).alias("browser_version"),
             ua.pick(system, [r.family for r in systems], other).alias("os_family"),
-            ua.version_text(text, system, systems).alias("os_version"),
+            ua.version_text(F.col("_system_version")).alias("os_version"),
             ua.pick(device, [r.family for r in devices], other).alias("device_family"),
             ua.pick(device, [r.brand for r in devices], none).alias("device_brand"),
             model.alias("device_model"),
@@ -280,7 +282,7 @@ def user_agent(
             bot.alias("is_bot"),
         )
         out = _end(out, target_field, F.when(F.col(_KEY).isNotNull(), info), preserve_existing)
-        return out.drop("_browser", "_system", "_device")
+        return out.drop("_browser", "_system", "_device", "_browser_version", "_system_version")
 
     return Step("useragent", finish=run)
 

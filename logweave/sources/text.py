@@ -105,26 +105,27 @@ def objects(
     bucket: str,
     prefix: str = "",
     region: str = "us-east-1",
-    scheme: str = "s3a",
+    scheme: str | None = "s3a",
     tail: bool = False,
     processed: DataFrame | None = None,
     max_files_per_trigger: int | None = None,
 ) -> DataFrame:
     """Events from the non-blank lines of all objects under a prefix; lines are not stripped.
 
-    ``scheme="file"`` reads a local folder as bucket. ``tail`` polls for new objects;
+    Without a ``scheme`` the bucket is a folder of the default file system. ``tail`` polls for new objects;
     ``processed(key)`` leaves out the objects read before. Credentials are file system
     settings of the session.
     """
     if not bucket:
         raise ValueError("S3 bucket is required")
-    root = f"{scheme}://{bucket.rstrip('/')}"
+    root = f"{scheme}://{bucket.rstrip('/')}" if scheme else bucket.rstrip("/")
     lines = _lines(
         spark, f"{root}/{prefix}*" if prefix and not prefix.endswith("/") else f"{root}/{prefix}",
         stream=tail, max_files=max_files_per_trigger, recursiveFileLookup="true",
     )
-    # Everything behind the bucket; paths carry one or three slashes after the scheme.
-    key = F.regexp_replace("path", rf"^[a-z0-9]+:/+\Q{bucket.strip('/')}\E/", "")
+    # Everything behind the bucket; paths may name a host between scheme and folder.
+    folder = bucket.split("://")[-1].strip("/")
+    key = F.regexp_replace("path", rf"^[a-z0-9]+:/.*?\Q{folder}\E/", "")
     lines = lines.withColumn("key", F.url_decode(F.replace(key, F.lit("+"), F.lit("%2B"))))
     lines = lines.where(tx.strip(F.col("value")) != "")
     if processed is not None:
