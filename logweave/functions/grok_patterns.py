@@ -43,7 +43,7 @@ PATTERNS = {
     "POSINT": r"\b(?:[1-9][0-9]*)\b",
     "NONNEGINT": r"\b(?:[0-9]+)\b",
     # network
-    "IPV4": r"(?<![0-9])(?:(?:25[0-5]|2[0-4][0-9]|[0-1]?[0-9]{1,2})\.){3}(?:25[0-5]|2[0-4][0-9]|[0-1]?[0-9]{1,2})(?![0-9])",
+    "IPV4": r"(?=[0-9])(?<![0-9])(?:(?:25[0-5]|2[0-4][0-9]|[0-1]?[0-9]{1,2})\.){3}(?:25[0-5]|2[0-4][0-9]|[0-1]?[0-9]{1,2})(?![0-9])",
     "IPV6": _ipv6(),
     "IP": r"(?:%{IPV4}|%{IPV6})",
     "HOSTNAME": r"\b(?:[0-9A-Za-z][0-9A-Za-z-]{0,62})(?:\.(?:[0-9A-Za-z][0-9A-Za-z-]{0,62}))*(?:\.?|\b)",

@@ -6,8 +6,6 @@ Texts of one width sort like the addresses, so ranges compare as plain strings.
 from __future__ import annotations
 
 import ipaddress
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -28,64 +26,56 @@ GLOBAL = (
 )
 
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-V4 = rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"
-# Eight groups, or fewer with one "::"; the shape is checked by counting after expansion.
-_V6 = r"^(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4})*)?(?:::)?(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4})*)?$"
+V4 = rf"^{_OCTET}(?:[.]{_OCTET}){{3}}$"
+# Groups with at most one "::"; how many there are is counted after expansion.
+_V6 = "^(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4})*)?(?:::)?(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4})*)?$"
 
 
-def _v4_hex(ip: Column) -> Column:
-    number = sum(
-        (F.split_part(ip, F.lit("."), F.lit(i + 1)).try_cast("bigint") * (1 << (24 - 8 * i)) for i in range(1, 4)),
-        F.split_part(ip, F.lit("."), F.lit(1)).try_cast("bigint") * (1 << 24),
-    )
-    return F.lpad(F.lower(F.hex(number)), 8, "0")
+def _v4_hex(ip: str) -> str:
+    """SQL for the eight digits of a dotted address."""
+    parts = [f"cast(split_part({ip}, '.', {i}) AS BIGINT) * {1 << (32 - 8 * i)}" for i in range(1, 5)]
+    return f"CASE WHEN {ip} RLIKE '{V4}' THEN lpad(lower(hex({' + '.join(parts)})), 8, '0') END"
 
 
-def _groups_hex(part: Column) -> Column:
-    """``a:bc:0`` as zero-padded groups ``000a00bc0000``."""
-    padded = F.regexp_replace(F.concat(F.lit(":"), part), ":([0-9a-f]+)", "000$1:")
-    return F.when(part != "", F.regexp_replace(padded, "0*([0-9a-f]{4}):", "$1")).otherwise(F.lit(""))
+def _groups_hex(part: str) -> str:
+    """SQL for ``a:bc:0`` as zero-padded groups ``000a00bc0000``."""
+    padded = f"regexp_replace(concat(':', {part}), ':([0-9a-f]+)', '000$1:')"
+    return f"CASE WHEN {part} = '' THEN '' ELSE regexp_replace({padded}, '0*([0-9a-f]{{4}}):', '$1') END"
 
 
 def with_ip_hex(df: DataFrame, text: Column, column: str) -> DataFrame:
     """Add ``column``: hex form of the address in ``text``, NULL for anything that is none.
 
-    Built in steps, each a projection of its own, so that the generated code stays small. Version-6 work is done only for texts with a colon.
+    Built in steps, each a projection of its own, so that the generated code stays small.
+    Version-6 work is done only for texts with a colon.
     """
-    t, v4, a, tail, head, rest = (f"_ip{i}" for i in range(6))
-    df = df.withColumn(t, text)
-    long_form = F.contains(F.col(t), F.lit(":"))
-    df = df.withColumns(
+    steps = (
+        # The address without its zone.
+        {"_ip_long": "CASE WHEN contains(_ip_text, ':') THEN lower(split_part(_ip_text, '%', 1)) END"},
+        # A dotted tail counts as two groups.
+        {"_ip_tail": "CASE WHEN contains(_ip_long, '.') THEN substring_index(_ip_long, ':', -1) END"},
+        {"_ip_digits": _v4_hex("_ip_tail")},
         {
-            v4: F.when(F.col(t).rlike(V4), _v4_hex(F.col(t))),
-            a: F.when(long_form, F.lower(F.split_part(F.col(t), F.lit("%"), F.lit(1)))),
-        }
-    )
-    # A dotted tail counts as two groups.
-    df = df.withColumn(tail, F.when(F.col(a).rlike(r"[.]"), F.substring_index(F.col(a), ":", -1)))
-    as_groups = F.when(F.col(tail).rlike(V4), _v4_hex(F.col(tail)))
-    df = df.withColumn(tail + "h", as_groups)
-    digits = F.col(tail + "h")
-    df = df.withColumn(
-        a,
-        F.when(F.col(tail).isNull(), F.col(a)).otherwise(
-            F.concat(
-                F.substring(F.col(a), F.lit(1), F.length(a) - F.length(tail)),
-                F.substring(digits, 1, 4), F.lit(":"), F.substring(digits, 5, 4),
-            )
-        ),
-    )
-    gap = F.instr(a, "::") > 0
-    df = df.withColumns(
+            "_ip_long": "CASE WHEN _ip_tail IS NULL THEN _ip_long ELSE "
+            "concat(substring(_ip_long, 1, length(_ip_long) - length(_ip_tail)), "
+            "substring(_ip_digits, 1, 4), ':', substring(_ip_digits, 5, 4)) END"
+        },
         {
-            head: F.when(F.col(a).rlike(_V6), _groups_hex(F.split_part(F.col(a), F.lit("::"), F.lit(1)))),
-            rest: F.when(gap, _groups_hex(F.split_part(F.col(a), F.lit("::"), F.lit(2)))).otherwise(F.lit("")),
-        }
+            "_ip_head": f"CASE WHEN _ip_long RLIKE '{_V6}' THEN {_groups_hex("split_part(_ip_long, '::', 1)")} END",
+            "_ip_rest": f"CASE WHEN contains(_ip_long, '::') THEN {_groups_hex("split_part(_ip_long, '::', 2)")} ELSE '' END",
+        },
+        {"_ip_gap": "32 - length(_ip_head) - length(_ip_rest)"},
+    )
+    df = df.withColumn("_ip_text", text)
+    for step in steps:
+        df = df.withColumns({name: F.expr(sql) for name, sql in step.items()})
+    full = (
+        f"coalesce({_v4_hex('_ip_text')}, CASE WHEN _ip_gap = 0 AND NOT contains(_ip_long, '::') "
+        "OR _ip_gap >= 4 AND contains(_ip_long, '::') "
+        "THEN concat(_ip_head, repeat('0', _ip_gap), _ip_rest) END)"
     )
-    missing = F.lit(32) - F.length(head) - F.length(rest)
-    well_formed = (gap & (missing >= 4)) | (~gap & (missing == 0))
-    v6 = F.when(well_formed, F.concat(F.col(head), F.repeat(F.lit("0"), missing), F.col(rest)))
-    return once(df, column, F.coalesce(F.col(v4), v6)).drop(t, v4, a, tail, tail + "h", head, rest)
+    helpers = ("text", "long", "tail", "digits", "head", "rest", "gap")
+    return once(df, column, F.expr(full)).drop(*(f"_ip_{h}" for h in helpers))
 
 
 def hex_bounds(network: str) -> tuple[str, str]:
@@ -95,24 +85,26 @@ def hex_bounds(network: str) -> tuple[str, str]:
     return f"{int(net.network_address):0{width}x}", f"{int(net.broadcast_address):0{width}x}"
 
 
-def _inside(hex_ip: Column, networks: tuple[str, ...], width: int) -> Column:
-    bounds = [hex_bounds(n) for n in networks]
-    return reduce(or_, [hex_ip.between(low, high) for low, high in bounds if len(low) == width])
+def _inside(ip: str, networks: tuple[str, ...], width: int) -> str:
+    """SQL for "lies in one of the networks of that width"."""
+    bounds = [(low, high) for low, high in map(hex_bounds, networks) if len(low) == width]
+    # Most addresses are settled by their first byte, with one set lookup.
+    first = sorted({f"'{b:02x}'" for low, high in bounds for b in range(int(low[:2], 16), int(high[:2], 16) + 1)})
+    blocks = " OR ".join(f"{ip} BETWEEN '{low}' AND '{high}'" for low, high in bounds)
+    return f"(substring({ip}, 1, 2) IN ({', '.join(first)}) AND ({blocks}))"
 
 
-def is_private(hex_ip: Column) -> Column:
-    """Whether the address lies in a private or otherwise special block.
+def is_private(column: str) -> Column:
+    """Whether the address in the hex column lies in a private or otherwise special block.
 
-    ``hex_ip`` should be a plain column. A version-4 address mapped into version 6 is
-    judged by its version-4 part.
+    A version-4 address mapped into version 6 is judged by its version-4 part.
     """
 
-    def judged(ip: Column, width: int) -> Column:
-        return _inside(ip, PRIVATE, width) & ~_inside(ip, GLOBAL, width)
+    def judged(ip: str, width: int) -> str:
+        return f"({_inside(ip, PRIVATE, width)} AND NOT {_inside(ip, GLOBAL, width)})"
 
-    mapped = hex_ip.startswith("0" * 20 + "ffff")
-    return (
-        F.when(F.length(hex_ip) == 8, judged(hex_ip, 8))
-        .when(mapped, judged(F.substring(hex_ip, 25, 8), 8))
-        .when(hex_ip.isNotNull(), judged(hex_ip, 32))
+    return F.expr(
+        f"CASE WHEN length({column}) = 8 THEN {judged(column, 8)} "
+        f"WHEN startswith({column}, '{'0' * 20}ffff') THEN {judged(f'substring({column}, 25, 8)', 8)} "
+        f"WHEN {column} IS NOT NULL THEN {judged(column, 32)} END"
     )

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 import warnings
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, functions as F
 
@@ -33,6 +33,7 @@ class Pattern:
     flags: str
     body: str
     groups: tuple[Group, ...]
+    required: str = ""  # a text every match contains
 
     @property
     def java(self) -> str:
@@ -48,6 +49,22 @@ class _Open:
     index: int | None
     branches: bool = False
     negative: bool = False
+    around: bool = False
+    literals: list[str] = field(default_factory=lambda: [""])  # the last one may still grow
+
+    def literal(self, ch: str, rest: str) -> None:
+        """Note a plain character, given what follows it in the pattern."""
+        count = _COUNT.match(rest)
+        if rest[:1] in ("?", "*") or (count and int(count.group(1) or 0) == 0):
+            self.literals.append("")
+        elif rest[:1] == "+" or count:
+            self.literals[-1] += ch
+            self.literals.append("")
+        else:
+            self.literals[-1] += ch
+
+    def cut(self) -> None:
+        self.literals.append("")
 
 
 def compile_pattern(pattern: str) -> Pattern:
@@ -66,6 +83,11 @@ def compile_pattern(pattern: str) -> Pattern:
             if not nxt:
                 raise ValueError("Invalid regular expression pattern: trailing backslash")
             unicode_classes |= nxt in "wWdDsSbB"
+            if not in_class:
+                if nxt.isalnum():
+                    stack[-1].cut()
+                else:
+                    stack[-1].literal(nxt, pattern[i + 2 :])
             if in_class and nxt == "b":
                 out.append(r"\x08")
             else:
@@ -81,6 +103,7 @@ def compile_pattern(pattern: str) -> Pattern:
             i += 1
             continue
         if ch == "[":
+            stack[-1].cut()
             in_class = True
             out.append(ch)
             i += 1
@@ -90,6 +113,7 @@ def compile_pattern(pattern: str) -> Pattern:
             class_start = i
             continue
         if ch == "(":
+            stack[-1].cut()
             named = _NAMED.match(pattern, i)
             flags = _FLAGS.match(pattern, i)
             if named or pattern[i + 1 : i + 2] != "?":
@@ -120,7 +144,7 @@ def compile_pattern(pattern: str) -> Pattern:
                 head = re.compile(r"\(\?(?:<?[=!]|>|[imsx]*-?[imsx]*:)").match(pattern, i)
                 if not head:
                     raise ValueError(f"Invalid regular expression pattern: unknown group at {i}")
-                stack.append(_Open(None, negative="!" in head.group()))
+                stack.append(_Open(None, negative="!" in head.group(), around=head.group()[-1] in "=!"))
                 out.append(head.group())
                 i = head.end()
             continue
@@ -136,11 +160,18 @@ def compile_pattern(pattern: str) -> Pattern:
                 if within and (may_skip or closed.branches or closed.negative):
                     if index != closed.index or may_skip:
                         skippable.add(index)
+            if not (may_skip or closed.branches or closed.around):
+                stack[-1].literals += closed.literals
+            stack[-1].cut()
             out.append(")")
             i += 1
             continue
         if ch == "|":
             stack[-1].branches = True
+        if ch in "|.^$?*+{}":
+            stack[-1].cut()
+        else:
+            stack[-1].literal(ch, pattern[i + 1 :])
         if ch == "{":
             count = _COUNT.match(pattern, i)
             if count and (count.group(1) or count.group(3)):
@@ -157,9 +188,11 @@ def compile_pattern(pattern: str) -> Pattern:
     if stack[0].branches:
         skippable.update(range(1, len(names) + 1))
     _check(pattern)
+    flexible = stack[0].branches or re.search(r"\(\?[a-zA-Z]*[ix]", pattern)
+    required = "" if flexible else max(stack[0].literals, key=len).strip(" ")
     flags = "(?d" + ("U" if (unicode_classes or ignore_case) and not ascii_only else "") + ")"
     groups = tuple(Group(n, k in skippable) for k, n in enumerate(names, start=1))
-    return Pattern(flags, "".join(out), groups)
+    return Pattern(flags, "".join(out), groups, required)
 
 
 def _check(pattern: str) -> None:
@@ -173,14 +206,18 @@ def _check(pattern: str) -> None:
 
 
 def found(text: Column, pattern: Pattern) -> Column:
-    """Whether the pattern occurs anywhere in the text."""
-    return text.rlike(pattern.java)
+    """Whether the pattern occurs anywhere in the text.
+
+    A plain search for the required part spares the regex most texts without a match.
+    """
+    hit = text.rlike(pattern.java)
+    return F.contains(text, F.lit(pattern.required)) & hit if pattern.required else hit
 
 
 def match_groups(text: Column, pattern: Pattern) -> Column:
     """Array whose element ``i`` is group ``i`` of the first match.
 
-    The array has a single element (or is NULL) when nothing matches. All groups come
+    The array has a single element or is NULL when nothing matches. All groups come
     out of one regex run: the text is replaced by its marked groups and cut apart.
     """
     numbers = range(1, len(pattern.groups) + 1)
@@ -192,7 +229,8 @@ def match_groups(text: Column, pattern: Pattern) -> Column:
         found(text, pattern),
         F.array(F.lit(""), *([F.regexp_extract(text, pattern.java, i) for i in numbers] or [F.lit("")])),
     )
-    return F.when(F.instr(text, MARK) > 0, per_group).otherwise(one_run)
+    groups = F.when(F.instr(text, MARK) > 0, per_group).otherwise(one_run)
+    return F.when(F.contains(text, F.lit(pattern.required)), groups) if pattern.required else groups
 
 
 def matched(groups: Column) -> Column:

@@ -6,6 +6,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, functions as F
 
+from logweave.functions import regex
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -27,7 +29,7 @@ _V3 = r"(\d+(?:[._]\d+){0,2})"
 BROWSERS = (
     Rule(rf"Googlebot(?:/{_V3})?", "Googlebot", kind="bot"),
     Rule(rf"(?i)bingbot(?:/{_V3})?", "bingbot", kind="bot"),
-    Rule(rf"(?i)\b(?:[a-z]*bot|[a-z]*spider|[a-z]*crawler|slurp)\b(?:/{_V3})?", "Other", kind="bot"),
+    Rule(rf"(?i)(?:bot|spider|crawler|slurp)\b(?:/{_V3})?", "Other", kind="bot"),
     Rule(rf"Edg(?:e|A|iOS)?/{_V3}", "Edge"),
     Rule(rf"(?:OPR|Opera)[/ ]{_V3}", "Opera"),
     Rule(rf"SamsungBrowser/{_V3}", "Samsung Internet"),
@@ -76,7 +78,7 @@ def first_rule(text: Column, rules: tuple[Rule, ...]) -> Column:
     """Position of the first rule that applies, NULL if none does."""
     chain = None
     for i, rule in enumerate(rules):
-        hit = text.rlike(rule.pattern)
+        hit = regex.found(text, regex.compile_pattern(rule.pattern))
         chain = F.when(hit, F.lit(i)) if chain is None else chain.when(hit, F.lit(i))
     return chain
 

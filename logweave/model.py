@@ -132,10 +132,23 @@ class Fields:
         return F.lit(None).cast("double")
 
 
-def put(df: DataFrame, values: dict[str, Column], when: dict[str, Column] | Column | None = None) -> DataFrame:
-    """Set fields, for the rows that satisfy ``when`` (one condition, or one per field)."""
+# Condition of ``put``: set each field where its value is not NULL.
+WHERE_FOUND = "where found"
+
+
+def put(
+    df: DataFrame, values: dict[str, Column], when: dict[str, Column] | Column | str | None = None
+) -> DataFrame:
+    """Set fields, for the rows that satisfy ``when``.
+
+    ``when`` is one condition, one per field, or ``WHERE_FOUND``.
+    """
     if not values:
         return df
+    if isinstance(when, str):
+        if not is_open(df):
+            return df.withColumns({name: _choose(df, name, value, WHERE_FOUND) for name, value in values.items()})
+        when = {name: value.isNotNull() for name, value in values.items()}
     conditions = when if isinstance(when, dict) else dict.fromkeys(values, when)
     if not is_open(df):
         return df.withColumns(
@@ -159,16 +172,17 @@ def put(df: DataFrame, values: dict[str, Column], when: dict[str, Column] | Colu
     return df.withColumn("fields", F.map_concat(kept, *additions))
 
 
-def _choose(df: DataFrame, name: str, value: Column, condition: Column | None) -> Column:
+def _choose(df: DataFrame, name: str, value: Column, condition: Column | str | None) -> Column:
     if condition is None:
         return value
+    where_found = isinstance(condition, str)
     if name not in df.columns:
-        return F.when(condition, value)
+        return value if where_found else F.when(condition, value)
     new = df.select(value.alias("v")).schema[0].dataType
     old = quoted(name)
     if df.schema[name].dataType != new:
         old = tx.value_text(old, df.schema[name].dataType) if isinstance(new, T.StringType) else old.try_cast(new)
-    return F.when(condition, value).otherwise(old)
+    return F.coalesce(value, old) if where_found else F.when(condition, value).otherwise(old)
 
 
 def remove(df: DataFrame, names: list[str], when: Column | None = None) -> DataFrame:

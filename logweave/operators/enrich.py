@@ -78,10 +78,10 @@ def lookup(
         else:
             dim = _table(df, lookup_table, lookup_file)
             dim = dim.select(F.col("key").cast("string").alias(_KEY), F.col("value").alias(_VALUE))
-            raw = dim
+            small = joins.fits_broadcast(dim, broadcast_rows)
             pick = F.any_value if isinstance(dim.schema[_VALUE].dataType, (T.VariantType, T.MapType)) else F.min
             dim = dim.where(F.col(_KEY).isNotNull()).groupBy(_KEY).agg(pick(_VALUE).alias(_VALUE))
-            out = joins.left_lookup(out, dim, _KEY, broadcast_rows=broadcast_rows, measure=raw)
+            out = joins.left_lookup(out, dim, _KEY, small)
             found = F.col(_VALUE)
         kind = out.select(found.alias("v")).schema[0].dataType
         if default_value is not None:
@@ -152,22 +152,29 @@ def geo(
         if not ignore_missing:
             message = F.concat(F.lit("Invalid IP address: "), F.col(_KEY))
             out = note(out, "enrich_error", message, F.col(_KEY).isNotNull() & F.col("_ip").isNull())
-        out = out.withColumn("_ip", F.when(~ips.is_private(F.col("_ip")), F.col("_ip")))
+        out = out.withColumn("_ip", F.when(~ips.is_private("_ip"), F.col("_ip")))
         table = _located(ranges)
+        # One pass over the ranges: buckets they fill, their size, and whether any is wide.
+        fill = _fine("_hi") - _fine("_lo") + 1
+        size = F.octet_length(F.to_json(_VALUE)) + 80
+        rows, volume, n_wide = table.agg(
+            F.sum(F.when(~F.col("_wide"), fill)), F.sum(F.when(~F.col("_wide"), fill * size)), F.count_if("_wide")
+        ).first()
         fine = table.where(~F.col("_wide")).select(
             F.explode(F.sequence(_fine("_lo"), _fine("_hi"))).alias("_bucket"), "_lo", "_hi", _VALUE
         )
         out = out.withColumn("_bucket", _fine("_ip"))
         inside = F.col("_ip").between(F.col("_lo"), F.col("_hi"))
-        out = joins.left_lookup(out, fine, "_bucket", inside, broadcast_rows).drop("_bucket", "_lo", "_hi")
-        wide = table.where("_wide")
-        if not wide.isEmpty():
-            coarse = wide.select(
+        small = joins.within_bounds(rows, volume, broadcast_rows)
+        out = joins.left_lookup(out, fine, "_bucket", small, inside).drop("_bucket", "_lo", "_hi")
+        if n_wide:
+            coarse = table.where("_wide").select(
                 F.explode(F.sequence(_coarse("_lo"), _coarse("_hi"))).alias("_bucket"), "_lo", "_hi",
                 F.col(_VALUE).alias("_wide_value"),
             )
             out = out.withColumn("_bucket", _coarse("_ip"))
-            out = joins.left_lookup(out, coarse, "_bucket", inside, broadcast_rows).drop("_bucket", "_lo", "_hi")
+            small = joins.fits_broadcast(coarse, broadcast_rows)
+            out = joins.left_lookup(out, coarse, "_bucket", small, inside).drop("_bucket", "_lo", "_hi")
             out = out.withColumn(_VALUE, F.coalesce(_VALUE, "_wide_value")).drop("_wide_value")
         return _end(out.drop("_ip"), target_field, F.col(_VALUE), preserve_existing)
 
@@ -226,8 +233,9 @@ def resolve_hosts(
             ).alias("a")
         ).select("a.*")
         answers = answers.where(F.col("_host").rlike(DOTTED) == F.col("back"))
+        small = joins.fits_broadcast(hosts, broadcast_rows // 2)  # two answers per host row
         single = answers.select("_host", _VALUE).groupBy("_host").agg(F.min(_VALUE).alias(_VALUE))
-        out = joins.left_lookup(out, single, "_host", broadcast_rows=broadcast_rows, measure=answers).drop("_host")
+        out = joins.left_lookup(out, single, "_host", small).drop("_host")
         failed = F.col(_KEY).isNotNull() & F.col(_VALUE).isNull()
         if default_value is None and not ignore_missing:
             if preserve_existing:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from logweave.functions import grok_patterns, regex
 from logweave.functions.once import once
-from logweave.model import Fields, is_open, put, remove
+from logweave.model import WHERE_FOUND, Fields, is_open, put, remove
 from logweave.operators.base import Step
 
 
@@ -109,7 +109,7 @@ def _extract(
                 values.setdefault(name, []).append(value)
         order = list(dict.fromkeys(n for named in found for n in named))
         merged = {n: values[n][0] if len(values[n]) == 1 else F.coalesce(*values[n]) for n in order}
-        df = put(df, merged, {n: v.isNotNull() for n, v in merged.items()})
+        df = put(df, merged, WHERE_FOUND)
     if not preserve and field != "raw_data" and field != target:
         df = remove(df, [field], reduce(or_, hits))
     return df.drop(*columns)

@@ -22,7 +22,11 @@ def fits_broadcast(dim: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
         return False
     width = F.octet_length(F.to_json(F.struct("*")))
     rows, size = dim.agg(F.count(F.lit(1)), F.sum(width)).first()
-    return rows <= max_rows and (size or 0) <= BROADCAST_BYTES
+    return within_bounds(rows, size, max_rows)
+
+
+def within_bounds(rows: int | None, size: int | None, max_rows: int = BROADCAST_ROWS) -> bool:
+    return max_rows > 0 and (rows or 0) <= max_rows and (size or 0) <= BROADCAST_BYTES
 
 
 def hot_keys(df: DataFrame, key: str) -> DataFrame | None:
@@ -44,21 +48,16 @@ def hot_keys(df: DataFrame, key: str) -> DataFrame | None:
 
 
 def left_lookup(
-    df: DataFrame,
-    dim: DataFrame,
-    key: str,
-    condition: Column | None = None,
-    broadcast_rows: int = BROADCAST_ROWS,
-    measure: DataFrame | None = None,
+    df: DataFrame, dim: DataFrame, key: str, small: bool, condition: Column | None = None
 ) -> DataFrame:
     """``df`` LEFT JOIN ``dim`` on the column ``key`` of both (and ``condition``).
 
-    A lookup side within the measured bounds is broadcast: no shuffle and no skew. Beyond
-    them both sides are shuffled, the rows of a hot key cut into slices and its lookup
-    rows repeated once per slice. ``dim`` must match a row at most once. ``measure`` may
-    name a cheaper DataFrame that is no smaller than ``dim``.
+    A ``small`` lookup side, one that was measured within the bounds, is broadcast: no
+    shuffle and no skew. Beyond them both sides are shuffled, the rows of a hot key cut
+    into slices and its lookup rows repeated once per slice. ``dim`` must match a row at
+    most once.
     """
-    if fits_broadcast(dim if measure is None else measure, broadcast_rows):
+    if small:
         return _join(df, F.broadcast(dim), [key], condition)
     hot = None if df.isStreaming else hot_keys(df, key)
     if hot is None:

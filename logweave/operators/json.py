@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from logweave.functions.jsontext import with_parsed
-from logweave.model import OPEN_MAP, Fields, is_open, note, put, remove
+from logweave.functions import jsontext
+from logweave.functions.once import once
+from logweave.model import OPEN_MAP, WHERE_FOUND, Fields, is_open, note, put, remove
 from logweave.operators.base import Step, Verdict
 
 _PARSED = "_parsed_json"
@@ -30,7 +31,7 @@ def parse_json(
 
     def prepare(df: DataFrame) -> DataFrame:
         df = df.withColumn(_INPUT, F.nullif(Fields(df).source(field), F.lit("")))
-        return with_parsed(df, F.col(_INPUT), _PARSED)
+        return jsontext.with_parsed(df, F.col(_INPUT), _PARSED)
 
     def invalid() -> Column:
         return F.col(_INPUT).isNotNull() & F.col(_PARSED).isNull()
@@ -41,17 +42,15 @@ def parse_json(
     def finish(df: DataFrame) -> DataFrame:
         if ignore_errors:
             df = note(df, "json_error", F.lit("invalid JSON"), invalid())
-        parsed, valid = F.col(_PARSED), F.col(_PARSED).isNotNull()
         if target_field:
-            value = _typed_struct(parsed, struct) if struct else parsed
-            df = put(df, {target_field: value}, valid)
+            value = F.struct(*(_member(f).alias(f.name) for f in struct.fields)) if struct else jsontext.value(_PARSED)
+            df = put(df, {target_field: value}, F.col(_PARSED).isNotNull())
         elif is_open(df):
-            df = _merge_object(df, parsed)
+            df = _merge_object(df)
         elif struct is None:
             raise ValueError("merging JSON into typed columns needs a schema")
         else:
-            members = {f.name: _member(parsed, f) for f in struct.fields}
-            df = put(df, members, {n: m.isNotNull() for n, m in members.items()})
+            df = put(df, {f.name: _member(f) for f in struct.fields}, WHERE_FOUND)
         df = df.drop(_PARSED, _INPUT)
         if not preserve_original and field != "raw_data":
             df = df if field == target_field else remove(df, [field])
@@ -60,17 +59,14 @@ def parse_json(
     return Step("json", prepare, None if ignore_errors else judge, finish)
 
 
-def _member(parsed: Column, f: T.StructField) -> Column:
-    return F.try_variant_get(parsed, f"$['{f.name}']", f.dataType.simpleString())
+def _member(f: T.StructField) -> Column:
+    # The name is one member, dots included.
+    return F.try_variant_get(F.col(_PARSED), f"$[0]['{f.name}']", f.dataType.simpleString())
 
 
-def _typed_struct(parsed: Column, struct: T.StructType) -> Column:
-    return F.struct(*(_member(parsed, f).alias(f.name) for f in struct.fields))
-
-
-def _merge_object(df: DataFrame, parsed: Column) -> DataFrame:
+def _merge_object(df: DataFrame) -> DataFrame:
     """New keys win; a JSON value that is no object adds nothing."""
     members = "_json_members"
-    df = df.withColumn(members, F.coalesce(parsed.try_cast(OPEN_MAP), F.create_map().cast(OPEN_MAP)))
+    df = once(df, members, F.coalesce(jsontext.value(_PARSED, OPEN_MAP), F.create_map().cast(OPEN_MAP)))
     kept = F.map_filter("fields", lambda k, _: ~F.map_contains_key(F.col(members), k))
     return df.withColumn("fields", F.map_concat(kept, F.col(members))).drop(members)

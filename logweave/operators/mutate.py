@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from logweave.functions import regex, text as tx
 from logweave.functions.once import once
-from logweave.model import Fields, literal, note, put, quoted, remove
+from logweave.model import WHERE_FOUND, Fields, literal, note, put, quoted, remove
 from logweave.operators.base import Step, chain
 
 # Accepted spellings of true, and of date-times (T..Z with or without
@@ -125,8 +125,7 @@ def merge_fields(rules: dict[str, list[str]]) -> Step:
                 tail = [F.coalesce(F.concat(F.lit(" "), t), F.lit("")) for t in texts[i + 1 :]]
                 starts.append(F.when(head != "", F.concat(head, *tail)))
             if starts:
-                merged = F.coalesce(*starts)
-                df = put(df, {target: merged}, merged.isNotNull())
+                df = put(df, {target: F.coalesce(*starts)}, WHERE_FOUND)
         return df
 
     return Step("merge_fields", finish=run)

@@ -35,7 +35,7 @@ def render_template(df: DataFrame, template: str = TEMPLATE, message_field: str
         value = _message(df, fields, message_field) if name == "message" else _placeholder(df, fields, name)
         parts.append(F.coalesce(value, F.lit("None")) if name in _OWN or name == "message" else value)
         if name not in _OWN and name != "message":
-            needed.append(value.isNotNull())
+            needed.append(fields.present(name))
     line = F.concat(*parts) if parts else F.lit("")
     if not needed:
         return line

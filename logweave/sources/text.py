@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from logweave.functions import text as tx
 from logweave.model import to_events
-from logweave.operators.joins import left_lookup
+from logweave.operators.joins import fits_broadcast, left_lookup
 
 
 def _lines(
@@ -40,7 +42,7 @@ def files(
     spark: SparkSession,
     path: str,
     tail: bool = False,
-    read_from_start: bool = True,
+    read_from_start: bool | None = None,
     started_at: str | None = None,
     with_position: bool = False,
     in_file_order: bool = False,
@@ -49,14 +51,15 @@ def files(
     """Events from the non-blank lines of a file or a directory of rolled files.
 
     ``tail`` follows the directory as a stream: a rolled or replaced file is a new file.
-    Without ``read_from_start`` only files modified since ``started_at`` (default: now)
-    count. ``with_position`` adds the character offset of each line (batch only), which
+    A stream starts with the files modified since ``started_at`` (UTC text, default: now)
+    unless ``read_from_start``; a batch reads all unless that is False. ``with_position`` adds the character offset of each line (batch only), which
     also makes ids repeatable. ``in_file_order`` sorts by modification time, oldest first.
     """
     lines = _lines(spark, path, stream=tail, max_files=max_files_per_trigger)
-    if not read_from_start:
-        since = F.lit(started_at).cast("timestamp") if started_at else F.current_timestamp()
-        lines = lines.where(F.col("modified") >= since)
+    if not (not tail if read_from_start is None else read_from_start):
+        # A constant: the start time must not move on with every micro-batch.
+        now = datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
+        lines = lines.where(F.col("modified") >= F.lit(started_at or now).cast("timestamp"))
     if with_position and not tail:
         lines = with_file_position(lines)
         lines = lines.withColumn("id", F.sha2(F.concat_ws("|", "path", F.col("position").cast("string")), 256))
@@ -79,7 +82,9 @@ def with_file_position(lines: DataFrame) -> DataFrame:
     """Add ``position``: characters before the line in its file, one per line end.
 
     Two levels, so that no task sees a whole file: offsets within an input split, plus the
-    length of the splits before it. Only one row per split is ordered per file.
+    length of the splits before it. Only one row per split is ordered per file. The splits
+    are read twice; should the cluster cut them differently the second time, the query
+    fails instead of giving wrong offsets.
     """
     size = F.length("value") + 1
     numbered = lines.withColumn("_row", F.monotonically_increasing_id()).withColumn("_size", size)
@@ -94,8 +99,9 @@ def with_file_position(lines: DataFrame) -> DataFrame:
             F.coalesce(F.sum("_length").over(before), F.lit(0)).alias("_start"),
         )
     )
-    joined = offsets.join(splits, (F.col("path") == F.col("_path")) & (F.col("block") == F.col("_block")))
-    return joined.withColumn("position", F.col("_start") + F.col("_offset")).drop(
+    joined = offsets.join(splits, (F.col("path") == F.col("_path")) & (F.col("block") == F.col("_block")), "left")
+    start = F.coalesce("_start", F.raise_error(F.lit("input splits changed between two reads")).cast("bigint"))
+    return joined.withColumn("position", start + F.col("_offset")).drop(
         "_row", "_size", "_offset", "_path", "_block", "_start"
     )
 
@@ -146,4 +152,5 @@ def new_objects(rows: DataFrame, processed: DataFrame, key: str = "key") -> Data
     into slices for the shuffle.
     """
     seen = processed.select(F.col(key).cast("string").alias(key)).distinct().withColumn("_seen", F.lit(True))
-    return left_lookup(rows, seen, key, measure=processed.select(key)).where(F.col("_seen").isNull()).drop("_seen")
+    small = fits_broadcast(processed.select(key))
+    return left_lookup(rows, seen, key, small).where(F.col("_seen").isNull()).drop("_seen")

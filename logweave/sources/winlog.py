@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from logweave.functions.jsontext import with_parsed
+from logweave.functions import jsontext
 from logweave.functions.text import text_to_long
 from logweave.model import OPEN_MAP, to_events
 from logweave.sources.text import _lines
@@ -56,18 +56,18 @@ def winlog_events(
         raise ValueError("Level must be between 1 and 5")
     # An empty record set is cheap to recognise before any parsing.
     candidates = lines.where(F.contains(F.col(column), F.lit("winlog")))
-    records = with_parsed(candidates, F.col(column), _RECORD)
+    records = jsontext.with_parsed(candidates, F.col(column), _RECORD)
     # Each filter reads its value from the parsed record as a column of its own.
     records = records.withColumns(
         {
-            "_winlog": F.try_variant_get(_RECORD, "$.winlog", "variant"),
+            "_shape": F.schema_of_variant(_value("winlog")),
             "_channel": _text("winlog.channel"),
             "_level": _whole("winlog.level"),
             "_event_id": _whole("winlog.event_id"),
             "_provider": F.coalesce(_text("winlog.provider.name"), _text("winlog.provider_name")),
         }
     )
-    keep = F.schema_of_variant("_winlog").startswith("OBJECT")
+    keep = F.col("_shape").startswith("OBJECT")
     if channels:
         keep = keep & F.col("_channel").isin(list(channels))
     if level is not None:
@@ -100,7 +100,7 @@ def winlog_events(
         timestamp=_text("@timestamp").try_cast("timestamp"),
         source_type=F.lit("winlog"),
         source_name=F.coalesce("_channel", F.lit("unknown")),
-        raw_data=F.to_json(_RECORD),
+        raw_data=F.to_json(jsontext.value(_RECORD)),
         fields=F.map_concat(always, *extras),
         metadata=F.create_map(
             F.lit("winlog_source"), F.lit(mode).cast("variant"),
@@ -109,16 +109,12 @@ def winlog_events(
     )
 
 
-def _path(name: str) -> str:
-    return "$" + "".join(f"['{part}']" for part in name.split("."))
-
-
 def _value(name: str) -> Column:
-    return F.try_variant_get(_RECORD, _path(name), "variant")
+    return jsontext.member(_RECORD, name, "variant")
 
 
 def _text(name: str) -> Column:
-    return F.try_variant_get(_RECORD, _path(name), "string")
+    return jsontext.member(_RECORD, name, "string")
 
 
 def _whole(name: str) -> Column:
