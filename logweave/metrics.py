@@ -32,11 +32,20 @@ def status_row(spark: SparkSession, **values) -> DataFrame:
 def rollup(metrics: DataFrame) -> DataFrame:
     """Counters per flow, and the grand total in the row whose name is NULL.
 
-    ``flows`` counts the flows behind a row.
+    ``flows`` counts the flows behind a row. One pass: the rows are combined per flow
+    first, and only those few rows are doubled for the total.
     """
+    per_flow = metrics.groupBy("name").agg(*(F.sum(c).alias(c) for c in COUNTERS))
+    none = F.lit(None).cast("string").alias("name")
+    levels = F.array(
+        F.struct(F.col("name"), F.lit(False).alias("total")), F.struct(none, F.lit(True).alias("total"))
+    )
+    doubled = per_flow.select(F.explode(levels).alias("level"), *COUNTERS).select("level.*", *COUNTERS)
     sums = [F.sum(c).alias(c) for c in COUNTERS]
-    per_flow = metrics.groupBy("name").agg(*sums)
-    # The total is built on the per-flow rows, a few at most per flow.
-    total = per_flow.agg(F.count(F.lit(1)).alias("flows"), *(F.sum(c).alias(c) for c in COUNTERS))
-    rows = per_flow.withColumn("flows", F.lit(1).cast("bigint"))
-    return rows.unionByName(total.withColumn("name", F.lit(None).cast("string")))
+    return doubled.groupBy("name", "total").agg(F.count(F.lit(1)).alias("flows"), *sums).drop("total")
+
+
+def errors(audited: DataFrame, status: str = STATUS) -> DataFrame:
+    """The rows of an audited DataFrame that an error dropped, with stage and message."""
+    rows = audited.where(F.col(status)["state"] == "error")
+    return rows.withColumns({"error_stage": F.col(status)["stage"], "error_message": F.col(status)["message"]}).drop(status)

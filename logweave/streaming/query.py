@@ -29,9 +29,8 @@ def start(
     the declared sources by a streaming DataFrame of events.
     """
     configure(spark)
-    for query in spark.streams.active:
-        if query.name == flow.name:
-            query.stop()
+    if flow.name in running(spark):
+        stop(spark, flow.name)
     rows = flow.read(spark, stream=True) if rows is None else rows
     if count:
         audited = flow.audit(rows).observe(_label(flow), *metrics.counters())
@@ -62,6 +61,19 @@ def status(flow: Flow, query: StreamingQuery) -> dict[str, Any]:
     return flow.status(tally, query.isActive, 0.0)
 
 
+def running(spark: SparkSession) -> dict[str, StreamingQuery]:
+    """Running streams by flow name."""
+    return {query.name: query for query in spark.streams.active if query.name}
+
+
+def stop(spark: SparkSession, name: str) -> None:
+    """Stop the stream of a flow."""
+    queries = running(spark)
+    if name not in queries:
+        raise KeyError(f"Pipeline not found: {name}")
+    queries[name].stop()
+
+
 def _label(flow: Flow) -> str:
     return f"{flow.name}-counters"
 

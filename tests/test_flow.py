@@ -85,9 +85,11 @@ def test_same_name_replaces(spark, folder):
     two = streaming.start(flow, spark, str(folder / "c2"))
     try:
         assert not one.isActive and two.isActive
-        assert [q.name for q in spark.streams.active] == ["again"]
+        assert list(streaming.running(spark)) == ["again"]
     finally:
-        two.stop()
+        streaming.stop(spark, "again")
+    with pytest.raises(KeyError):
+        streaming.stop(spark, "again")
 
 
 def test_failing_sink_is_isolated(spark, folder):
@@ -214,3 +216,5 @@ def test_typed_rows_can_be_audited(spark):
 
     out = filter_events("n > 0").audited(df.withColumn("_status", reason("ok", "", F.lit(""))), "_status")
     assert [r._status.state for r in out.collect()] == ["ok", "error", "filtered"]
+    failed = metrics.errors(out).collect()
+    assert [(r.n, r.error_stage, r.error_message) for r in failed] == [("x", "filter", "not a number")]
