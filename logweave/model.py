@@ -8,13 +8,13 @@ change them through ``put`` / ``remove`` / ``note`` and so serve both layouts.
 
 from __future__ import annotations
 
-from typing import Any
-
 import json
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from logweave.functions import text as tx
+from logweave.functions.once import once
 
 ENVELOPE = ("id", "timestamp", "source_type", "source_name", "raw_data", "fields", "metadata", "tags")
 OPEN_MAP = "map<string,variant>"
@@ -151,9 +151,12 @@ def put(
         when = {name: value.isNotNull() for name, value in values.items()}
     conditions = when if isinstance(when, dict) else dict.fromkeys(values, when)
     if not is_open(df):
-        return df.withColumns(
-            {name: _choose(df, name, value, conditions.get(name)) for name, value in values.items()}
-        )
+        chosen = {name: _choose(df, name, value, conditions.get(name)) for name, value in values.items()}
+        for name in values:
+            if conditions.get(name) is not None and name in df.columns:
+                # Reads the column it replaces more than once.
+                df = once(df, name, chosen.pop(name))
+        return df.withColumns(chosen) if chosen else df
     fields = F.col("fields")
 
     def replaced(key: Column) -> Column:
@@ -169,7 +172,7 @@ def put(
         condition = conditions.get(name)
         additions.append(entry if condition is None else F.when(condition, entry).otherwise(empty_map()))
     kept = F.map_filter(fields, lambda k, _: ~replaced(k))
-    return df.withColumn("fields", F.map_concat(kept, *additions))
+    return once(df, "fields", F.map_concat(kept, *additions))
 
 
 def _choose(df: DataFrame, name: str, value: Column, condition: Column | str | None) -> Column:
@@ -189,7 +192,7 @@ def remove(df: DataFrame, names: list[str], when: Column | None = None) -> DataF
     """Delete fields; envelope columns are not fields and stay."""
     if is_open(df):
         doomed = (lambda k: k.isin(names)) if when is None else (lambda k: k.isin(names) & when)
-        return df.withColumn("fields", F.map_filter("fields", lambda k, _: ~doomed(k)))
+        return once(df, "fields", F.map_filter("fields", lambda k, _: ~doomed(k)))
     present = [n for n in names if n in df.columns]
     if when is None:
         return df.drop(*(quoted(n) for n in present))
@@ -204,7 +207,7 @@ def note(df: DataFrame, key: str, message: Column, when: Column | None = None) -
     value = as_variant(df, message) if isinstance(value_type, T.VariantType) else message.cast(value_type)
     known = F.coalesce(F.col("metadata"), F.create_map().cast(df.schema["metadata"].dataType))
     added = F.map_concat(F.map_filter(known, lambda k, _: k != F.lit(key)), F.create_map(F.lit(key), value))
-    return df.withColumn("metadata", added if when is None else F.when(when, added).otherwise(known))
+    return once(df, "metadata", added if when is None else F.when(when, added).otherwise(known))
 
 
 def add_field(df: DataFrame, name: str, value: Any) -> DataFrame:
@@ -220,8 +223,9 @@ def add_metadata(df: DataFrame, key: str, value: Any) -> DataFrame:
 def add_tag(df: DataFrame, tag: str | Column) -> DataFrame:
     """Add a tag unless the event already has it."""
     value = tag if isinstance(tag, Column) else F.lit(tag)
-    known = F.coalesce(F.col("tags"), F.array().cast("array<string>")) if "tags" in df.columns else F.array().cast("array<string>")
-    return df.withColumn("tags", F.when(F.array_contains(known, value), known).otherwise(F.array_append(known, value)))
+    none = F.array().cast("array<string>")
+    known = F.coalesce(F.col("tags"), none) if "tags" in df.columns else none
+    return once(df, "tags", F.when(F.array_contains(known, value), known).otherwise(F.array_append(known, value)))
 
 
 def event_columns(df: DataFrame, **given: Column) -> list[Column]:

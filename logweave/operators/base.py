@@ -7,6 +7,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from logweave.functions.once import once
+
 
 @dataclass(frozen=True)
 class Verdict:
@@ -42,12 +44,8 @@ class Step:
                 ~F.coalesce(verdict.keep, F.lit(False)),
                 reason("filtered", self.name, message if verdict.error is None else F.lit("")),
             )
-            df = df.withColumn(
-                status,
-                F.when(F.col(status)["state"] != "ok", F.col(status)).otherwise(
-                    F.coalesce(rejected, F.col(status))
-                ),
-            )
+            so_far = F.col(status)
+            df = once(df, status, F.when(so_far["state"] != "ok", so_far).otherwise(F.coalesce(rejected, so_far)))
         return self.finish(df) if self.finish else df
 
 

@@ -69,4 +69,4 @@ def _merge_object(df: DataFrame) -> DataFrame:
     members = "_json_members"
     df = once(df, members, F.coalesce(jsontext.value(_PARSED, OPEN_MAP), F.create_map().cast(OPEN_MAP)))
     kept = F.map_filter("fields", lambda k, _: ~F.map_contains_key(F.col(members), k))
-    return df.withColumn("fields", F.map_concat(kept, F.col(members))).drop(members)
+    return once(df, "fields", F.map_concat(kept, F.col(members))).drop(members)
