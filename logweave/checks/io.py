@@ -70,6 +70,18 @@ def source_incremental(t):
     return rows.select(_object_lang(), "raw_data")
 
 
+@query(
+    "source_start_position",
+    f"SELECT trim(line, e' \\t\\n\\r') AS raw_data FROM {_LINES} WHERE trim(line, e' \\t\\n\\r') <> ''",
+)
+def source_start_position(t):
+    """Files modified since the start time count, those before it do not."""
+    folder = _text_folder(t, "start")
+    new = src.files(t.spark, folder, read_from_start=False, started_at="2000-01-01 00:00:00")
+    none = src.files(t.spark, folder, read_from_start=False, started_at="2100-01-01 00:00:00")
+    return fan_in(new, none).select("raw_data")
+
+
 @query(
     "source_union",
     """SELECT CAST(event_id AS VARCHAR) AS id, event_type AS kind, CAST(NULL AS VARCHAR) AS text FROM events
@@ -155,6 +167,21 @@ def source_winlog_project(t):
     )
 
 
+@query(
+    "source_winlog_directory",
+    f"""SELECT event_id AS record_id, {_CHANNEL} AS channel, 'directory' AS mode FROM events
+    WHERE {_CHANNEL} IN ('Application', 'System', 'Security')""",
+)
+def source_winlog_directory(t):
+    """A folder of record files, oldest first, with other lines between the records."""
+    folder = shared_dir(t.spark, "winlog")
+    _winlog_lines(t).write.text(folder)
+    t("documents").select("text").write.mode("append").text(folder)
+    rows = win.winlog(t.spark, folder, mode="directory", in_file_order=True)
+    mode = F.try_variant_get(F.try_element_at("metadata", F.lit("winlog_source")), "$", "string")
+    return rows.select(field_text("record_id").cast("bigint").alias("record_id"), F.col("source_name").alias("channel"), mode.alias("mode"))
+
+
 @query(
     "source_events_from_json",
     f"""SELECT CAST(event_id AS VARCHAR) AS id, {ISO} AS time, props AS raw_data, event_type,

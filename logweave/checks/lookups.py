@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from logweave.checks.base import query
 from logweave.operators.enrich import geo, lookup, resolve_hosts, user_agent
 from logweave.operators.extract import extract_grok, extract_regex
+from logweave.session import shared_dir
 
 
 @query(
@@ -67,6 +68,23 @@ def enrich_missing_noted(t):
     return rows.select("doc_id", "verdict", F.map_contains_key("metadata", "enrich_error").alias("noted"))
 
 
+@query(
+    "enrich_lookup_file",
+    """SELECT event_id, event_type, COALESCE(r.r_name, CASE event_type WHEN 'error' THEN 'failure' END) AS meaning FROM events
+    LEFT JOIN region r ON event_type = CASE r.r_regionkey WHEN 0 THEN 'view' WHEN 1 THEN 'click' END""",
+)
+def enrich_lookup_file(t):
+    """The JSON object in the file is merged over the inline table."""
+    folder = shared_dir(t.spark, "lookup")
+    names = t("region").groupBy().agg(
+        F.max(F.when(F.col("r_regionkey") == 0, F.col("r_name"))).alias("view"),
+        F.max(F.when(F.col("r_regionkey") == 1, F.col("r_name"))).alias("click"),
+    )
+    names.select(F.to_json(F.struct("view", "click"))).write.text(folder)
+    step = lookup("event_type", "meaning", {"error": "failure", "view": "overridden"}, lookup_file=folder)
+    return t("events").select("event_id", "event_type").transform(step)
+
+
 def _networks(t):
     """One address block per nation: ten leading octets each."""
     start = F.col("n_nationkey") * 10

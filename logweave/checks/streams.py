@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from logweave.checks.base import LEVEL, MICROS, field_text, log_lines, open_events, query
-from logweave.model import OPEN_MAP, event_columns
+from logweave.model import OPEN_MAP, add_field, event_columns
 from logweave.plans.flow import Flow
 from logweave.plans.registry import default_registry
 from logweave.session import shared_dir
@@ -109,6 +109,39 @@ def stream_file_follow(t):
     return t.spark.read.parquet(f"{folder}/out").drop("id")
 
 
+@query(
+    "stream_objects",
+    "SELECT role, text AS raw_data FROM (SELECT role, unnest(str_split(text, e'\\n')) AS text FROM conversations) WHERE trim(text, e' \\t\\n\\r') <> ''",
+)
+def stream_objects(t):
+    """Objects under a prefix, taken as they appear: each object is read once over two runs."""
+    folder = shared_dir(t.spark, "objects")
+    talks = t("conversations").select(F.col("text").alias("value"), "role")
+    flow = Flow(
+        {
+            "name": f"objects-{folder[-8:]}",
+            "sources": [{"name": "in", "type": "s3", "config": {"bucket": f"{folder}/in", "prefix": "role=", "scheme": None}}],
+            "processors": [
+                {"name": "key", "type": "regex", "config": {"pattern": "^(?P<line>.*)$"}},
+                {"name": "role", "type": "source_role", "config": {}},
+            ],
+            "sinks": [{"name": "t", "type": "table", "config": {"path": f"{folder}/out", "fields": ["role", "line"]}}],
+        },
+        _with_role(_registry()),
+    )
+    for part in ("role = 'user'", "role <> 'user'"):
+        talks.where(part).write.mode("append").partitionBy("role").text(f"{folder}/in")
+        streaming.start(flow, t.spark, f"{folder}/checkpoint", available_now=True, on_error="fail").awaitTermination()
+    return t.spark.read.parquet(f"{folder}/out").select("role", F.col("line").alias("raw_data"))
+
+
+def _with_role(registry):
+    """A custom processor: the role in the object key becomes a field."""
+    key = "regexp_extract(source_name, 'role=([^/]+)/', 1)"
+    registry.register("processor", "source_role", lambda: lambda df: add_field(df, "role", F.expr(key)))
+    return registry
+
+
 @query(
     "stream_counters",
     """SELECT CAST(count_if(event_type <> 'click' AND value > 5) AS BIGINT) AS events_processed,
