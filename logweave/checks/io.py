@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from logweave.checks.base import ISO, LEVEL, field_text, level, open_events, query
+from logweave.functions.once import once
 from logweave.functions.text import iso_text
 from logweave.metrics import rollup
 from logweave.model import event_document, from_documents
@@ -138,7 +139,7 @@ def _winlog_lines(t):
             F.when(kind == "error", F.struct(user.alias("id"))).alias("event_data"),
         ).alias("winlog"),
     )
-    return t("events").select(F.to_json(record).alias("value"))
+    return once(t("events"), "value", F.to_json(record)).select("value")
 
 
 @query(

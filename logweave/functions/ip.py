@@ -49,6 +49,8 @@ def with_ip_hex(df: DataFrame, text: Column, column: str) -> DataFrame:
     Built in steps, each a projection of its own, so that the generated code stays small.
     Version-6 work is done only for texts with a colon.
     """
+    head = _groups_hex("split_part(_ip_long, '::', 1)")
+    rest = _groups_hex("split_part(_ip_long, '::', 2)")
     steps = (
         # The address without its zone.
         {"_ip_long": "CASE WHEN contains(_ip_text, ':') THEN lower(split_part(_ip_text, '%', 1)) END"},
@@ -61,8 +63,8 @@ def with_ip_hex(df: DataFrame, text: Column, column: str) -> DataFrame:
             "substring(_ip_digits, 1, 4), ':', substring(_ip_digits, 5, 4)) END"
         },
         {
-            "_ip_head": f"CASE WHEN _ip_long RLIKE '{_V6}' THEN {_groups_hex("split_part(_ip_long, '::', 1)")} END",
-            "_ip_rest": f"CASE WHEN contains(_ip_long, '::') THEN {_groups_hex("split_part(_ip_long, '::', 2)")} ELSE '' END",
+            "_ip_head": f"CASE WHEN _ip_long RLIKE '{_V6}' THEN {head} END",
+            "_ip_rest": f"CASE WHEN contains(_ip_long, '::') THEN {rest} ELSE '' END",
         },
         {"_ip_gap": "32 - length(_ip_head) - length(_ip_rest)"},
     )
@@ -103,8 +105,9 @@ def is_private(column: str) -> Column:
     def judged(ip: str, width: int) -> str:
         return f"({_inside(ip, PRIVATE, width)} AND NOT {_inside(ip, GLOBAL, width)})"
 
+    short, mapped, long = judged(column, 8), judged(f"substring({column}, 25, 8)", 8), judged(column, 32)
+    prefix = "0" * 20 + "ffff"
     return F.expr(
-        f"CASE WHEN length({column}) = 8 THEN {judged(column, 8)} "
-        f"WHEN startswith({column}, '{'0' * 20}ffff') THEN {judged(f'substring({column}, 25, 8)', 8)} "
-        f"WHEN {column} IS NOT NULL THEN {judged(column, 32)} END"
+        f"CASE WHEN length({column}) = 8 THEN {short} WHEN startswith({column}, '{prefix}') THEN {mapped} "
+        f"WHEN {column} IS NOT NULL THEN {long} END"
     )
