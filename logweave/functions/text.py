@@ -77,10 +77,17 @@ def variant_text(col: Column, booleans: bool = True) -> Column:
 
 
 def text_to_double(text: Column) -> Column:
-    """Numeric reading of a text, NULL when it is none; Java-only forms (``1d``, hex) are none."""
-    return F.when(~text.rlike(r"[0-9.][dDfF]\s*$|[xX]"), text.try_cast("double"))
+    """Numeric reading of a text, NULL when it is none.
+
+    Java-only forms (``1d``, hex) are none; single underscores may group digits.
+    """
+    plain = F.when(
+        F.contains(text, F.lit("_")), F.when(~text.rlike("(?:^|[^0-9])_|_(?:[^0-9]|$)"), F.translate(text, "_", ""))
+    ).otherwise(text)
+    return F.when(~text.rlike(r"[0-9.][dDfF]\s*$|[xX]"), plain.try_cast("double"))
 
 
 def text_to_long(text: Column) -> Column:
     """Whole-number reading of a text, NULL when it is none (``3.7`` is none)."""
-    return F.when(text.rlike(r"^\s*[+-]?[0-9]+\s*$"), text.try_cast("bigint"))
+    shape = r"^\s*[+-]?[0-9]+(?:_[0-9]+)*\s*$"
+    return F.when(text.rlike(shape), F.translate(text, "_", "").try_cast("bigint"))

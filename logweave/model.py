@@ -107,8 +107,25 @@ class Fields:
             return F.when(self.is_text(name), F.try_variant_get(self.value(name), "$", "string"))
         return self.value(name).cast("string") if self.kind(name) == T.StringType() else F.lit(None).cast("string")
 
+    def parser_input(self, name: str) -> Column:
+        """Text a parser reads: NULL for a missing or empty value, a zero or false."""
+        if name == "raw_data":
+            return F.nullif(F.col("raw_data"), F.lit(""))
+        kind, value, text = self.kind(name), self.value(name), self.source(name)
+        if isinstance(kind, T.VariantType):
+            number = F.try_variant_get(value, "$", "double")
+            empty = (text == "") | (~self.is_text(name) & (F.coalesce(number == 0, F.lit(False)) | text.isin("[]", "{}")))
+            return F.when(~empty, text)
+        if isinstance(kind, T.NumericType):
+            return F.when(value != 0, text)
+        if isinstance(kind, T.BooleanType):
+            return F.when(value, text)
+        if isinstance(kind, (T.ArrayType, T.MapType)):
+            return F.when(F.size(value) > 0, text)
+        return F.nullif(text, F.lit(""))
+
     def source(self, name: str) -> Column:
-        """Input text of a parser: the event's raw line or a field, NULL if there is none."""
+        """Text of the event's raw line or of a field, NULL if there is none."""
         if name == "raw_data":
             return F.col("raw_data")
         if self.open:

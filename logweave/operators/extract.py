@@ -86,7 +86,9 @@ def _extract(
     # One column of matched groups per pattern: each pattern runs once per row however many
     # fields it feeds.
     columns = [f"_match{i}" for i in range(len(patterns))]
-    source = F.nullif(Fields(df).source(field), F.lit(""))
+    text = Fields(df).parser_input(field)
+    df = once(df, "_text", text) if is_open(df) else df.withColumn("_text", text)
+    source = F.col("_text")
     if first_only:
         for i, (pattern, _) in enumerate(patterns):
             groups = regex.match_groups(source, pattern)
@@ -112,7 +114,7 @@ def _extract(
         df = put(df, merged, WHERE_FOUND)
     if not preserve and field != "raw_data" and field != target:
         df = remove(df, [field], reduce(or_, hits))
-    return df.drop(*columns)
+    return df.drop(*columns, "_text")
 
 
 def _named(groups: Column, pattern: regex.Pattern, names: list[str | None]) -> dict[str, Column]:

@@ -30,7 +30,7 @@ def parse_json(
     struct = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
 
     def prepare(df: DataFrame) -> DataFrame:
-        df = df.withColumn(_INPUT, F.nullif(Fields(df).source(field), F.lit("")))
+        df = df.withColumn(_INPUT, Fields(df).parser_input(field))
         return jsontext.with_parsed(df, F.col(_INPUT), _PARSED)
 
     def invalid() -> Column:

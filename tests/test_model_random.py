@@ -56,7 +56,7 @@ def m_filter(e, field, op, value, negate):
 
 def m_regex(e, field, pattern):
     value = e["fields"].get(field)
-    if value is not None and text(value) != "":
+    if value:
         match = re.search(pattern, text(value))
         if match:
             e["fields"].update({k: v for k, v in match.groupdict().items() if v is not None})

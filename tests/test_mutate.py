@@ -29,8 +29,8 @@ def test_open_parts_in_fixed_order(make_events, read_events):
 
 
 CONVERT = {
-    "int": [("42", 42), (" 42 ", 42), ("3.7", "error"), (3.7, 3), (True, 1), ("x", "error"), (None, None), ("1_0x", "error")],
-    "float": [("1.5", 1.5), ("1d", "error"), ("0x1p3", "error"), (2, 2.0), ("1e3", 1000.0), (False, 0.0)],
+    "int": [("42", 42), (" 42 ", 42), ("3.7", "error"), (3.7, 3), (True, 1), ("x", "error"), (None, None), ("1_0x", "error"), ("1_000", 1000), ("_1", "error")],
+    "float": [("1.5", 1.5), ("1d", "error"), ("0x1p3", "error"), (2, 2.0), ("1e3", 1000.0), (False, 0.0), ("1_0.5", 10.5), ("1_.5", "error")],
     "str": [(1, "1"), (True, "True"), (0.5, "0.5"), ("x", "x"), (None, None)],
     "bool": [("Yes", True), ("no", False), ("", False), (0, False), (2.5, True), ([], False), ([0], True), (None, None)],
     "list": [("a , b", ["a", "b"]), ("", [""]), ([1], [1]), (7, [7]), (None, None)],
