@@ -84,7 +84,9 @@ def text_to_double(text: Column) -> Column:
     plain = F.when(
         F.contains(text, F.lit("_")), F.when(~text.rlike("(?:^|[^0-9])_|_(?:[^0-9]|$)"), F.translate(text, "_", ""))
     ).otherwise(text)
-    return F.when(~text.rlike(r"[0-9.][dDfF]\s*$|[xX]"), plain.try_cast("double"))
+    # Words are told apart by their first character: a failing cast is far dearer.
+    likely = text.rlike(r"^\s*[+-]?[0-9.iInN]") & ~text.rlike(r"[0-9.][dDfF]\s*$|[xX]")
+    return F.when(likely, plain.try_cast("double"))
 
 
 def text_to_long(text: Column) -> Column:

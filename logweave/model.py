@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from logweave.functions import text as tx
 from logweave.functions.once import once
+from logweave.session import last_key_wins
 
 ENVELOPE = ("id", "timestamp", "source_type", "source_name", "raw_data", "fields", "metadata", "tags")
 OPEN_MAP = "map<string,variant>"
@@ -111,11 +112,16 @@ class Fields:
         """Text a parser reads: NULL for a missing or empty value, a zero or false."""
         if name == "raw_data":
             return F.nullif(F.col("raw_data"), F.lit(""))
-        kind, value, text = self.kind(name), self.value(name), self.source(name)
+        kind, value = self.kind(name), self.value(name)
         if isinstance(kind, T.VariantType):
-            number = F.try_variant_get(value, "$", "double")
-            empty = (text == "") | (~self.is_text(name) & (F.coalesce(number == 0, F.lit(False)) | text.isin("[]", "{}")))
-            return F.when(~empty, text)
+            shape, plain = F.schema_of_variant(value), F.try_variant_get(value, "$", "string")
+            return (
+                F.when(shape == "STRING", F.nullif(plain, F.lit("")))
+                .when(shape == "BOOLEAN", F.when(plain == "true", F.lit("True")))
+                .when(shape.rlike("^(?:ARRAY|OBJECT)"), F.when(~plain.isin("[]", "{}"), plain))
+                .when(F.try_variant_get(value, "$", "double") != 0, plain)
+            )
+        text = self.source(name)
         if isinstance(kind, T.NumericType):
             return F.when(value != 0, text)
         if isinstance(kind, T.BooleanType):
@@ -174,22 +180,29 @@ def put(
                 # Reads the column it replaces more than once.
                 df = once(df, name, chosen.pop(name))
         return df.withColumns(chosen) if chosen else df
-    fields = F.col("fields")
-
-    def replaced(key: Column) -> Column:
-        hit = F.lit(False)
-        for name in values:
-            same = key == F.lit(name)
-            hit = hit | (same if conditions.get(name) is None else same & conditions[name])
-        return hit
-
     additions = []
     for name, value in values.items():
         entry = F.create_map(F.lit(name), as_variant(df, value))
         condition = conditions.get(name)
         additions.append(entry if condition is None else F.when(condition, entry).otherwise(empty_map()))
-    kept = F.map_filter(fields, lambda k, _: ~replaced(k))
-    return once(df, "fields", F.map_concat(kept, *additions))
+    return once(df, "fields", overlay(df, F.col("fields"), *additions))
+
+
+def overlay(df: DataFrame, base: Column, *maps: Column) -> Column:
+    """The base map with the entries of the others set; a later map wins.
+
+    With the session's last-key-wins setting this is one compiled expression. Without it
+    the keys to come are taken out of the map before.
+    """
+    if last_key_wins(df.sparkSession):
+        return F.map_concat(base, *maps)
+    for entries in maps:
+        base = F.map_concat(_without(base, entries), entries)
+    return base
+
+
+def _without(base: Column, entries: Column) -> Column:
+    return F.map_filter(base, lambda key, _: ~F.map_contains_key(entries, key))
 
 
 def _choose(df: DataFrame, name: str, value: Column, condition: Column | str | None) -> Column:
@@ -223,7 +236,7 @@ def note(df: DataFrame, key: str, message: Column, when: Column | None = None) -
     value_type = df.schema["metadata"].dataType.valueType
     value = as_variant(df, message) if isinstance(value_type, T.VariantType) else message.cast(value_type)
     known = F.coalesce(F.col("metadata"), F.create_map().cast(df.schema["metadata"].dataType))
-    added = F.map_concat(F.map_filter(known, lambda k, _: k != F.lit(key)), F.create_map(F.lit(key), value))
+    added = overlay(df, known, F.create_map(F.lit(key), value))
     return once(df, "metadata", added if when is None else F.when(when, added).otherwise(known))
 
 

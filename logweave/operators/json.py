@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from logweave.functions import jsontext
 from logweave.functions.once import once
-from logweave.model import OPEN_MAP, WHERE_FOUND, Fields, is_open, note, put, remove
+from logweave.model import OPEN_MAP, WHERE_FOUND, Fields, is_open, note, overlay, put, remove
 from logweave.operators.base import Step, Verdict
 
 _PARSED = "_parsed_json"
@@ -68,5 +68,4 @@ def _merge_object(df: DataFrame) -> DataFrame:
     """New keys win; a JSON value that is no object adds nothing."""
     members = "_json_members"
     df = once(df, members, F.coalesce(jsontext.value(_PARSED, OPEN_MAP), F.create_map().cast(OPEN_MAP)))
-    kept = F.map_filter("fields", lambda k, _: ~F.map_contains_key(F.col(members), k))
-    return once(df, "fields", F.map_concat(kept, F.col(members))).drop(members)
+    return once(df, "fields", overlay(df, F.col("fields"), F.col(members))).drop(members)

@@ -13,6 +13,8 @@ DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     # A repeated JSON key keeps its last value instead of making the document invalid.
     "spark.sql.variant.allowDuplicateKeys": "true",
+    # Setting a field that is there replaces it, without searching the map for it first.
+    "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     # Hot keys are split at run time even where that costs one more exchange.
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -33,6 +35,11 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def last_key_wins(spark: SparkSession) -> bool:
+    """Whether joining maps keeps the last value of a repeated key."""
+    return spark.conf.get("spark.sql.mapKeyDedupPolicy").upper() == "LAST_WIN"
+
+
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder every executor can reach.
 

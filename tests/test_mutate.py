@@ -28,6 +28,19 @@ def test_open_parts_in_fixed_order(make_events, read_events):
     assert got["e1"]["fields"] == {"new": 5, "env": "prod", "n2": 3, "d": {"k": [1]}, "m": "5"}
 
 
+def test_without_last_key_wins(spark, make_events, read_events):
+    """The same result under Spark's default rule for repeated map keys."""
+    df = make_events([{"a": "x", "b": 1}, {"b": "2"}])
+    step = mutate(add_fields={"a": "y"}, rename_fields={"b": "a"}, convert_fields={"a": "int"})
+    wanted = read_events(df.transform(step))
+    spark.conf.set("spark.sql.mapKeyDedupPolicy", "EXCEPTION")
+    try:
+        assert read_events(df.transform(step)) == wanted
+    finally:
+        spark.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
+    assert [wanted[k]["fields"] for k in ("e0", "e1")] == [{"a": 1}, {"a": 2}]
+
+
 CONVERT = {
     "int": [("42", 42), (" 42 ", 42), ("3.7", "error"), (3.7, 3), (True, 1), ("x", "error"), (None, None), ("1_0x", "error"), ("1_000", 1000), ("_1", "error")],
     "float": [("1.5", 1.5), ("1d", "error"), ("0x1p3", "error"), (2, 2.0), ("1e3", 1000.0), (False, 0.0), ("1_0.5", 10.5), ("1_.5", "error")],
