@@ -76,17 +76,20 @@ def variant_text(col: Column, booleans: bool = True) -> Column:
     return F.when(F.is_variant_null(col), F.lit("None")).otherwise(text)
 
 
+_DIGITS = "[0-9]+(?:_[0-9]+)*"
+NUMBER_SHAPE = (
+    rf"^\s*[+-]?(?:(?:{_DIGITS}(?:[.](?:{_DIGITS})?)?|[.]{_DIGITS})(?:[eE][+-]?{_DIGITS})?"
+    r"|(?i:inf(?:inity)?|nan))\s*$"
+)
+
+
 def text_to_double(text: Column) -> Column:
-    """Numeric reading of a text, NULL when it is none.
+    """Numeric reading of a text, NULL when it is none; single underscores may group digits.
 
-    Java-only forms (``1d``, hex) are none; single underscores may group digits.
+    The shape is checked first: a failing cast costs far more, and some forms that Java
+    accepts (``1d``, hex) are none.
     """
-    plain = F.when(
-        F.contains(text, F.lit("_")), F.when(~text.rlike("(?:^|[^0-9])_|_(?:[^0-9]|$)"), F.translate(text, "_", ""))
-    ).otherwise(text)
-    # Words are told apart by their first character: a failing cast is far dearer.
-    likely = text.rlike(r"^\s*[+-]?[0-9.iInN]") & ~text.rlike(r"[0-9.][dDfF]\s*$|[xX]")
-    return F.when(likely, plain.try_cast("double"))
+    return F.when(text.rlike(NUMBER_SHAPE), F.translate(text, "_", "").try_cast("double"))
 
 
 def text_to_long(text: Column) -> Column:

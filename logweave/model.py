@@ -19,6 +19,8 @@ from logweave.session import last_key_wins
 
 ENVELOPE = ("id", "timestamp", "source_type", "source_name", "raw_data", "fields", "metadata", "tags")
 OPEN_MAP = "map<string,variant>"
+# Prefix of helper columns that hold the double reading of a field.
+NUMBER = "_number_"
 
 EVENT_SCHEMA = T.StructType(
     [
@@ -141,6 +143,8 @@ class Fields:
 
     def number(self, name: str) -> Column:
         """Double reading of the value, NULL where absent or not numeric."""
+        if NUMBER + name in self.types:
+            return quoted(NUMBER + name)
         kind = self.kind(name)
         value = self.value(name)
         if isinstance(kind, T.VariantType):
@@ -277,6 +281,10 @@ def event_columns(df: DataFrame, **given: Column) -> list[Column]:
 
 def to_events(df: DataFrame, **given: Column) -> DataFrame:
     """Open-layout events out of any rows; ``given`` maps envelope names to columns."""
+    fields = given.get("fields")
+    if "fields" in given:  # built once, however many later conditions read it
+        given["fields"] = F.col("_fields")
+        df = once(df, "_fields", fields)
     return df.select(*event_columns(df, **given))
 
 

@@ -16,8 +16,9 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from logweave.functions import regex
+from logweave.functions.once import once
 from logweave.functions.text import variant_text
-from logweave.model import Fields
+from logweave.model import NUMBER, Fields
 from logweave.operators.base import Step, Verdict
 
 _COMPARISON = re.compile(r"(\w+)\s*(==|!=|>=|<=|>|<|=~|!~|not in|in)\s*(.*)")
@@ -143,6 +144,14 @@ def filter_events(
     if mode not in ("any", "all"):
         raise ValueError(f"Invalid mode: {mode}")
     parsed = [parse_condition(t) for t in texts]
+    compared = list(dict.fromkeys(c.field for c in parsed if c.op in _NUMERIC))
+
+    def prepare(df: DataFrame) -> DataFrame:
+        # Numbers that must be read out of a text or variant are read once per row.
+        for name in compared:
+            if isinstance(Fields(df).kind(name), (T.StringType, T.VariantType)):
+                df = once(df, NUMBER + name, Fields(df).number(name))
+        return df
 
     def judge(df: DataFrame) -> Verdict:
         fields = Fields(df)
@@ -156,4 +165,7 @@ def filter_events(
         needs_check = negate or len(parsed) > 1
         return Verdict(keep & ~error if needs_check else keep, error, "not a number")
 
-    return Step("filter", judge=judge)
+    def finish(df: DataFrame) -> DataFrame:
+        return df.drop(*(NUMBER + name for name in compared))
+
+    return Step("filter", prepare, judge, finish) if compared else Step("filter", judge=judge)
