@@ -29,8 +29,6 @@ def make_events(spark):
     """Open-layout events from ``fields`` dictionaries, in order of ``id``."""
     import json
 
-    from pyspark.sql import functions as F
-
     from logweave.model import from_documents
 
     def make(rows, raw=None):
