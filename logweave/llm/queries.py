@@ -73,6 +73,50 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(table(spark, folder, "documents").select("doc_id", "text"), tokenizer_path("byte_bpe_50k.json"))
 
 
+@query("op1_chat_format")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    from logweave.llm.chat import format_chats
+
+    return format_chats(table(spark, folder, "conversations"))
+
+
+@query("op9_license_scan")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    from logweave.llm.licenses import known_licenses, license_matches
+
+    return license_matches(table(spark, folder, "documents"), known_licenses(spark))
+
+
+@query(
+    "op10_exact_top_k",
+    """
+    WITH v AS (
+        SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+        WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), s AS (
+        SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e::DOUBLE[], c.e::DOUBLE[])::BIGINT AS score
+        FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0
+    ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+    SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+    """,
+)
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    from logweave.llm.topk import quantized, top_k
+
+    vectors = quantized(table(spark, folder, "embeddings"))
+    return top_k(vectors, vectors.where("id % 20 = 0"), 20)
+
+
+@query("op3_cross_parsing_language")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    from logweave.llm.langid import identify, learn
+
+    docs = table(spark, folder, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    samples = learn(docs, ~held_out)
+    return identify(docs.select("doc_id", held_out.alias("held_out"), "text"), samples).select("doc_id", "held_out", "lang_pred", "score")
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
