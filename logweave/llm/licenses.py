@@ -119,7 +119,7 @@ def license_matches(docs: DataFrame, known: DataFrame, text: str = "text", key:
     lines = F.transform("_lines", lambda x, i: F.struct(i.cast("int").alias("line"), digest(x, head(x)).alias("digest")))
     # A text of one line is answered once, as the whole text.
     units = F.when(F.size("_lines") > 1, F.concat(whole, F.filter(lines, lambda u: u["digest"].isNotNull()))).otherwise(whole)
-    rows = rows.select(key, F.inline(units)).where("digest IS NOT NULL")
+    rows = once(rows, "_units", units).select(key, F.inline("_units")).where("digest IS NOT NULL")
     small = known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     known = known.select("digest", "license")
     return rows.join(F.broadcast(known) if small else known, "digest").select(key, "line", "license")

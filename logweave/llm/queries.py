@@ -117,6 +117,18 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return identify(docs.select("doc_id", held_out.alias("held_out"), "text"), samples).select("doc_id", "held_out", "lang_pred", "score")
 
 
+@query("op7_gumbel_segmentation")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    from logweave.llm.subword import decode, encode_samples
+
+    model = tokenizer_path("piece_bpe_32k.model")
+    drawn = encode_samples(table(spark, folder, "documents").select("doc_id", "text"), model)
+    rows = drawn.select("doc_id", "text", F.posexplode("samples").alias("sample", "s")).select("doc_id", "text", "sample", "s.*")
+    read = decode(rows, "ids", model)
+    ids = F.size("ids").cast("bigint").alias("n_ids"), F.xxhash64("ids").alias("ids_hash"), (F.col("decoded") == F.col("text")).alias("round_trip")
+    return read.select("doc_id", "sample", *ids, "log_prob", "perturbed", "log_inclusion")
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
