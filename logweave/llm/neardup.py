@@ -8,7 +8,7 @@ Candidates of a bucket are star-shaped: all members against one center, the memb
 buckets with others. Every candidate is confirmed on the full sets. A member that fails against the
 center may still link with another member, so the buckets are gone through again until none has
 members of different components left to compare; used centers leave, buckets whose members have
-come together leave, and the number of centers a bucket may take doubles from round to round. Pairs
+come together leave, and the number of centers a bucket may take grows eightfold from round to round. Pairs
 that the triangle inequality (through distances to the first center) or the sizes rule out are never
 made. No bucket is capped: what a round leaves, a later one takes.
 
@@ -37,6 +37,7 @@ BINS = 256
 ROWS = 8
 BANDS = BINS // ROWS
 SHINGLE = 5
+GROWTH = 8  # of the centers a bucket may take, from round to round
 EMPTY = U(0xFFFFFFFFFFFFFFFF)
 
 
@@ -233,7 +234,7 @@ def near_duplicate_classes(docs: DataFrame, text: str = "text", key: str = "doc_
         active = active.join(named, "node", "left").withColumn("component", F.coalesce("own", "node")).drop("own")
         open_ = active.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
         active = written(active.join(open_, "bucket", "left_semi"), "near-active")
-        turn, most = turn + 1, most * 2
+        turn, most = turn + 1, most * GROWTH
         if active.isEmpty():
             return _answer(found, classes)
 
