@@ -70,12 +70,8 @@ def _dup_lines(texts: Texts) -> np.ndarray:
     cut = np.flatnonzero(data == 10)
     start = np.union1d(texts.at[:-1], cut + 1)
     start = start[start < n]
-    stop = np.zeros(n + 1, bool)
-    stop[texts.at[1:]] = True
-    stop[cut] = True
-    ends = np.flatnonzero(stop)
-    end = ends[np.searchsorted(ends, start)]
     doc = np.searchsorted(texts.at, start, "right") - 1
+    end = np.minimum(np.append(cut, n)[np.searchsorted(cut, start)], texts.at[doc + 1])
     has = np.zeros(n + 1, np.int64)
     np.cumsum((KIND[data] != SPACE), out=has[1:])
     worded = has[end] > has[start]
