@@ -139,6 +139,12 @@ def mutate_gsub(t):
     return t("documents").select("doc_id", "text").transform(mutate(gsub_fields={"text": [r"([A-Z])[a-z]+ (of|le)", r"<\1> \g<2>"]}))
 
 
+@query("mutate_gsub_named", r"SELECT doc_id, regexp_replace(text, '([A-Z])[a-z]+ (of|le)', '<\1> \2!', 'g') AS text FROM documents")
+def mutate_gsub_named(t):
+    rule = [r"(?P<first>[A-Z])[a-z]+ (?P<word>of|le)", r"<\g<first>> \g<word>!"]
+    return t("documents").select("doc_id", "text").transform(mutate(gsub_fields={"text": rule}))
+
+
 @query(
     "mutate_merge",
     """SELECT d.doc_id, d.lang || COALESCE(' ' || l.quality, '') || ' ' || d.n_chars AS merged

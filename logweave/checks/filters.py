@@ -47,6 +47,12 @@ def filter_not_regex(t):
     return t("part").transform(filter_events("p_name !~ '^(red|blue) .*t$'")).select("p_partkey", "p_name")
 
 
+@query("filter_regex_escape", "SELECT doc_id, n_chars FROM documents WHERE regexp_matches(text, 'An[a-z]+[.]') AND NOT regexp_matches(text, 'É[a-z]')")
+def filter_regex_escape(t):
+    rows = t("documents").transform(filter_events(r"text =~ '\x41n[a-z]+\x2e'")).transform(filter_events(r"text !~ '\u00c9[a-z]'"))
+    return rows.select("doc_id", "n_chars")
+
+
 @query("filter_exists", f"SELECT doc_id, quality FROM {LABELLED} WHERE quality IS NOT NULL")
 def filter_exists(t):
     return labelled(t).transform(filter_events("exists:quality")).select("doc_id", "quality")

@@ -76,6 +76,12 @@ def regex_named(t):
     return t("pages").select("page_id", "url").transform(extract_regex(_URL, "url"))
 
 
+@query("regex_escape", "SELECT page_id, nullif(regexp_extract(url, 'https?://([^/]+)', 1), '') AS host FROM pages")
+def regex_escape(t):
+    step = extract_regex(r"\x68ttps?:\057\x2f(?P<host>[^/]+)", "url")
+    return t("pages").select("page_id", "url").transform(step).select("page_id", "host")
+
+
 @query("regex_positional", f"SELECT page_id, {_url_part(1)} AS scheme, {_url_part(2)} AS group2, {_url_part(5)} AS group5 FROM pages")
 def regex_positional(t):
     step = extract_regex(_URL_RE2, "url", named_groups=False, group_names=["scheme"], preserve_original=False)

@@ -18,8 +18,12 @@ MARK = "\x01"
 _NAMED = re.compile(r"\(\?P?<([A-Za-z_]\w*)>")
 _FLAGS = re.compile(r"\(\?([aiLmsux]+)([:)])")
 _COUNT = re.compile(r"\{(\d*)(,?)(\d*)\}")
+# One escape as a whole: a code point, an octal number, a group reference, or a single character.
+_ESCAPE = re.compile(r"\\(?:x(?P<x>[0-9a-fA-F]{2})|u(?P<u>[0-9a-fA-F]{4})|U(?P<U>[0-9a-fA-F]{8})|(?P<octal>0[0-7]{0,2}|[0-3][0-7]{2})|(?P<group>[1-9]\d?)|(?P<plain>.))", re.S)
 # Escapes whose Java spelling differs outside a character class.
 _ESCAPES = {"Z": r"\z", "v": r"\x0B", "a": r"\x07"}
+# Escapes of one character in a replacement.
+_PLAIN = {"a": "\a", "b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t", "v": "\v", "\\": "\\"}
 
 
 @dataclass(frozen=True)
@@ -79,20 +83,26 @@ def compile_pattern(pattern: str) -> Pattern:
     while i < len(pattern):
         ch = pattern[i]
         if ch == "\\":
-            nxt = pattern[i + 1 : i + 2]
-            if not nxt:
+            token = _ESCAPE.match(pattern, i)
+            if not token:
                 raise ValueError("Invalid regular expression pattern: trailing backslash")
-            unicode_classes |= nxt in "wWdDsSbB"
+            i = token.end()
+            code = token["x"] or token["u"] or token["U"] or (token["octal"] and f"{int(token['octal'], 8):x}")
+            nxt = token["plain"] or ""
+            unicode_classes |= nxt != "" and nxt in "wWdDsSbB"
             if not in_class:
-                if nxt.isalnum():
+                if nxt and not nxt.isalnum():
+                    stack[-1].literal(nxt, pattern[i:])
+                else:  # stands for something else than its own text
                     stack[-1].cut()
-                else:
-                    stack[-1].literal(nxt, pattern[i + 2 :])
-            if in_class and nxt == "b":
+            if code:
+                out.append("\\x{%s}" % code)
+            elif token["group"]:
+                out.append(f"(?:\\{token['group']})")
+            elif in_class and nxt == "b":
                 out.append(r"\x08")
             else:
                 out.append(_ESCAPES.get(nxt, ch + nxt))
-            i += 2
             continue
         if in_class:
             if ch == "]" and i > class_start:
@@ -244,23 +254,41 @@ def group_value(groups: Column, pattern: Pattern, index: int) -> Column:
     return F.nullif(value, F.lit("")) if pattern.groups[index - 1].optional else value
 
 
-def replacement(template: str) -> str:
-    """``\\1`` / ``\\g<1>`` replacement text in the JVM's ``$1`` spelling."""
+def replacement(template: str, pattern: Pattern) -> str:
+    """Replacement text of the ``re`` dialect (``\\1``, ``\\g<1>``, ``\\g<name>``) in the JVM's ``$1`` spelling."""
     out, i = [], 0
+    names = [g.name for g in pattern.groups]
     while i < len(template):
         ch = template[i]
-        ref = re.compile(r"\\(?:g<(\d+)>|([1-9]\d?))").match(template, i)
+        ref = re.compile(r"\\(?:g<([^>]*)>|([1-9]\d?)(?![0-7]))").match(template, i)
+        octal = re.compile(r"\\(0[0-7]{0,2}|[0-3][0-7]{2})").match(template, i)
         if ref:
-            out.append("$" + (ref.group(1) or ref.group(2)))
+            name = ref.group(1) if ref.group(1) is not None else ref.group(2)
+            if name.isdecimal() and int(name) <= len(names):
+                number = int(name)
+            elif name in names:
+                number = names.index(name) + 1
+            else:
+                raise ValueError(f"invalid group reference {name}")
+            out.append(f"${number}")
             i = ref.end()
             if template[i : i + 1].isdigit():  # keep a following digit out of the group number
                 out.append("\\" + template[i])
                 i += 1
+        elif octal:
+            out.append(_quoted(chr(int(octal.group(1), 8))))
+            i = octal.end()
         elif ch == "\\" and i + 1 < len(template):
-            plain = {"n": "\n", "t": "\t", "r": "\r"}.get(template[i + 1])
-            out.append(plain if plain else "\\\\" if template[i + 1] == "\\" else "\\" + template[i + 1])
+            nxt = template[i + 1]
+            if nxt not in _PLAIN and nxt.isascii() and nxt.isalnum():
+                raise ValueError(f"bad escape \\{nxt}")
+            out.append(_quoted(_PLAIN.get(nxt, ch + nxt)))
             i += 2
         else:
-            out.append("\\$" if ch == "$" else ch)
+            out.append(_quoted(ch))
             i += 1
     return "".join(out)
+
+
+def _quoted(text: str) -> str:
+    return text.replace("\\", "\\\\").replace("$", "\\$")

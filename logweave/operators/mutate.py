@@ -83,13 +83,14 @@ def strip_fields(names: list[str]) -> Step:
 
 
 def gsub_fields(rules: dict[str, list[str]]) -> Step:
-    """Replace every match: ``{field: [pattern, replacement]}`` with ``\\1`` group references."""
+    """Replace every match: ``{field: [pattern, replacement]}`` with group references by number or name."""
     compiled = {}
     for name, rule in rules.items():
         if not isinstance(rule, (list, tuple)) or len(rule) != 2:
             raise ValueError(f"gsub_fields.{name} must be a list with [pattern, replacement]")
         try:
-            compiled[name] = (regex.compile_pattern(rule[0]).java, regex.replacement(rule[1]))
+            pattern = regex.compile_pattern(rule[0])
+            compiled[name] = (pattern.java, regex.replacement(rule[1], pattern))
         except ValueError as error:
             raise ValueError(f"Invalid regex pattern for gsub_fields.{name}: {error}") from error
     return _map_strings(
