@@ -181,7 +181,7 @@ def near_duplicate_classes(docs: DataFrame, text: str = "text", key: str = "doc_
     found = written(docs.select("doc_id", arrow_udf(features, FEATURES)(read).alias("f")).select("doc_id", "f.*"), "near-features")
     # 1. Equal sets, of any number, come together by their digest alone.
     whole = found.where("doc_id IS NOT NULL AND n_shingles > 0")
-    first = whole.groupBy("set1", "set2", "n_shingles").agg(F.min("doc_id").alias("rep"))
+    first = written(whole.groupBy("set1", "set2", "n_shingles").agg(F.min("doc_id").alias("rep")), "near-first")  # written, so that the join may split copies
     member = whole.join(first, ["set1", "set2", "n_shingles"])
     bands = F.when(F.col("doc_id") == F.col("rep"), F.col("bands"))
     member = written(member.select("doc_id", "rep", F.col("n_shingles").alias("n"), bands.alias("bands")), "near-members")
@@ -189,6 +189,7 @@ def near_duplicate_classes(docs: DataFrame, text: str = "text", key: str = "doc_
     # 2. Buckets with two members or more.
     rows = member.where("bands IS NOT NULL").select(F.explode("bands").alias("bucket"), F.col("rep").alias("node"), "n")
     shared = rows.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("held")).where("lo < hi")
+    shared = written(shared, "near-shared")
     active = written(rows.join(shared.select("bucket", "held"), "bucket").distinct(), "near-buckets")
     if active.isEmpty():
         return _answer(found, components(same))
