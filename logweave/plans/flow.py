@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import logging
 import time
 from collections.abc import Callable
 from typing import Any
@@ -18,6 +19,9 @@ from logweave.session import configure
 from logweave.sources.union import fan_in
 
 
+_log = logging.getLogger(__name__)
+
+
 class ConfigError(ValueError):
     """A flow declaration that cannot be built."""
 
@@ -66,6 +70,8 @@ class Flow:
     def __init__(self, spec: dict[str, Any], registry: Registry | None = None):
         check(spec)
         self.spec, self.name = spec, spec["name"]
+        self.sink_failures: list[str] = []  # of this run, in order
+        self.started = time.time()
         self.registry = registry or default_registry()
         self.steps: list[Callable[[DataFrame], DataFrame]] = []
         for item in spec.get("processors", []):
@@ -116,9 +122,11 @@ class Flow:
                     builder(df, **accepted(builder, item["config"]))
                 except Exception as error:  # noqa: BLE001 - isolation is the feature
                     failures.append(f"{item['name']}: {error}")
+                    _log.error("flow %s, sink %s failed: %s", self.name, item["name"], error)
         finally:
             if shared:
                 df.unpersist()
+        self.sink_failures += failures
         if failures and on_error == "fail":
             raise RuntimeError("; ".join(failures))
         return failures
@@ -138,7 +146,9 @@ class Flow:
             audited = self.audit(rows).observe(seen, *metrics.counters())
             kept = audited.where(F.col(metrics.STATUS)["state"] == "ok").drop(metrics.STATUS)
             failures = self.write(kept, on_error)
-            tally = {k: int(seen.get[k] or 0) for k in metrics.COUNTERS}
+            # Without a sink that ran to its end there is nothing observed, and asking would wait for ever.
+            observed = seen.get if len(failures) < len(self.spec["sinks"]) else {}
+            tally = {k: int(observed.get(k) or 0) for k in metrics.COUNTERS}
             tally["processing_errors"] += len(failures)
         else:
             failures = self.write(self.transform(rows), on_error)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -48,17 +49,21 @@ def start(
         writer = writer.trigger(availableNow=True)
     else:
         writer = writer.trigger(processingTime=f"{float(flow.spec.get('batch_timeout', 5.0))} seconds")
+    flow.sink_failures.clear()
+    flow.started = time.time()
     return writer.foreachBatch(write).start()
 
 
 def status(flow: Flow, query: StreamingQuery) -> dict[str, Any]:
-    """Status row of a running or finished stream; counters over its kept progress."""
+    """Status row of a running or finished stream; counters over its kept progress, and all failures of sinks."""
     tally = dict.fromkeys(metrics.COUNTERS, 0)
     for progress in query.recentProgress:
         row = (progress.observedMetrics or {}).get(_label(flow))
         for key in metrics.COUNTERS:
             tally[key] += int(row[key] or 0) if row is not None else 0
-    return flow.status(tally, query.isActive, 0.0)
+    tally["processing_errors"] += len(flow.sink_failures)
+    uptime = time.time() - flow.started if query.isActive else 0.0
+    return flow.status(tally, query.isActive, uptime) | {"failures": list(flow.sink_failures)}
 
 
 def running(spark: SparkSession) -> dict[str, StreamingQuery]:

@@ -111,6 +111,25 @@ def test_failing_sink_is_isolated(spark, folder):
         query.awaitTermination(60)
 
 
+def test_failures_are_counted(spark, folder):
+    """A batch without a working sink ends, and a stream tells what its sinks lost."""
+    registry = default_registry()
+
+    def broken(df, **_):
+        raise RuntimeError("disk full")
+
+    registry.register("sink", "broken", broken)
+    spec = _spec(str(folder / "in"), str(folder / "out"))
+    spec["sinks"] = [{"name": "bad", "type": "broken", "config": {}}]
+    status = Flow(spec, registry).run_batch(spark, count=True)
+    assert status["failures"] == ["bad: disk full"] and status["processing_errors"] == 1
+    flow = Flow(spec, registry)
+    query = streaming.start(flow, spark, str(folder / "c"), available_now=True)
+    query.awaitTermination()
+    status = streaming.status(flow, query)
+    assert status["processing_errors"] == len(status["failures"]) >= 1
+
+
 def test_custom_components(spark, folder, read_events):
     registry = default_registry()
     registry.register("processor", "pkg.Tagger", lambda text: lambda df: df.withColumn("tags", F.array(F.lit(text))))
