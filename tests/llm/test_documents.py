@@ -430,6 +430,23 @@ def test_samples_are_drawn_without_replacement():
     assert total / n == pytest.approx(1, abs=0.05)
 
 
+@pytest.mark.parametrize("word", ["▁cat", "▁▁x", "▁日本語é\x01", "▁" + "ab" * 40])
+def test_lattice_against_all_pieces(word):
+    vocabulary = subword.Vocabulary(model(), 1.0)
+    mass = [0.0] * len(word) + [1.0]  # of all paths from a place to the end
+    steps = [[] for _ in word]
+    for i in reversed(range(len(word))):
+        ends = [j for j in range(i + 1, len(word) + 1) if word[i:j] in vocabulary.ids]
+        found = [(j - i, vocabulary.ids[word[i:j]], np.exp(vocabulary.log_weight[vocabulary.ids[word[i:j]]])) for j in ends]
+        steps[i] = found or [(1, -1 - ord(word[i]), np.exp(vocabulary.least))]
+        mass[i] = sum(w * mass[i + n] for n, _, w in steps[i])
+    lattices = subword.Lattices(vocabulary)
+    lattices.add(["▁other", "▁b"])
+    for i, own in enumerate(lattices._edges(word)):
+        assert [x[:2] for x in own] == [x[:2] for x in steps[i]]
+        assert [x[2] for x in own] == pytest.approx([w * mass[i + n] / mass[i] for n, _, w in steps[i]])
+
+
 def test_all_segmentations_if_fewer():
     lattices = subword.Lattices(subword.Vocabulary(model(), 1.0))
     paths = all_paths(lattices, "ab")
