@@ -8,8 +8,8 @@ Candidates of a bucket are star-shaped: all members against one center, the memb
 buckets with others. Every candidate is confirmed on the full sets. A member that fails against the
 center may still link with another member, so the buckets are gone through again until none has
 members of different components left to compare; used centers leave, buckets whose members have
-come together leave, and the number of centers a bucket may take grows eightfold from round to round. Pairs
-that the triangle inequality (through distances to the first center) or the sizes rule out are never
+come together leave, and the number of centers a bucket may take grows eightfold from round to round, up
+to 512. Pairs that the triangle inequality (through distances to the first center) or the sizes rule out are never
 made. No bucket is capped: what a round leaves, a later one takes.
 
 Two documents at the threshold of 0.85 share no bucket with probability (1 - 0.85**8)**32 = 4e-5.
@@ -38,6 +38,7 @@ ROWS = 8
 BANDS = BINS // ROWS
 SHINGLE = 5
 GROWTH = 8  # of the centers a bucket may take, from round to round
+CENTERS = 512  # of a bucket in one round, at most; the next round takes further ones
 EMPTY = U(0xFFFFFFFFFFFFFFFF)
 
 
@@ -169,6 +170,30 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return whole.select("a", "b", common.alias("common"), F.size("items_a").cast("bigint").alias("size_a"), F.size("items_b").cast("bigint").alias("size_b"))
 
 
+def _spokes(active: DataFrame, centers: DataFrame, percent: int) -> DataFrame:
+    """``(node, c)``: every member with the centers of its buckets that it may link with, each once.
+
+    Buckets of nearly the same members name nearly the same centers, so the lists of a member's
+    buckets (``BANDS`` of at most ``CENTERS`` each) are united before rows are made of them. What
+    the triangle inequality, |d(x, y) - d(x, z)| <= d(y, z) with d = 1 - similarity, rules out
+    in one bucket is ruled out in all.
+    """
+
+    def other(c: Column) -> Column:
+        apart = F.coalesce(F.col("component") != c["component"], F.lit(True))
+        return (c["c"] != F.col("node")) & apart & _alike(F.col("n"), c["n"], percent)
+
+    def too_far(c: Column) -> Column:
+        return F.coalesce(F.abs(F.col("far") - c["far"]) > 1 - percent / 100 + 1e-9, F.lit(False))
+
+    def named(test) -> Column:
+        return F.transform(F.filter("centers", test), lambda c: c["c"])
+
+    met = active.join(centers, "bucket").select("node", named(other).alias("near"), named(too_far).alias("ruled_out"))
+    lists = met.groupBy("node").agg(F.flatten(F.collect_list("near")).alias("near"), F.flatten(F.collect_list("ruled_out")).alias("ruled_out"))
+    return lists.select("node", F.explode(F.array_except("near", "ruled_out")).alias("c"))
+
+
 def near_duplicate_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", *, percent: int = 85) -> DataFrame:
     """Per row of ``docs``: ``doc_id``, ``n_shingles``, ``component_id``, ``kept``.
 
@@ -195,7 +220,8 @@ def near_duplicate_classes(docs: DataFrame, text: str = "text", key: str = "doc_
         return _answer(found, components(same))
     # The sets of all that may be compared, made once.
     nodes = active.select("node").distinct()
-    again = docs.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), arrow_udf(full_set, "array<bigint>")(read).alias("items"))
+    named = nodes.withColumnRenamed("node", "doc_id").hint("merge")  # one plan at every size: each text moves once
+    again = docs.join(named, "doc_id", "left_semi").select(F.col("doc_id").alias("node"), arrow_udf(full_set, "array<bigint>")(read).alias("items"))
     sets = written(again, "near-sets")
     # The member that meets most others comes first in each of its buckets.
     meets = active.groupBy("node").agg(F.sum("held").alias("meets"))
@@ -204,13 +230,8 @@ def near_duplicate_classes(docs: DataFrame, text: str = "text", key: str = "doc_
     while True:
         order = Window.partitionBy("bucket").orderBy(F.desc("meets"), "node")
         ranked = active.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
-        chosen = ranked.select("bucket", F.col("node").alias("c"), F.col("n").alias("c_n"), F.col("far").alias("c_far"), F.col("component").alias("c_component"), "rank")
-        chosen = written(chosen, "near-centers")
-        spokes = active.join(chosen, "bucket").where("node <> c AND (component IS NULL OR component <> c_component)")
-        spokes = spokes.where(_alike(F.col("n"), F.col("c_n"), percent))
-        # |d(x, y) - d(x, z)| <= d(y, z), and d = 1 - similarity is a metric.
-        apart = F.abs(F.col("far") - F.col("c_far")) > 1 - percent / 100 + 1e-9
-        spokes = spokes.where(~F.coalesce(apart, F.lit(False)))
+        chosen = written(ranked.select("bucket", "rank", F.struct(F.col("node").alias("c"), "n", "far", "component").alias("center")), "near-centers")
+        spokes = _spokes(active, chosen.groupBy("bucket").agg(F.collect_list("center").alias("centers")), percent)
         pairs = spokes.select(F.least("c", "node").alias("x"), F.greatest("c", "node").alias("y"), "c").groupBy("x", "y").agg(F.min("c").alias("a"))
         pairs = pairs.select("a", F.when(F.col("a") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("b"))
         if tried is not None:
@@ -225,17 +246,17 @@ def near_duplicate_classes(docs: DataFrame, text: str = "text", key: str = "doc_
         if turn == 0:
             measure = measured.groupBy("a", "b").agg(F.max(F.col("common") / union).alias("s"))
             both = measure.select(F.col("a").alias("c"), F.col("b").alias("node"), "s").union(measure.select(F.col("b").alias("c"), F.col("a").alias("node"), "s"))
-            head = chosen.where("rank = 1").select("bucket", "c")
+            head = chosen.where("rank = 1").select("bucket", "center.c")
             active = active.join(head, "bucket").join(both, ["c", "node"], "left")
             active = active.where("node <> c").select("bucket", "node", "n", "meets", (1 - F.col("s")).alias("far"))
         else:
-            used = chosen.select("bucket", F.col("c").alias("node"))
+            used = chosen.select("bucket", F.col("center.c").alias("node"))
             active = active.join(used, ["bucket", "node"], "left_anti").drop("component")
         named = classes.select("node", F.col("component").alias("own"))
         active = active.join(named, "node", "left").withColumn("component", F.coalesce("own", "node")).drop("own")
         open_ = active.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
         active = written(active.join(open_, "bucket", "left_semi"), "near-active")
-        turn, most = turn + 1, most * GROWTH
+        turn, most = turn + 1, min(most * GROWTH, CENTERS)
         if active.isEmpty():
             return _answer(found, classes)
 
