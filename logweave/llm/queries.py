@@ -123,7 +123,9 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 
     model = tokenizer_path("piece_bpe_32k.model")
     drawn = encode_samples(table(spark, folder, "documents").select("doc_id", "text"), model)
-    rows = drawn.select("doc_id", "text", F.posexplode("samples").alias("sample", "s")).select("doc_id", "text", "sample", "s.*")
+    # The outer form, as the inner one would draw all samples a second time to see which texts have none.
+    each = drawn.select("doc_id", "text", F.posexplode_outer("samples").alias("sample", "s")).where("sample IS NOT NULL")
+    rows = each.select("doc_id", "text", "sample", "s.*")
     read = decode(rows, "ids", model)
     ids = F.size("ids").cast("bigint").alias("n_ids"), F.xxhash64("ids").alias("ids_hash"), (F.col("decoded") == F.col("text")).alias("round_trip")
     return read.select("doc_id", "sample", *ids, "log_prob", "perturbed", "log_inclusion")
