@@ -40,8 +40,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return drop_near_duplicates(docs, percent=85)
+    """One document of each group of near-duplicates, linked at a similarity of 0.8 or more."""
+    return drop_near_duplicates(docs, percent=80)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

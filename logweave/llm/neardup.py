@@ -2,7 +2,7 @@
 
 One pass over the texts gives each document its set of 5-word shingles (as 64-bit hashes), a
 one-permutation MinHash signature of ``BINS`` bins made full by optimal densification, and from it
-``BINS / ROWS`` banded bucket keys. Documents with the same set are joined first, without buckets.
+banded bucket keys. Documents with the same set are joined first, without buckets.
 
 Candidates of a bucket are star-shaped: all members against one center, the member that shares most
 buckets with others. Every candidate is confirmed on the full sets. A member that fails against the
@@ -12,7 +12,9 @@ come together leave, and the number of centers a bucket may take grows eightfold
 to 512. Pairs that the triangle inequality (through distances to the first center) or the sizes rule out are never
 made. No bucket is capped: what a round leaves, a later one takes.
 
-Two documents at the threshold of 0.85 share no bucket with probability (1 - 0.85**8)**32 = 4e-5.
+The threshold sets the shape of the bands (``band_shape``): the longest that miss a pair right at it with
+a probability of ``MISSED`` at most. At 0.85 these are 32 bands of 8 bins, (1 - 0.85**8)**32 = 4e-5; at 0.8
+42 bands of 6, (1 - 0.8**6)**42 = 3e-6.
 
 A null or empty text, or one without words, has an empty set and links with nothing; a row with a
 null ``doc_id`` links with nothing either. Rows with the same ``doc_id`` are one document (it links
@@ -34,8 +36,7 @@ from logweave.llm.components import components
 from logweave.llm.shared import free_names, ship, written
 
 BINS = 256
-ROWS = 8
-BANDS = BINS // ROWS
+MISSED = 1e-4  # of pairs right at the threshold, those that share no bucket
 SHINGLE = 5
 GROWTH = 8  # of the centers a bucket may take, from round to round
 CENTERS = 512  # of a bucket in one round, at most; the next round takes further ones
@@ -106,35 +107,48 @@ def signatures(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
 assert BINS == 256  # bins are named by 8 bits above
 
 
-def band_keys(sig: np.ndarray) -> np.ndarray:
-    weights = stream(77, BINS).reshape(1, BANDS, ROWS) | U(1)
-    return mix((sig.reshape(-1, BANDS, ROWS) * weights).sum(2, dtype=U) + stream(78, BANDS))
+def band_shape(percent: int) -> tuple[int, int]:
+    """Bands and bins of each for a threshold; bins that fill no band are left out."""
+    fits = [r for r in range(1, BINS + 1) if (1 - (percent / 100) ** r) ** (BINS // r) <= MISSED]
+    rows = max(fits, default=1)
+    return BINS // rows, rows
+
+
+def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    weights = stream(77, bands * rows).reshape(1, bands, rows) | U(1)
+    return mix((sig[:, : bands * rows].reshape(-1, bands, rows) * weights).sum(2, dtype=U) + stream(78, bands))
 
 
 FEATURES = "struct<n_shingles: bigint, set1: bigint, set2: bigint, bands: array<bigint>>"
 
 
-def features(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    """Set size, a 128-bit digest of the set, and its bucket keys (none for an empty set)."""
-    for batch in batches:
-        parts: list[tuple[np.ndarray, ...]] = []
-        for texts in slices(batch, lower=True):
-            sets, at = shingle_sets(texts)
-            size = np.diff(at)
-            digest = []
-            for seed in (1, 2):
-                total = np.zeros(len(sets) + 1, U)
-                np.cumsum(mix(sets ^ stream(seed, 1)), out=total[1:])
-                digest.append(mix(total[at[1:]] - total[at[:-1]] + size.astype(U)))
-            full = size > 0
-            offsets = np.concatenate([at[:-1][full], at[-1:]])
-            keys = band_keys(signatures(sets, offsets)) if full.any() else np.zeros((0, BANDS), U)
-            parts.append((size, digest[0], digest[1], np.where(full, BANDS, 0), keys.ravel()))
-        size, d1, d2, n_bands, keys = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, U),) * 5
-        offsets = np.concatenate([[0], np.cumsum(n_bands)]).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.astype(U).view(np.int64)))
-        arrays = [pa.array(size.astype(np.int64)), pa.array(d1.astype(U).view(np.int64)), pa.array(d2.astype(U).view(np.int64)), lists]
-        yield pa.StructArray.from_arrays(arrays, names=["n_shingles", "set1", "set2", "bands"])
+def features(percent: int):
+    """Column function ``text -> FEATURES``: set size, a 128-bit digest of the set, and its bucket keys (none for an empty set)."""
+    bands, rows = band_shape(percent)
+
+    @arrow_udf(FEATURES)
+    def measure(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            parts: list[tuple[np.ndarray, ...]] = []
+            for texts in slices(batch, lower=True):
+                sets, at = shingle_sets(texts)
+                size = np.diff(at)
+                digest = []
+                for seed in (1, 2):
+                    total = np.zeros(len(sets) + 1, U)
+                    np.cumsum(mix(sets ^ stream(seed, 1)), out=total[1:])
+                    digest.append(mix(total[at[1:]] - total[at[:-1]] + size.astype(U)))
+                full = size > 0
+                offsets = np.concatenate([at[:-1][full], at[-1:]])
+                keys = band_keys(signatures(sets, offsets), bands, rows) if full.any() else np.zeros((0, bands), U)
+                parts.append((size, digest[0], digest[1], np.where(full, bands, 0), keys.ravel()))
+            size, d1, d2, n_bands, keys = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, U),) * 5
+            offsets = np.concatenate([[0], np.cumsum(n_bands)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.astype(U).view(np.int64)))
+            arrays = [pa.array(size.astype(np.int64)), pa.array(d1.astype(U).view(np.int64)), pa.array(d2.astype(U).view(np.int64)), lists]
+            yield pa.StructArray.from_arrays(arrays, names=["n_shingles", "set1", "set2", "bands"])
+
+    return measure
 
 
 def full_set(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -174,7 +188,7 @@ def _spokes(active: DataFrame, centers: DataFrame, percent: int) -> DataFrame:
     """``(node, c)``: every member with the centers of its buckets that it may link with, each once.
 
     Buckets of nearly the same members name nearly the same centers, so the lists of a member's
-    buckets (``BANDS`` of at most ``CENTERS`` each) are united before rows are made of them. What
+    buckets (at most ``CENTERS`` of each) are united before rows are made of them. What
     the triangle inequality, |d(x, y) - d(x, z)| <= d(y, z) with d = 1 - similarity, rules out
     in one bucket is ruled out in all.
     """
@@ -203,7 +217,7 @@ def near_duplicate_classes(docs: DataFrame, text: str = "text", key: str = "doc_
     ship(docs.sparkSession)
     docs = docs.select(F.col(f"`{key}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     read = F.coalesce("text", F.lit(""))
-    found = written(docs.select("doc_id", arrow_udf(features, FEATURES)(read).alias("f")).select("doc_id", "f.*"), "near-features")
+    found = written(docs.select("doc_id", features(percent)(read).alias("f")).select("doc_id", "f.*"), "near-features")
     # 1. Equal sets, of any number, come together by their digest alone.
     whole = found.where("doc_id IS NOT NULL AND n_shingles > 0")
     first = written(whole.groupBy("set1", "set2", "n_shingles").agg(F.min("doc_id").alias("rep")), "near-first")  # written, so that the join may split copies
@@ -268,7 +282,7 @@ def _answer(found: DataFrame, classes: DataFrame) -> DataFrame:
     return named.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", *, percent: int = 85) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", *, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each component: the one with the smallest ``key``.
 
     Of rows with the same key and the same text one stays. Rows without a key all stay.

@@ -151,6 +151,13 @@ def test_densified_signatures_agree_as_sets_do():
     assert np.mean(agree) == pytest.approx(34 / 40, abs=0.02)
 
 
+def test_bands_miss_few_pairs_at_the_threshold():
+    assert neardup.band_shape(85) == (32, 8) and neardup.band_shape(80) == (42, 6)
+    for percent in range(10, 101):
+        bands, rows = neardup.band_shape(percent)
+        assert bands * rows <= neardup.BINS and (1 - (percent / 100) ** rows) ** bands <= neardup.MISSED
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(1000 + i, 1001 + i) for i in range(60)] + [(2000, 2001 + i) for i in range(40)] + [(5, 5)]
