@@ -9,9 +9,10 @@ table, one per language.
   common where it holds at least ``common_share`` of the language's words (so at most
   ``1 / common_share`` are), all others count together. Counting is exact, of fixed size, and sums
   over tasks in any order.
-* A language has a reference if it holds at least ``1 / MOST_LANGUAGES`` of all words, so there are
-  at most that many and what goes to the driver is bounded. A text of another or no language is
-  held against the nearest reference. Without any reference the method keeps every text.
+* A language has a reference if its texts hold ``reference_words`` words or more, whatever its share
+  of the table. References are a table with a row of bounded size per language, joined on the language,
+  so no number of languages is too many. A text of another or no language has no reference: its
+  distances are 0 and the base rules alone decide, as nothing is known of its writing.
 * Guards: below ``min_chars`` characters that are no white space the class distance does not
   count, below ``min_words`` words the word distance does not; short texts spread too much.
 
@@ -29,10 +30,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 
 from logweave.llm.bytewords import Texts, ngrams, slices, span_hashes
-from logweave.llm.shared import free_names, ship
+from logweave.llm.shared import free_names, ship, written
 
 BUCKETS = 1 << 12
-MOST_LANGUAGES = 1000
 SYMBOLS = b"#*$%&|<>"
 # Character classes by byte: a code point is counted at its first byte.
 LOWERCASE, UPPERCASE, WIDE, DIGIT, SPACE, STOP, SYMBOL, OTHER = range(8)
@@ -166,35 +166,28 @@ def _emit(sums: dict[str, tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     )
 
 
-class Reference:
-    """What is usual in a language: shares of character classes and of common word buckets."""
+REFERENCE = "struct<kinds: array<double>, at: array<int>, share: array<double>>"
 
-    def __init__(self, kinds: np.ndarray, buckets: np.ndarray, common_share: float):
-        self.kinds = kinds / max(kinds.sum(), 1)
-        share = buckets / max(buckets.sum(), 1)
-        common = np.flatnonzero(share >= common_share)
-        self.place = np.full(BUCKETS, len(common))  # of a bucket in the histogram; the last takes all others
-        self.place[common] = np.arange(len(common))
-        self.words = np.append(share[common], 1 - share[common].sum())
 
+def references(docs: DataFrame, text: str = "text", lang: str = "lang", common_share: float = 0.005, reference_words: int = 5000) -> DataFrame:
+    """``(lang, reference)``: of each language with enough words the shares of character classes and of common word buckets.
 
-def references(docs: DataFrame, text: str = "text", lang: str = "lang", common_share: float = 0.005) -> dict[str, Reference]:
-    """Learn a reference for each language of the table; one pass, sums of fixed size."""
+    One pass over the texts, sums of fixed size; a language has at most ``CLASSES + BUCKETS`` sums.
+    """
     rows = docs.select(F.col(f"`{text}`").cast("string").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang"))
     rows = rows.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
     counts = rows.mapInArrow(_language_counts, "lang string, kind int, at int, n bigint").groupBy("lang", "kind", "at").agg(F.sum("n").alias("n"))
-    # One row per language: 8 classes and those buckets that may be common.
-    words = F.sum(F.when(F.col("kind") == 1, F.col("n")).otherwise(0))
-    per = counts.groupBy("lang").agg(words.alias("words"), F.collect_list(F.struct("kind", "at", "n")).alias("cells"))
-    all_words = counts.where("kind = 1").agg(F.sum("n")).first()[0] or 0
-    least = max(1, all_words // MOST_LANGUAGES)
-    out = {}
-    for row in per.where(F.col("words") >= F.lit(least)).toLocalIterator():
-        kinds, buckets = np.zeros(CLASSES, np.int64), np.zeros(BUCKETS, np.int64)
-        for cell in row["cells"]:
-            (buckets if cell["kind"] else kinds)[cell["at"]] = cell["n"]
-        out[row["lang"]] = Reference(kinds, buckets, common_share)
-    return out
+    cells = F.sort_array(F.collect_list(F.struct("kind", "at", "n")))
+
+    def total(kind: int) -> Column:
+        return F.sum(F.when(F.col("kind") == kind, F.col("n")).otherwise(0))
+
+    per = counts.groupBy("lang").agg(total(0).alias("chars"), total(1).alias("words"), cells.alias("cells")).where(F.col("words") >= F.lit(max(1, reference_words)))
+    common = F.filter("cells", lambda c: (c["kind"] == 1) & (c["n"] / F.col("words") >= common_share))
+    classes = F.map_from_entries(F.transform(F.filter("cells", lambda c: c["kind"] == 0), lambda c: F.struct(c["at"], c["n"] / F.col("chars"))))
+    kinds = F.transform(F.sequence(F.lit(0), F.lit(CLASSES - 1)), lambda k: F.coalesce(F.try_element_at(classes, k), F.lit(0.0)))
+    places, shares = F.transform(common, lambda c: c["at"]), F.transform(common, lambda c: c["n"] / F.col("words"))
+    return per.select("lang", F.struct(kinds.alias("kinds"), places.alias("at"), shares.alias("share")).cast(REFERENCE).alias("reference"))
 
 
 def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -212,53 +205,57 @@ def _shares(counts: np.ndarray) -> np.ndarray:
     return counts / np.maximum(counts.sum(-1, keepdims=True), 1)
 
 
-def distances(refs: dict[str, Reference]):
-    """Column function ``(text, lang) -> struct<class_distance, word_distance>``."""
-
-    @arrow_udf("struct<class_distance: double, word_distance: double>")
-    def measure(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for text, lang in batches:
-            langs, done = lang.to_pylist(), 0
-            out: list[np.ndarray] = []
-            for texts in slices(text):
-                own = langs[done : done + len(texts)]
-                done += len(texts)
-                kinds, (bucket, doc) = _shares(_kinds(texts)), _buckets(texts)
-                best = np.full((len(texts), 2), np.inf)
-                for name, ref in refs.items():
-                    mine = np.array([x == name or x not in refs for x in own], bool)
-                    if not mine.any():
-                        continue
-                    width = len(ref.words)
-                    number = np.cumsum(mine) - 1
-                    held = mine[doc]
-                    flat = np.bincount(number[doc[held]] * width + ref.place[bucket[held]], minlength=mine.sum() * width)
-                    words = _shares(flat.reshape(-1, width))
-                    new = np.stack([js_distance(kinds[mine], ref.kinds), js_distance(words, ref.words)], 1)
-                    old = best[mine]
-                    nearer = new.sum(1) < old.sum(1)
-                    best[mine] = np.where(nearer[:, None], new, old)
-                out.append(best)
-            both = np.concatenate(out) if out else np.zeros((0, 2))
-            both[~np.isfinite(both)] = 0.0
-            yield pa.StructArray.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["class_distance", "word_distance"])
-
-    return measure
+def _held_against(reference: dict, kinds: np.ndarray, bucket: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Both distances of texts of one language: their class counts, and buckets of their words with the number of the text."""
+    n, width = len(kinds), len(reference["at"]) + 1
+    place = np.full(BUCKETS, width - 1)  # of a bucket in the histogram; the last takes all others
+    place[np.array(reference["at"], np.int64)] = np.arange(width - 1)
+    share = np.array(reference["share"], float)
+    flat = np.bincount(doc * width + place[bucket], minlength=n * width)
+    words = js_distance(_shares(flat.reshape(n, width)), np.append(share, 1 - share.sum()))
+    return np.stack([js_distance(_shares(kinds), np.array(reference["kinds"])), words], 1)
+
+
+FAR = "struct<class_distance: double, word_distance: double>"
+
+
+def distances(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """``(text, lang, reference)``: both distances to the reference of the language, 0 where there is none."""
+    for text, lang, reference in batches:
+        there = np.asarray(reference.is_valid())
+        names, done = np.array([x or "" for x in lang.to_pylist()], object), 0
+        out: list[np.ndarray] = []
+        for texts in slices(text):
+            rows = slice(done, done + len(texts))
+            kinds, (bucket, doc) = _kinds(texts), _buckets(texts)
+            far = np.zeros((len(texts), 2))
+            for name in set(names[rows][there[rows]]):
+                mine = there[rows] & (names[rows] == name)
+                number, held = np.cumsum(mine) - 1, mine[doc]
+                own = reference[done + int(np.argmax(mine))].as_py()
+                far[mine] = _held_against(own, kinds[mine], bucket[held], number[doc[held]])
+            out.append(far)
+            done += len(texts)
+        both = np.concatenate(out) if out else np.zeros((0, 2))
+        yield pa.StructArray.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["class_distance", "word_distance"])
 
 
 def quality(
     docs: DataFrame, text: str = "text", lang: str = "lang", *, max_class_distance: float = 0.3, max_word_distance: float = 0.4,
     min_chars: int = 200, min_words: int = 50, common_share: float = 0.005, least_words: int = 50, most_repeated: int = 50,
+    reference_words: int = 5000,
 ) -> DataFrame:
     """``docs`` with the base counts, ``base_failed``, both distances and ``kept``.
 
     ``most_repeated`` is a percentage: a text fails when more of its words lie in repeated windows.
     """
     ship(docs.sparkSession)
-    refs = references(docs, text, lang, common_share)
-    held, far = free_names(docs, "_base", "_far")
-    read = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    rows = docs.withColumn(held, arrow_udf(base_measures, MEASURES)(read)).withColumn(far, distances(refs)(read, F.col(f"`{lang}`").cast("string")))
+    held, far, name, usual = free_names(docs, "_base", "_far", "_name", "_usual")
+    # Written, so that the join knows its size: broadcast while small, else shuffled and a hot language split.
+    refs = written(references(docs, text, lang, common_share, reference_words), "quality-references").toDF(name, usual)
+    read, own = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")), F.col(f"`{lang}`").cast("string")
+    rows = docs.join(refs, own == F.col(name), "left")
+    rows = rows.withColumn(held, arrow_udf(base_measures, MEASURES)(read)).withColumn(far, arrow_udf(distances, FAR)(read, own, F.col(usual)))
 
     def base(name: str) -> Column:
         return F.col(f"{held}.{name}")
@@ -267,4 +264,4 @@ def quality(
     strange = (F.col(f"{far}.class_distance") > max_class_distance) & (base("word_chars") >= min_chars)
     strange = strange | ((F.col(f"{far}.word_distance") > max_word_distance) & (base("n_words") >= min_words))
     made = {name: base(name) for name in BASE} | {"class_distance": F.col(f"{far}.class_distance"), "word_distance": F.col(f"{far}.word_distance")}
-    return rows.withColumns(made | {"base_failed": failed, "kept": ~failed & ~strange}).drop(held, far)
+    return rows.withColumns(made | {"base_failed": failed, "kept": ~failed & ~strange}).drop(held, far, name, usual)

@@ -74,6 +74,27 @@ def test_quality_keeps_clean_and_rejects_strange(spark, frame):
     assert all(kept[i] for i in range(60)) and not kept[60] and not kept[61]
 
 
+def test_quality_of_rare_languages(spark, frame):
+    """A language far below 1/1000 of all words, in another script, is held against its own writing; one without reference keeps the base verdict."""
+    rng = random.Random(2)
+    latin = ["the", "of", "and", "to", "river", "mountain", "house", "light", "paper", "green", "walk", "seven"]
+    cyrillic = ["и", "в", "на", "река", "гора", "дом", "свет", "бумага", "зелёный", "идти", "семь", "что"]
+    greek = ["και", "το", "στο", "ποταμός", "βουνό", "σπίτι", "φως", "χαρτί", "πράσινο", "επτά", "που", "να"]
+
+    def prose(words, n):
+        return " ".join(rng.choices(words, k=n))
+
+    table = " | ".join("".join(rng.choices("abcdefgh", k=9)) for _ in range(120))
+    common = frame([(i, prose(latin, 400)) for i in range(200)]).withColumn("text", F.expr("repeat(text, 100)"))
+    rare = frame([*((1000 + i, prose(cyrillic, 120)) for i in range(60)), (1099, table)], lang="ru")
+    few = frame([*((2000 + i, prose(greek, 120)) for i in range(3)), (2003, "λίγα λόγια")], lang="el")
+    unnamed = frame([(3000, prose(greek, 120))], lang=None)
+    got = {r["doc_id"]: r for r in quality.quality(common.union(rare).union(few).union(unnamed)).collect()}
+    assert len(got) == 266 and all(got[i]["kept"] for i in got if i >= 1000 and i not in (1099, 2003))
+    assert not got[1099]["kept"] and not got[1099]["base_failed"] and got[2003]["base_failed"] and not got[2003]["kept"]
+    assert 0 < got[1000]["class_distance"] < 0.3 and got[2000]["class_distance"] == got[3000]["class_distance"] == 0
+
+
 # Near duplicates
 
 
