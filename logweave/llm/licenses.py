@@ -5,6 +5,10 @@ joined: lower case, equivalent spellings as one, copyright lines out, every run
 nor digit (line breaks too) as one space. Whole texts are compared, and beside them every line of a document as a text of its
 own, so a notice above or below other content is found. Digests equal or not: nothing is guessed.
 
+Known are the notices of one line below, the licences and notices of ``license_texts.json`` and the notices of
+the GNU licences, each in the variants of ``known_texts``: with and without title, as lines and as paragraphs. A
+notice of several lines is found where it is the whole text or stands on one line.
+
 Everything is a DataFrame expression. The known table is counted, and broadcast only within
 ``BROADCAST_ROWS`` rows of fixed width; beyond that the digests are joined by a shuffle.
 
@@ -14,7 +18,11 @@ repeated ones too. Extra columns pass through unless they bear the name of a res
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import json
+import re
+from collections.abc import Callable, Iterator, Sequence
+from importlib.resources import files
+from itertools import product
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -55,6 +63,46 @@ THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLI
 )
 
 
+# Titles that stand above the two licences given whole among the notices.
+TITLES = {"MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)"), "ISC": ("ISC License", "The ISC License", "ISC License (ISC)")}
+GNU = """{work} is free software: you can redistribute it and/or modify it under the terms of the GNU {kind} Public License as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version.
+{work} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {kind} Public License for more details.
+You should have received a copy of the GNU {kind} Public License along with {this}{end}"""
+GNU_KINDS = (
+    ("GPL-2.0-or-later", "General", "2"), ("GPL-3.0-or-later", "General", "3"), ("AGPL-3.0-or-later", "Affero General", "3"),
+    ("LGPL-2.0-or-later", "Library General", "2"), ("LGPL-2.1-or-later", "Lesser General", "2.1"), ("LGPL-3.0-or-later", "Lesser General", "3"),
+)
+GNU_ENDS = (
+    ". If not, see <https://www.gnu.org/licenses/>.", "; if not, see <https://www.gnu.org/licenses/>.", ".",
+    "; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.",
+    "; if not, write to the Free Software Foundation, Inc., 51 Franklin St, Fifth Floor, Boston, MA 02110-1301 USA",
+    "; if not, write to the Free Software Foundation, Inc., 59 Temple Place, Suite 330, Boston, MA 02111-1307 USA",
+)
+
+
+def _gnu_notices() -> Iterator[tuple[str, str]]:
+    for (name, kind, version), work, end in product(GNU_KINDS, ("program", "library", "file", "software"), GNU_ENDS):
+        yield name, GNU.format(work=f"This {work}", this=f"this {work}", kind=kind, version=version, end=end)
+
+
+def known_texts() -> list[tuple[str, str]]:
+    """``(license, text)`` of all that is known, in every variant."""
+    out = [*NOTICES, *_gnu_notices()]
+    whole = [{"license": name, "titles": TITLES[name], "text": text.removeprefix("MIT License\n")} for name, text in NOTICES if name in TITLES and "\n" in text]
+    whole += json.loads(files(__package__).joinpath("license_texts.json").read_text("utf-8"))
+    for entry in whole:
+        bodies = [entry["text"]]
+        if entry["license"] == "ISC":
+            bodies.append(bodies[0].replace("and/or distribute", "and distribute"))
+        if entry.get("bsd"):  # both words for the holder, numbered and with other marks, the rights on a line of their own
+            bodies += [b.replace("COPYRIGHT HOLDER OR", "COPYRIGHT OWNER OR") for b in bodies]
+            bodies += [re.sub(r"(?m)^[0-9][.] ", "* ", b) for b in bodies]
+            bodies += [f"All rights reserved.\n\n{b}" for b in bodies]
+        bodies += [re.sub(r"([^\n])\n(?!\n)", r"\1 ", b) for b in bodies]  # where a line happens to begin with "copyright"
+        out += [(entry["license"], f"{title}\n\n{body}" if title else body) for title, body in product(("", *entry["titles"]), bodies)]
+    return list(dict.fromkeys(out))
+
+
 def _with(value: Column, change: Callable[[Column], Column]) -> Column:
     """``change(value)`` with ``value`` evaluated once, however often the change reads it."""
     return F.get(F.transform(F.array(value), change), F.lit(0))
@@ -96,9 +144,9 @@ def head(evened: Column) -> Column:
     return F.regexp_extract(evened, r"^[^\p{L}\p{N}]*([\p{L}\p{N}]{1,3})", 1)
 
 
-def known_licenses(spark: SparkSession, texts: Sequence[tuple[str, str]] = NOTICES) -> DataFrame:
+def known_licenses(spark: SparkSession, texts: Sequence[tuple[str, str]] | None = None) -> DataFrame:
     """``(digest, head, license)`` of known texts; add a corpus of licences by passing its rows or a union."""
-    rows = spark.createDataFrame([(name, text) for name, text in texts], "license string, body string")
+    rows = spark.createDataFrame([(name, text) for name, text in (known_texts() if texts is None else texts)], "license string, body string")
     evened = F.array_join(evened_lines(F.col("body")), " ")
     rows = rows.select(F.sha2(form(evened), 256).alias("digest"), head(evened).alias("head"), "license")
     return rows.groupBy("digest", "head").agg(F.min("license").alias("license"))

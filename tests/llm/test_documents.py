@@ -333,6 +333,59 @@ def test_licenses(spark, frame):
     assert licenses.license_matches(odd_frame(spark, frame), licenses.known_licenses(spark)).count() == 0
 
 
+def test_licenses_of_several_lines(spark, frame):
+    """Whole licences and notices as documents hold them: under a title or not, with copyright lines, in comments."""
+    bsd = """Redistribution and use in source and binary forms, with or without modification,
+are permitted provided that the following conditions are met:
+
+{0} Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+{1} Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+{2}
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND
+ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED
+WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT {3} OR CONTRIBUTORS BE LIABLE FOR
+ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES
+(INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES;
+LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON
+ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT
+(INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS
+SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+    third = "   Neither the name of the copyright holder nor the names of its contributors may be\nused to endorse or promote products derived from this software without specific prior\nwritten permission.\n"
+    apache = """Copyright 2020 Somebody
+Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.
+You may obtain a copy of the License at https://www.apache.org/licenses/LICENSE-2.0
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and
+limitations under the License."""
+    gpl = """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License
+as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License along with this program. If not, see <http://www.gnu.org/licenses/>."""
+    mpl = """// This Source Code Form is subject to the terms of the Mozilla Public
+// License, v. 2.0. If a copy of the MPL was not distributed with this
+// file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+    whole = {name: text for name, text in licenses.NOTICES if "\n" in text}
+    texts = {e["license"]: e["text"] for e in reversed(licenses.json.loads(licenses.files("logweave.llm").joinpath("license_texts.json").read_text("utf-8")))}
+    rows = [
+        ("BSD-2-Clause", "Copyright (c) 2016, Somebody\nAll rights reserved.\n\n" + bsd.format("1.", "2.", "", "HOLDER")),
+        ("BSD-3-Clause", "BSD 3-Clause License\n\nCopyright (c) 2016, Somebody\n\n" + bsd.format("*", "*", "* " + third, "OWNER")),
+        ("MIT", "(c) 2020 Somebody\n" + whole["MIT"].split("\n", 2)[2]), ("ISC", "ISC License\n\nCopyright 2020 Somebody\n\n" + whole["ISC"]),
+        ("Apache-2.0", "\n".join(f"# {x}" for x in apache.split("\n"))), ("GPL-2.0-or-later", gpl), ("MPL-2.0", mpl),
+        *((name, f"Copyright 2020 Somebody\n\n{texts[name]}") for name in ("Zlib", "Unlicense", "BSL-1.0", "GPL-3.0", "LGPL-2.1", "CC0-1.0")),
+    ]
+    got = {(r["doc_id"], r["license"]) for r in licenses.license_matches(frame([t for _, t in rows]), licenses.known_licenses(spark)).where("line = -1").collect()}
+    assert got == {(i, name) for i, (name, _) in enumerate(rows)}
+    cut = frame([t.rsplit(" ", 3)[0] for _, t in rows])
+    assert licenses.license_matches(cut, licenses.known_licenses(spark)).where("line = -1").count() == 0
+
+
 # Language
 
 
