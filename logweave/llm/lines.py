@@ -1,8 +1,10 @@
 """Line dedup: remove the later copies of repeated runs of lines.
 
 The unit is the line, trimmed of white space at both ends; blank lines do not count and go with the
-run that surrounds them. A line goes if it lies in a run of lines with ``min_words`` words or more (words
-are spaces in the trimmed line plus one) that is also found at an earlier place, by ``doc_id``, then line.
+run that surrounds them. A line goes if it lies in a run of lines with ``min_words`` words or more that is
+also found at an earlier place, by ``doc_id``, then line. Words are stretches without white space. Where words
+are not parted by it, characters count: every ``CHARACTERS`` of a script written without blanks are a word, and
+of another stretch of ``LONG`` characters or more every ``CHARACTERS`` are a further one.
 
 1. A *window* is the shortest run with ``min_words`` words that ends at a line, or that begins at one.
    Winnowing: each window selects its line with the smallest hash (the last such) as fingerprint.
@@ -25,14 +27,38 @@ a hash of the text. Rows without ``doc_id`` come last in that order. Extra colum
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from logweave.llm.shared import free_names, written
 
 BLANKS = " \t\r\x0b\x0c"
-
-
-def _lines(docs: DataFrame, text: str, key: str) -> DataFrame:
+CHARACTERS = 5
+LONG = 40
+# Scripts written without blanks, all of three bytes a character or more: Thai to Myanmar, Khmer, kana, Han.
+UNPARTED = r"\u0E00-\u109F\u1780-\u17FF\u3005-\u3007\u3040-\u30FF\u31F0-\u31FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\uFF66-\uFF9F\x{20000}-\x{3FFFF}"
+STRETCH = rf"[^\x20\x09-\x0D{UNPARTED}]"
+WORDS = rf"[{UNPARTED}]{{1,{CHARACTERS}}}|{STRETCH}+"
+LONGER = rf"{STRETCH}{{{LONG},}}"
+
+
+def _words(line: Column, min_words: int) -> Column:
+    """Words of a trimmed line that is not blank, one at least; of a line with ``min_words`` or more, some number of them that is no less.
+
+    Blanks are counted where that says as much: each parts two words, and there are enough of them or
+    neither unparted scripts nor long stretches. Only other lines are searched by pattern.
+    """
+    long = F.length(F.array_join(F.regexp_extract_all(line, F.lit(LONGER), F.lit(0)), ""))
+    searched = F.regexp_count(line, F.lit(WORDS)) + F.when(line.rlike(LONGER), F.floor(long / CHARACTERS)).otherwise(0).cast("int")
+    blanks = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit("")))
+    single = ~line.contains("  ")
+    for other in "\t\r\x0b\x0c":
+        single = single & ~line.contains(other)
+    narrow = F.octet_length(line) - F.length(line) < 2
+    short = (F.length(line) < LONG) | ~line.rlike(rf"[^ ]{{{LONG}}}")
+    return F.when(single & ((blanks + 1 >= min_words) | (narrow & short)), blanks + 1).otherwise(searched)
+
+
+def _lines(docs: DataFrame, text: str, key: str, min_words: int) -> DataFrame:
     """One row per line that is not blank: document, place among such lines, line number, hashes, words."""
     body = F.col(f"`{text}`").cast("string")
     parts = F.transform(F.split(body, "\n", -1), lambda x, i: F.struct(i.alias("line_no"), F.btrim(x, F.lit(BLANKS)).alias("line")))
@@ -41,9 +67,8 @@ def _lines(docs: DataFrame, text: str, key: str) -> DataFrame:
         F.posexplode(F.filter(parts, lambda p: p["line"] != "")).alias("pos", "part"),
     )
     line = F.col("part.line")
-    words = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
     return rows.select(
-        "doc", "version", "pos", F.col("part.line_no").alias("line_no"), F.xxhash64(line).alias("h"), F.xxhash64(F.lit(1), line).alias("h2"), words.alias("words")
+        "doc", "version", "pos", F.col("part.line_no").alias("line_no"), F.xxhash64(line).alias("h"), F.xxhash64(F.lit(1), line).alias("h2"), _words(line, min_words).alias("words")
     )
 
 
@@ -81,7 +106,7 @@ def _windows(lines: DataFrame, min_words: int) -> DataFrame:
 
 def repeated_runs(docs: DataFrame, text: str = "text", key: str = "doc_id", *, min_words: int = 8) -> DataFrame:
     """Runs to remove: ``doc``, ``version`` (hash of the text), ``runs`` as an array of first and last line number."""
-    lines = written(_lines(docs, text, key), "lines")
+    lines = written(_lines(docs, text, key, min_words), "lines")
     often = written(_repeated(lines, "h", "doc", "version", "pos"), "line-repeats")
     windows = written(_windows(lines.join(often, "h", "left_semi"), min_words), "line-windows")
     prints = written(_repeated(windows, "print", "doc", "version", "print_pos"), "line-prints")

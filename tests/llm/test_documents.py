@@ -240,6 +240,20 @@ def test_lines_of_few_kinds(frame):
     assert got == without_repeats(rows)
 
 
+def test_lines_without_blanks(frame):
+    """Words parted by tabs or by several blanks, and lines of scripts and stretches that have none."""
+    chinese, thai = "数据处理系统读取文档并删除重复的段落然后把剩余的文本写入新的表格以供训练使用", "ระบบอ่านเอกสารและลบย่อหน้าที่ซ้ำกันออกจากตาราง"
+    go = ["\t".join(f"c{i}" for i in range(60)), chinese, thai, f"{chinese[:20]}\n{chinese[20:]}", "x" * 9 + "QUJD" * 12, "見出し \u3000これは新しい文章ですから長い行になりますね、はい"]
+    stay = ["a      b      c", "一二三四五六七", "Donaudampfschifffahrtsgesellschaft und Rindfleischetikettierung", "one two three four five six seven"]
+    rows = []
+    for n, text in enumerate([*go, *stay]):
+        rows += [(2 * n, f"above {n}\n{text}\nbelow {n}"), (2 * n + 1, f"first {n}\n{text}\nlast {n}")]
+    got = {r["doc_id"]: r["text"] for r in lines.drop_repeated_lines(frame(rows)).collect()}
+    gone = {i for i, text in rows if got[i] != text}
+    assert gone == {2 * n + 1 for n in range(len(go))}
+    assert all(got[2 * n + 1] == f"first {n}\nlast {n}" for n in range(len(go)))
+
+
 def test_lines_odd_rows(spark, frame):
     rows = odd_frame(spark, frame)
     got = lines.drop_repeated_lines(rows)
