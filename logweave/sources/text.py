@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -125,8 +126,9 @@ def objects(
     if not bucket:
         raise ValueError("S3 bucket is required")
     root = f"{scheme}://{bucket.rstrip('/')}" if scheme else bucket.rstrip("/")
+    plain = re.sub(r"([][{}*?\\])", r"\\\1", prefix)  # a prefix is no pattern
     lines = _lines(
-        spark, f"{root}/{prefix}*" if prefix and not prefix.endswith("/") else f"{root}/{prefix}",
+        spark, f"{root}/{plain}*" if prefix and not prefix.endswith("/") else f"{root}/{plain}",
         stream=tail, max_files=max_files_per_trigger, recursiveFileLookup="true",
     )
     # Everything behind the bucket; paths may name a host between scheme and folder.

@@ -176,6 +176,15 @@ def test_write_files(make_events, spark, tmp_path):
             out.write_files(df, **bad)
 
 
+@pytest.mark.parametrize("prefix", ["log[1]/", "log[1]/x*", "log[1]/{a", "log[1]/b?"])
+def test_objects_of_a_prefix_that_reads_like_a_pattern(spark, tmp_path, prefix):
+    for folder, name in (("log[1]", "x*1"), ("log[1]", "{a}"), ("log[1]", "b?"), ("log[1]", "xy"), ("log[1]", "bc"), ("log1", "x*1")):
+        (tmp_path / folder).mkdir(exist_ok=True)
+        (tmp_path / folder / name).write_text(f"{folder}/{name}\n")
+    want = {f"log[1]/{n}" for n in ("x*1", "{a}", "b?", "xy", "bc") if f"log[1]/{n}".startswith(prefix)}
+    assert {r["raw_data"] for r in src.objects(spark, str(tmp_path), prefix, scheme="file").collect()} == want
+
+
 def test_write_objects(make_events, spark, tmp_path):
     df = _sink_events(make_events)
     before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", None)
