@@ -122,7 +122,7 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     from logweave.llm.subword import decode, encode_samples
 
     model = tokenizer_path("piece_bpe_32k.model")
-    drawn = encode_samples(table(spark, folder, "documents").select("doc_id", "text"), model)
+    drawn = encode_samples(table(spark, folder, "documents").select("doc_id", "text"), model, samples=2)
     # The outer form, as the inner one would draw all samples a second time to see which texts have none.
     each = drawn.select("doc_id", "text", F.posexplode_outer("samples").alias("sample", "s")).where("sample IS NOT NULL")
     rows = each.select("doc_id", "text", "sample", "s.*")
