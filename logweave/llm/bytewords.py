@@ -9,7 +9,7 @@ its own, so memory follows the longest text of a batch (some 60 bytes per byte o
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
@@ -20,6 +20,9 @@ SLICE = 1 << 20
 U = np.uint64
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: What is neither an ASCII letter or digit nor part of a longer character.
+MARKS = np.ones(256, bool)
+MARKS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -58,13 +61,14 @@ class Texts:
 
     data: np.ndarray
     at: np.ndarray  # len + 1 offsets into data
+    blank: np.ndarray = field(default_factory=lambda: SPACE)  # the bytes between words
 
     def __len__(self) -> int:
         return len(self.at) - 1
 
     def words(self) -> "Words":
         data, n = self.data, len(self.data)
-        word = ~SPACE[data]
+        word = ~self.blank[data]
         edge = np.zeros(n + 1, bool)
         edge[self.at] = True
         before = np.ones(n, bool)
@@ -119,6 +123,32 @@ def slices(texts: pa.Array, lower: bool = False) -> Iterator[Texts]:
         i = j
 
 
+def parts(texts: pa.Array, blank: np.ndarray) -> Iterator[tuple[int, Texts]]:
+    """As ``slices``, in lower case; a longer text comes in several parts, cut between words.
+
+    With each slice the number of its first text. The parts of a long text come one by one, each under
+    the number of that text; only a single word longer than a slice makes a longer part.
+    """
+    done = 0
+    for few in slices(texts, lower=True):
+        n = len(few.data)
+        if n <= SLICE:
+            yield done, Texts(few.data, few.at, blank)
+        else:  # one text
+            gaps = np.flatnonzero(blank[few.data]) + 1
+            start = 0
+            while start < n:
+                fits = int(np.searchsorted(gaps, start + SLICE, "right")) - 1
+                end = int(gaps[fits]) if fits >= 0 else 0
+                if end <= start:
+                    end = int(gaps[fits + 1]) if fits + 1 < len(gaps) else n
+                if n - start <= SLICE:
+                    end = n
+                yield done, Texts(few.data[start:end], np.array([0, end - start]), blank)
+                start = end
+        done += len(few)
+
+
 def ngrams(hashes: np.ndarray, at: np.ndarray, n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every ``n`` neighbouring words of one text, and the index of each run's first word."""
     if len(hashes) < n:

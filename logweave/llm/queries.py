@@ -131,6 +131,48 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     return read.select("doc_id", "sample", *ids, "log_prob", "perturbed", "log_inclusion")
 
 
+@query(
+    "op13_treap_search",
+    r"""
+    WITH t AS (
+        SELECT doc_id, row, term, count(*) AS tf FROM (
+            SELECT doc_id, row, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM (SELECT doc_id, text, row_number() OVER () AS row FROM documents)
+        ) GROUP BY doc_id, row, term
+    ), d AS (SELECT row, sum(tf)::BIGINT AS n FROM t GROUP BY row),
+    c AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS l FROM d),
+    w AS (
+        SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w
+        FROM (SELECT term, count(*)::BIGINT AS df FROM t GROUP BY term), c
+    ), i AS (
+        SELECT DISTINCT item, item_id, term FROM (
+            SELECT item, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM (SELECT item_id, text, row_number() OVER () AS item FROM benchmark)
+        )
+    ), s AS (
+        SELECT item, item_id, doc_id, row, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // l))))::BIGINT AS score
+        FROM i JOIN w USING (term) JOIN t USING (term) JOIN d USING (row), c GROUP BY item, item_id, doc_id, row
+    ), r AS (
+        SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank FROM s WHERE score > 0
+    )
+    SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 50
+    """,
+)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    from logweave.llm.lexical import index, search
+
+    return search(index(table(spark, folder, "documents")), table(spark, folder, "benchmark"), k=50)
+
+
+@query("op11_token_alignment")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    from logweave.llm.alignment import align
+
+    return align(table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
