@@ -38,7 +38,7 @@ from logweave.llm.shared import ship, written
 from logweave.llm.treap import Best, Treap, pack
 
 BLOCK_DOCUMENTS = 4096
-BLOCK_CELLS = 1 << 20
+BLOCK_CELLS = 1 << 19
 CHUNK_TERMS = 200_000  # of items that go to the workers together
 BLOCKS = "documents array<bigint>, terms binary, held binary, cells binary"
 

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 import numpy as np
 import pyarrow as pa
 
-BITS = np.array([bin(i).count("1") for i in range(16)], np.int64)
+BITS = np.array([bin(i).count("1") for i in range(16)], np.uint8)
 HEAD = struct.Struct("<IIQQ")
 
 
@@ -23,7 +23,7 @@ def _steps(row_bits: int, column_bits: int) -> list[tuple[bool, bool]]:
 
 
 def pack(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, n_rows: int, n_columns: int) -> bytes:
-    """The grid with ``values`` (positive, below 2**32) at distinct places, as bytes."""
+    """The grid with ``values`` (positive, below 2**32) at distinct places, fewer than 2**32, as bytes."""
     row_bits, column_bits = max(n_rows - 1, 0).bit_length(), max(n_columns - 1, 0).bit_length()
     steps = _steps(row_bits, column_bits)
     cells = np.zeros(len(rows), np.uint64)
@@ -59,16 +59,16 @@ class Treap:
         self.row_bits, self.column_bits, self.top, size = HEAD.unpack_from(packed)
         self.steps = _steps(self.row_bits, self.column_bits)
         body = np.frombuffer(pa.decompress(packed[HEAD.size :], size, "zstd", asbytes=True), np.uint8)
-        self.masks, self.first, self.most = [], [], [np.array([self.top], np.int64)]
+        self.masks, self.first, self.most = [], [], [np.array([self.top], np.uint32)]
         at, n = 0, 1 if self.top else 0
         for _ in self.steps:
             masks = body[at : at + n]
             held = BITS[masks]
-            ends = np.cumsum(held)
+            ends = np.cumsum(held, dtype=np.int64)
             parts = int(ends[-1]) if n else 0
             less = np.ascontiguousarray(body[at + n : at + n + 4 * parts].reshape(4, parts).T).view("<u4").ravel()
             self.masks.append(masks)
-            self.first.append(ends - held)
+            self.first.append((ends - held).astype(np.uint32))
             self.most.append(np.repeat(self.most[-1], held) - less)
             at, n = at + n + 4 * parts, parts
 
@@ -77,7 +77,7 @@ class Treap:
         masks = self.masks[level][nodes]
         there = (masks >> number.astype(np.uint8)) & 1 > 0
         before = BITS[masks[there] & ((1 << number[there]) - 1)]
-        return there, self.first[level][nodes[there]] + before
+        return there, self.first[level][nodes[there]].astype(np.int64) + before
 
     def best(self, rows: np.ndarray, weights: np.ndarray, worth: "Best", names: Sequence[int | None], stride: int = 6) -> None:
         """Offer to ``worth`` the columns with the largest sums over ``rows`` of weight times number.
@@ -119,7 +119,7 @@ class Treap:
             order = np.argsort(columns, kind="stable")
             columns, nodes, which = columns[order], nodes[order], which[order]
             cuts = np.flatnonzero(np.concatenate([[True], columns[1:] != columns[:-1]]))
-            sums = np.add.reduceat(weights[which] * self.most[level][nodes], cuts)
+            sums = np.add.reduceat(weights[which] * self.most[level][nodes].astype(np.int64), cuts)
             ends = np.append(cuts[1:], len(columns))
             for k in np.flatnonzero(sums >= worth.least).tolist():
                 a, b = cuts[k], ends[k]
