@@ -35,7 +35,7 @@ from logweave.llm.packing import TextIds
 from logweave.llm.shared import ship, written
 
 HOT = 4096
-BYTES = 1 << 20  # of texts aligned at a time
+CHARS = 1 << 18  # of texts aligned at a time; a longer text is aligned by itself
 ROW = (
     "struct<n_a: bigint, n_b: bigint, n_groups: bigint, groups_sha256: string, same: array<int>, same_n: array<int>,"
     " pairs: array<bigint>, pairs_n: array<int>>"
@@ -91,12 +91,12 @@ class Both:
     def align(self, texts: list[str]) -> list[tuple]:
         """What ``ROW`` names, for every text."""
         whole = [(" " + t).encode("utf-8", "surrogatepass") if t else b"" for t in texts]
-        ids_a = [self.ids_a(" " + t) if t else [] for t in texts]
-        ids_b = self.model.encode(texts, num_threads=1) if texts else []
+        ids_a = [np.array(self.ids_a(" " + t) if t else [], np.int32) for t in texts]
+        ids_b = [np.array(self.model.encode(t), np.int32) for t in texts]
         out: list[tuple] = [(0, 0, 0, "", *(np.zeros(0, np.int64) for _ in range(4)))] * len(texts)
         right = [i for i, w in enumerate(whole) if w]
         for ids, words in ((ids_a, self.a), (ids_b, self.b)):
-            flat = _flat([ids[i] for i in right])
+            flat = _joined([ids[i] for i in right])
             ends = np.concatenate([[0], np.cumsum(words.length[flat])])[np.cumsum([0, *(len(ids[i]) for i in right)])]
             spelled = words.spelled(flat).tobytes()
             right = [i for i, x, y in zip(right, ends[:-1], ends[1:]) if spelled[x:y] == whole[i]]
@@ -105,9 +105,9 @@ class Both:
                 out[i] = row
         return out
 
-    def _aligned(self, ids_a: list[list[int]], ids_b: list[list[int]]) -> Iterator[tuple]:
+    def _aligned(self, ids_a: list[np.ndarray], ids_b: list[np.ndarray]) -> Iterator[tuple]:
         n_a, n_b = (np.array([len(x) for x in ids]) for ids in (ids_a, ids_b))
-        a, b = _flat(ids_a), _flat(ids_b)
+        a, b = _joined(ids_a), _joined(ids_b)
         end_a, end_b = np.cumsum(self.a.length[a]), np.cumsum(self.b.length[b])
         cut = np.zeros(int(end_a[-1]) + 1, np.uint8)
         cut[end_a] = 1
@@ -135,8 +135,8 @@ class Both:
             yield int(n_a[k]), int(n_b[k]), int(n_groups[k]), digest, *same[k], *pairs[k]
 
 
-def _flat(lists: list[list[int]]) -> np.ndarray:
-    return np.fromiter((i for x in lists for i in x), np.int64, sum(map(len, lists)))
+def _joined(ids: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.int32), *ids]).astype(np.int64)
 
 
 def _counted(doc: np.ndarray, value: np.ndarray, bound: int, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -146,9 +146,9 @@ def _counted(doc: np.ndarray, value: np.ndarray, bound: int, n: int) -> list[tup
     new = np.ones(len(doc), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (value[1:] != value[:-1])
     first = np.flatnonzero(new)
-    times = np.diff(np.append(first, len(doc)))
-    at = np.searchsorted(doc[first], np.arange(n + 1))
-    return [(value[first][i:j], times[i:j]) for i, j in zip(at[:-1], at[1:])]
+    doc, value, times = doc[first], value[first], np.diff(np.append(first, len(doc)))
+    at = np.searchsorted(doc, np.arange(n + 1))
+    return [(value[i:j], times[i:j]) for i, j in zip(at[:-1], at[1:])]
 
 
 @lru_cache(maxsize=1)
@@ -176,7 +176,7 @@ def groups(docs: DataFrame, byte_level: str, pieces: str, text: str = "text", ke
             for value in batch:
                 few.append(value.as_py() or "")
                 held += len(few[-1])
-                if held >= BYTES:
+                if held >= CHARS:
                     rows += both.align(few)
                     few, held = [], 0
             rows += both.align(few)
