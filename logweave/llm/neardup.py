@@ -4,13 +4,10 @@ One pass over the texts gives each document its set of 5-word shingles (as 64-bi
 one-permutation MinHash signature of ``BINS`` bins made full by optimal densification, and from it
 banded bucket keys. Documents with the same set are joined first, without buckets.
 
-Candidates of a bucket are star-shaped: all members against one center, the member that shares most
-buckets with others. Every candidate is confirmed on the full sets. A member that fails against the
-center may still link with another member, so the buckets are gone through again until none has
-members of different components left to compare; used centers leave, buckets whose members have
-come together leave, and the number of centers a bucket may take grows eightfold from round to round, up
-to 512. Pairs that the triangle inequality (through distances to the first center) or the sizes rule out are never
-made. No bucket is capped: what a round leaves, a later one takes.
+Candidates of a bucket are star-shaped and go on, round by round, until nothing is open (``stars.py``): all
+members against one center first, then against the members it left unlinked. Every candidate is confirmed on
+the full sets. Documents of a bucket that have too few shingles in common with any other document leave
+before candidates are made.
 
 The threshold sets the shape of the bands (``band_shape``): the longest that miss a pair right at it with
 a probability of ``MISSED`` at most. At 0.85 these are 32 bands of 8 bins, (1 - 0.85**8)**32 = 4e-5; at 0.8
@@ -28,30 +25,29 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.functions import arrow_udf
 
 from logweave.llm.bytewords import U, Texts, mix, ngrams, slices, stream
 from logweave.llm.components import components
 from logweave.llm.shared import free_names, ship, written
+from logweave.llm.stars import held_in_common, star_classes
 
 BINS = 256
 MISSED = 1e-4  # of pairs right at the threshold, those that share no bucket
 SHINGLE = 5
-GROWTH = 8  # of the centers a bucket may take, from round to round
-CENTERS = 512  # of a bucket in one round, at most; the next round takes further ones
 EMPTY = U(0xFFFFFFFFFFFFFFFF)
 
 
-def shingle_sets(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(texts: Texts, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each text in ascending order, and where each text's begin."""
     words = texts.words()
     hashes = words.hashes()
-    grams, where = ngrams(hashes, words.at, SHINGLE, 5)
+    grams, where = ngrams(hashes, words.at, shingle, 5)
     doc = np.searchsorted(words.at, where, "right") - 1
-    few = np.flatnonzero((words.counts() > 0) & (words.counts() < SHINGLE))  # the whole sequence is the shingle
+    few = np.flatnonzero((words.counts() > 0) & (words.counts() < shingle))  # the whole sequence is the shingle
     if len(few):
-        weights = stream(6, SHINGLE)
+        weights = stream(6, shingle)
         whole = []
         for d in few:
             own = hashes[words.at[d] : words.at[d + 1]]
@@ -133,11 +129,7 @@ def features(percent: int):
             for texts in slices(batch, lower=True):
                 sets, at = shingle_sets(texts)
                 size = np.diff(at)
-                digest = []
-                for seed in (1, 2):
-                    total = np.zeros(len(sets) + 1, U)
-                    np.cumsum(mix(sets ^ stream(seed, 1)), out=total[1:])
-                    digest.append(mix(total[at[1:]] - total[at[:-1]] + size.astype(U)))
+                digest = digests(sets, at)
                 full = size > 0
                 offsets = np.concatenate([at[:-1][full], at[-1:]])
                 keys = band_keys(signatures(sets, offsets), bands, rows) if full.any() else np.zeros((0, bands), U)
@@ -151,61 +143,30 @@ def features(percent: int):
     return measure
 
 
-def full_set(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    """The whole set of shingle hashes of each text."""
-    for batch in batches:
-        sets, sizes = [np.zeros(0, U)], [np.zeros(0, np.int64)]
-        for texts in slices(batch, lower=True):
-            own, at = shingle_sets(texts)
-            sets.append(own)
-            sizes.append(np.diff(at))
-        offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
-        yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))
+def full_set(shingle: int):
+    """Column function: the whole set of shingle hashes of each text."""
 
+    def sets_of_batch(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            sets, sizes = [np.zeros(0, U)], [np.zeros(0, np.int64)]
+            for texts in slices(batch, lower=True):
+                own, at = shingle_sets(texts, shingle)
+                sets.append(own)
+                sizes.append(np.diff(at))
+            offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
+            yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))
 
-def _alike(a: Column, b: Column, percent: int) -> Column:
-    """Sizes that allow the similarity: the smaller set is not too small for the larger."""
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
-
-
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``pairs`` (a, b) with ``common``, the exact size of the intersection.
-
-    The set of a center goes to each of its pairs. A center with very many pairs is cut into slots of
-    some hundred, its set repeated per slot, so no task gets all of them.
-    """
-    degree = pairs.groupBy("a").agg((F.count(F.lit(1)) / 256).cast("int").alias("last"))
-    centers = degree.join(sets.select(F.col("node").alias("a"), F.col("items").alias("items_a")), "a")
-    centers = centers.select("a", "items_a", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("slot"))
-    slotted = pairs.join(degree, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("last") + 1).cast("int").alias("slot"))
-    half = slotted.join(centers, ["a", "slot"]).drop("slot")
-    whole = half.join(sets.select(F.col("node").alias("b"), F.col("items").alias("items_b")), "b")
-    common = F.size(F.array_intersect("items_a", "items_b")).cast("bigint")
-    return whole.select("a", "b", common.alias("common"), F.size("items_a").cast("bigint").alias("size_a"), F.size("items_b").cast("bigint").alias("size_b"))
-
-
-def _spokes(active: DataFrame, centers: DataFrame, percent: int) -> DataFrame:
-    """``(node, c)``: every member with the centers of its buckets that it may link with, each once.
-
-    Buckets of nearly the same members name nearly the same centers, so the lists of a member's
-    buckets (at most ``CENTERS`` of each) are united before rows are made of them. What
-    the triangle inequality, |d(x, y) - d(x, z)| <= d(y, z) with d = 1 - similarity, rules out
-    in one bucket is ruled out in all.
-    """
-
-    def other(c: Column) -> Column:
-        apart = F.coalesce(F.col("component") != c["component"], F.lit(True))
-        return (c["c"] != F.col("node")) & apart & _alike(F.col("n"), c["n"], percent)
-
-    def too_far(c: Column) -> Column:
-        return F.coalesce(F.abs(F.col("far") - c["far"]) > 1 - percent / 100 + 1e-9, F.lit(False))
+    return sets_of_batch
 
-    def named(test) -> Column:
-        return F.transform(F.filter("centers", test), lambda c: c["c"])
 
-    met = active.join(centers, "bucket").select("node", named(other).alias("near"), named(too_far).alias("ruled_out"))
-    lists = met.groupBy("node").agg(F.flatten(F.collect_list("near")).alias("near"), F.flatten(F.collect_list("ruled_out")).alias("ruled_out"))
-    return lists.select("node", F.explode(F.array_except("near", "ruled_out")).alias("c"))
+def digests(sets: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """Two 64-bit digests of every set, which depend on its items alone."""
+    out = []
+    for seed in (1, 2):
+        total = np.zeros(len(sets) + 1, U)
+        np.cumsum(mix(sets ^ stream(seed, 1)), out=total[1:])
+        out.append(mix(total[at[1:]] - total[at[:-1]] + np.diff(at).astype(U)))
+    return out
 
 
 def near_duplicate_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", *, percent: int = 85) -> DataFrame:
@@ -216,68 +177,48 @@ def near_duplicate_classes(docs: DataFrame, text: str = "text", key: str = "doc_
     """
     ship(docs.sparkSession)
     docs = docs.select(F.col(f"`{key}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    read = F.coalesce("text", F.lit(""))
-    found = written(docs.select("doc_id", features(percent)(read).alias("f")).select("doc_id", "f.*"), "near-features")
+    found = written(docs.select("doc_id", features(percent)(F.coalesce("text", F.lit(""))).alias("f")).select("doc_id", "f.*"), "near-features")
     # 1. Equal sets, of any number, come together by their digest alone.
-    whole = found.where("doc_id IS NOT NULL AND n_shingles > 0")
-    first = written(whole.groupBy("set1", "set2", "n_shingles").agg(F.min("doc_id").alias("rep")), "near-first")  # written, so that the join may split copies
-    member = whole.join(first, ["set1", "set2", "n_shingles"])
-    bands = F.when(F.col("doc_id") == F.col("rep"), F.col("bands"))
-    member = written(member.select("doc_id", "rep", F.col("n_shingles").alias("n"), bands.alias("bands")), "near-members")
-    same = member.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
+    member, same = distinct_sets(found)
     # 2. Buckets with two members or more.
-    rows = member.where("bands IS NOT NULL").select(F.explode("bands").alias("bucket"), F.col("rep").alias("node"), "n")
-    shared = rows.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("held")).where("lo < hi")
-    shared = written(shared, "near-shared")
-    active = written(rows.join(shared.select("bucket", "held"), "bucket").distinct(), "near-buckets")
+    rows = member.where("doc_id = rep").select(F.explode("bands").alias("bucket"), F.col("rep").alias("node"), "n")
+    shared = rows.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("bucket")
+    active = written(rows.join(written(shared, "near-shared"), "bucket").distinct(), "near-buckets")
     if active.isEmpty():
-        return _answer(found, components(same))
-    # The sets of all that may be compared, made once.
-    nodes = active.select("node").distinct()
+        return answer(found, member, components(same))
+    # The sets of all that may be compared, made once, and what each has in common with any other.
+    sets = sets_of(docs, active.select("node").distinct(), SHINGLE)
+    common = held_in_common(sets).groupBy("node").agg(F.countDistinct("item").alias("shared"))
+    active = active.join(written(common, "near-common"), "node").select("bucket", "node", "n", "shared")
+    return answer(found, member, star_classes(active, sets, percent, same))
+
+
+def distinct_sets(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``found`` (doc_id, n_shingles, set1, set2, ...) with a set, as ``member`` with ``rep``, the smallest id of equal sets, and ``n``.
+
+    Second, links ``(a, b)`` between representatives of the sets of one id, where rows of that id have several.
+    """
+    whole = found.where("doc_id IS NOT NULL AND n_shingles > 0")
+    first = written(whole.groupBy("set1", "set2", "n_shingles").agg(F.min("doc_id").alias("rep")), "near-first")  # written, so that the join may split copies
+    member = whole.join(first, ["set1", "set2", "n_shingles"]).withColumnRenamed("n_shingles", "n").drop("set1", "set2")
+    member = written(member, "near-members")
+    lowest = member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("doc_id", "a")
+    return member, member.select("doc_id", F.col("rep").alias("b")).join(lowest, "doc_id").where("a < b").select("a", "b").distinct()
+
+
+def sets_of(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+    """``(node, items)``: the whole sets of the documents (doc_id, text) in ``nodes``, as a table."""
     named = nodes.withColumnRenamed("node", "doc_id").hint("merge")  # one plan at every size: each text moves once
-    again = docs.join(named, "doc_id", "left_semi").select(F.col("doc_id").alias("node"), arrow_udf(full_set, "array<bigint>")(read).alias("items"))
-    sets = written(again, "near-sets")
-    # The member that meets most others comes first in each of its buckets.
-    meets = active.groupBy("node").agg(F.sum("held").alias("meets"))
-    active = active.join(meets, "node").select("bucket", "node", "n", "meets", F.lit(None).cast("double").alias("far"), F.lit(None).cast("bigint").alias("component"))
-    links, tried, most, turn = same, None, 1, 0
-    while True:
-        order = Window.partitionBy("bucket").orderBy(F.desc("meets"), "node")
-        ranked = active.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
-        chosen = written(ranked.select("bucket", "rank", F.struct(F.col("node").alias("c"), "n", "far", "component").alias("center")), "near-centers")
-        spokes = _spokes(active, chosen.groupBy("bucket").agg(F.collect_list("center").alias("centers")), percent)
-        pairs = spokes.select(F.least("c", "node").alias("x"), F.greatest("c", "node").alias("y"), "c").groupBy("x", "y").agg(F.min("c").alias("a"))
-        pairs = pairs.select("a", F.when(F.col("a") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("b"))
-        if tried is not None:
-            pairs = pairs.join(tried, (F.least("a", "b") == tried.x) & (F.greatest("a", "b") == tried.y), "left_anti")
-        measured = written(_confirmed(written(pairs, "near-pairs"), sets), "near-measured")
-        union = F.col("size_a") + F.col("size_b") - F.col("common")
-        linked = measured.where(100 * F.col("common") >= percent * union).select("a", "b").distinct()
-        links = links.union(linked)
-        classes = components(links)
-        new = measured.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
-        tried = new if tried is None else tried.union(new)
-        if turn == 0:
-            measure = measured.groupBy("a", "b").agg(F.max(F.col("common") / union).alias("s"))
-            both = measure.select(F.col("a").alias("c"), F.col("b").alias("node"), "s").union(measure.select(F.col("b").alias("c"), F.col("a").alias("node"), "s"))
-            head = chosen.where("rank = 1").select("bucket", "center.c")
-            active = active.join(head, "bucket").join(both, ["c", "node"], "left")
-            active = active.where("node <> c").select("bucket", "node", "n", "meets", (1 - F.col("s")).alias("far"))
-        else:
-            used = chosen.select("bucket", F.col("center.c").alias("node"))
-            active = active.join(used, ["bucket", "node"], "left_anti").drop("component")
-        named = classes.select("node", F.col("component").alias("own"))
-        active = active.join(named, "node", "left").withColumn("component", F.coalesce("own", "node")).drop("own")
-        open_ = active.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-        active = written(active.join(open_, "bucket", "left_semi"), "near-active")
-        turn, most = turn + 1, min(most * GROWTH, CENTERS)
-        if active.isEmpty():
-            return _answer(found, classes)
-
-
-def _answer(found: DataFrame, classes: DataFrame) -> DataFrame:
-    ids = found.select("doc_id", "n_shingles")
-    named = ids.join(classes.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
+    items = arrow_udf(full_set(shingle), "array<bigint>")(F.coalesce("text", F.lit("")))
+    rows = docs.join(named, "doc_id", "left_semi").select(F.col("doc_id").alias("node"), items.alias("items"))
+    return written(rows, "near-sets")
+
+
+def answer(found: DataFrame, member: DataFrame, classes: DataFrame) -> DataFrame:
+    """Every row of ``found`` with the smallest id its set reaches."""
+    reps = member.groupBy("doc_id").agg(F.min("rep").alias("node"))
+    named = reps.join(classes, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component"))
+    named = found.select("doc_id", "n_shingles").join(named, "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return named.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 

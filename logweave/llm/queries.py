@@ -24,7 +24,30 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
-@query("op2_minhash_near_dedup")
+def _classes_sql(size: int, columns: str) -> str:
+    """Near-duplicate classes by word n-grams: every pair that shares one, then all that is reachable."""
+    return rf"""
+    WITH RECURSIVE w AS (
+        SELECT doc_id, row, list_filter(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+        FROM (SELECT doc_id, text, row_number() OVER () AS row FROM documents)
+    ), g AS (
+        SELECT DISTINCT row, md5(unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < {size} THEN [array_to_string(words, ' ')]
+            ELSE list_transform(range(1, len(words) - {size} + 2), lambda i: array_to_string(words[i:i + {size} - 1], ' ')) END)) AS gram
+        FROM w WHERE words IS NOT NULL
+    ), n AS (SELECT row, count(*)::BIGINT AS n FROM g GROUP BY row),
+    p AS (SELECT a.row AS x, b.row AS y, count(*) AS m FROM g a JOIN g b ON a.gram = b.gram AND a.row < b.row GROUP BY a.row, b.row),
+    l AS (
+        SELECT d.doc_id AS a, e.doc_id AS b FROM p JOIN n u ON u.row = x JOIN n v ON v.row = y JOIN w d ON d.row = x JOIN w e ON e.row = y
+        WHERE 100 * m >= 85 * (u.n + v.n - m)
+    ), e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+    r AS (SELECT a AS node, a AS seen FROM e UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.seen),
+    c AS (SELECT node, min(seen) AS component FROM r GROUP BY node)
+    SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(c.component, w.doc_id) AS component_id{columns}
+    FROM w LEFT JOIN n ON n.row = w.row LEFT JOIN c ON c.node = w.doc_id
+    """
+
+
+@query("op2_minhash_near_dedup", _classes_sql(5, ", w.doc_id = coalesce(c.component, w.doc_id) AS kept"))
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     from logweave.llm.neardup import near_duplicate_classes
 
@@ -173,6 +196,13 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     return align(table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
 
 
+@query("op12_ngram_jaccard", _classes_sql(4, ""))
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    from logweave.llm.ngramjoin import similar_classes
+
+    return similar_classes(table(spark, folder, "documents"), size=4, percent=85)
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline

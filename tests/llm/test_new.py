@@ -16,6 +16,8 @@ from tokenizers import Tokenizer
 from logweave.llm.alignment import align
 from logweave.llm.bytewords import SLICE
 from logweave.llm.lexical import index, search
+from logweave.llm.neardup import sets_of
+from logweave.llm.ngramjoin import prefixes, similar_classes
 from logweave.llm.treap import Best, Treap, pack
 
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -180,3 +182,80 @@ def test_bounds_keep_cells_closed(monkeypatch):
         treap.best(np.arange(5), np.ones(5, np.int64), Best(k), list(range(4096)), 2)
         cost.append(sum(opened))
     assert cost[0] < 0.8 * cost[1]
+
+
+def ngram_classes(rows, size, percent):
+    """Components by comparing all pairs of rows; rows of one id are one document."""
+    def grams(text):
+        words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
+        return {tuple(words[i : i + size]) for i in range(len(words) - size + 1)} or ({tuple(words)} if words else set())
+
+    sets = [(i, grams(t)) for i, t in rows]
+    parent = {i: i for i, _ in rows}
+
+    def top(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for k, (i, a) in enumerate(sets):
+        for j, b in sets[:k]:
+            if a and b and None not in (i, j) and 100 * len(a & b) >= percent * len(a | b):
+                x, y = top(i), top(j)
+                parent[max(x, y)] = min(x, y)
+    return sorted(((i, len(s), None if i is None else top(i)) for i, s in sets), key=str)
+
+
+def joined(df, **options):
+    return sorted((tuple(r) for r in similar_classes(df, **options).collect()), key=str)
+
+
+def test_ngram_join_of_table(documents, texts):
+    assert joined(documents) == ngram_classes(sorted(texts.items()), 4, 85)
+
+
+@pytest.mark.parametrize("percent,size", [(85, 4), (70, 3), (100, 4)])
+def test_ngram_join_around_the_threshold(frame, percent, size):
+    """Copies with few words changed, cut short, or run on; passages shared by many; words of few kinds."""
+    rng = random.Random(percent)
+    base = [f"w{rng.randint(0, 400)}" for _ in range(130)]
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = []
+    for i in range(160):
+        words = list(base)
+        for _ in range(rng.randint(0, 9)):
+            words[rng.randrange(len(words))] = f"x{rng.randint(0, 99)}"
+        rows.append((i, " ".join(words[: rng.randint(100, 130)])))
+    rows += [(200 + i, passage + " " + " ".join(f"q{rng.randint(0, 10**6)}" for _ in range(rng.randint(1, 90)))) for i in range(60)]
+    rows += [(300 + i, " ".join(rng.choices("ab", k=rng.randint(1, 12)))) for i in range(60)]
+    assert joined(frame(rows), percent=percent, size=size) == ngram_classes(rows, size, percent)
+
+
+def test_ngram_join_odd_rows(spark, frame):
+    long = " ".join(f"w{i}" for i in range(400_000))
+    rows = [(1, None), (2, ""), (3, " \t\n"), (4, "One two"), (5, "one TWO"), (6, "one"), (6, "three four"), (7, "three  four"), (None, "one"), (None, None), (8, "one"), (8, "one"), (9, long), (10, long + " end"), (11, "É a b c d"), (12, "é a b c d")]
+    df = frame(rows).withColumnsRenamed({"source": "n_shingles", "lang": "Node"})
+    assert joined(df) == ngram_classes(rows, 4, 85)
+    assert joined(df.limit(0)) == []
+
+
+def test_ngram_join_links_through_one_id(frame):
+    """Rows of one id are one document: it links if any of its texts does."""
+    rows = [(5, "a b c d e"), (5, "f g h i j"), (3, "a b c d e"), (9, "f g h i j"), (7, "k")]
+    assert joined(frame(rows)) == ngram_classes(rows, 4, 85)
+
+
+def test_every_order_filters(spark, frame):
+    """A pair that meets under the first order only is no candidate; one that links meets under all."""
+    rng = random.Random(3)
+    base = [f"w{k}" for k in rng.choices(range(14), k=40)]
+    rows = [(i, " ".join(w if rng.random() < 0.95 else f"w{rng.randrange(14)}" for w in base[rng.randrange(8):])) for i in range(40)]
+    rows += [(40 + i, " ".join(f"w{k}" for k in rng.choices(range(14), k=40))) for i in range(40)]
+    docs = frame(rows).select("doc_id", "text")
+    sets = sets_of(docs, docs.selectExpr("doc_id AS node"), 2)
+    heads = {r["node"]: r for r in prefixes(sets, 80).collect()}
+    items = {r["node"]: set(r["items"]) for r in sets.collect()}
+    met = {order: {(a, b) for a in heads for b in heads if a < b and set(heads[a][order]) & set(heads[b][order])} for order in ("by_rarity", "by_class", "by_chance")}
+    alike = {(a, b) for a in items for b in items if a < b and 5 * len(items[a] & items[b]) >= 4 * len(items[a] | items[b])}
+    every = set.intersection(*met.values())
+    assert alike <= every and len(every) < min(map(len, met.values()))
