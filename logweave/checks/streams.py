@@ -1,12 +1,15 @@
 """Flows as streams; each must give what the same flow gives as a batch."""
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
+from logweave import metrics
 from logweave.checks.base import LEVEL, MICROS, field_text, log_lines, open_events, query
 from logweave.model import OPEN_MAP, add_field, event_columns
 from logweave.plans.flow import Flow
 from logweave.plans.registry import default_registry
 from logweave.session import shared_dir
+from logweave.sinks.lines import write_files
 from logweave.streaming import query as streaming
 
 
@@ -24,7 +27,10 @@ def _registry():
 
 def _events_stream(t):
     """The event table as a stream of open-layout events."""
-    rows = streaming.table_stream(t.spark, t.path("events"))
+    return _events_of(streaming.table_stream(t.spark, t.path("events")))
+
+
+def _events_of(rows):
     pairs = [p for n in ("event_type", "user_id", "value") for p in (F.lit(n), F.col(n).cast("variant"))]
     return rows.select(
         *event_columns(
@@ -168,6 +174,87 @@ def stream_counters(t):
     return t.spark.createDataFrame([row], "events_processed bigint, events_dropped bigint, processing_errors bigint")
 
 
+def _unreliable(failures: int):
+    """Components with a sink that writes its rows and then fails, so many times before it works."""
+    registry, left = _registry(), [failures]
+
+    def lines(df, path, batch_id=None):
+        write_files(df, path, "text", template="{id} {event_type}", batch_id=batch_id)
+        if left[0]:
+            left[0] -= 1
+            raise RuntimeError("failed after the write")
+
+    registry.register("sink", "unreliable", lines)
+    return registry
+
+
+def _two_sinks(folder, registry):
+    return Flow(
+        {
+            "name": f"two-{folder[-8:]}", "sources": _source(),
+            "processors": [{"name": "f", "type": "filter", "config": {"condition": "event_type != view"}}],
+            "sinks": [
+                {"name": "good", "type": "file", "config": {"path": f"{folder}/good", "format": "text", "template": "{id} {event_type}"}},
+                {"name": "bad", "type": "unreliable", "config": {"path": f"{folder}/bad"}},
+            ],
+        },
+        registry,
+    )
+
+
+def _delivered(t, folder):
+    words = [t.spark.read.text(f"{folder}/{sink}").select(F.lit(sink).alias("sink"), F.split("value", " ").alias("w")) for sink in ("good", "bad")]
+    return words[0].union(words[1]).select("sink", F.get("w", F.lit(0)).alias("id"), F.get("w", F.lit(1)).alias("kind"))
+
+
+_BOTH = " UNION ALL ".join(f"SELECT '{sink}' AS sink, CAST(event_id AS VARCHAR) AS id, event_type AS kind FROM events WHERE event_type <> 'view'" for sink in ("good", "bad"))
+
+
+@query("stream_replay", _BOTH)
+def stream_replay(t):
+    """A batch that ended in a failure is run again: the sink that has it is left out, the other replaces what it wrote."""
+    folder = shared_dir(t.spark, "replay")
+    flow = _two_sinks(folder, _unreliable(1))
+    for turn in range(2):
+        query_ = streaming.start(flow, t.spark, f"{folder}/checkpoint", available_now=True, on_error="fail", rows=_events_stream(t))
+        try:
+            query_.awaitTermination()
+        except StreamingQueryException:
+            if turn:
+                raise
+    return _delivered(t, folder)
+
+
+@query("stream_sink_failure", _BOTH)
+def stream_sink_failure(t):
+    """A sink that fails for a while gets the rows of those batches later, each once."""
+    folder = shared_dir(t.spark, "failure")
+    t("events").repartition(3, "user_id").write.parquet(f"{folder}/in")
+    rows = _events_of(streaming.table_stream(t.spark, f"{folder}/in", t("events").schema, max_files=1))
+    streaming.start(_two_sinks(folder, _unreliable(2)), t.spark, f"{folder}/checkpoint", available_now=True, rows=rows).awaitTermination()
+    return _delivered(t, folder)
+
+
+@query(
+    "flow_status",
+    """SELECT 1 AS sources, 1 AS processors, 2 AS sinks, CAST(count_if(event_type <> 'view') AS BIGINT) AS events_processed,
+    CAST(count_if(event_type = 'view') AS BIGINT) AS events_dropped, CAST(2 AS BIGINT) AS processing_errors, FALSE AS running FROM events""",
+)
+def flow_status(t):
+    """The status row of a stream of several batches, two of which a sink failed in."""
+    folder = shared_dir(t.spark, "status")
+    t("events").repartition(5, "user_id").write.parquet(f"{folder}/in")
+    rows = _events_of(streaming.table_stream(t.spark, f"{folder}/in", t("events").schema, max_files=1))
+    flow = _two_sinks(folder, _unreliable(2))
+    query_ = streaming.start(flow, t.spark, f"{folder}/checkpoint", available_now=True, count=True, rows=rows)
+    query_.awaitTermination()
+    status = streaming.status(flow, query_)
+    del status["failures"]
+    return metrics.status_row(t.spark, **status).drop("name", "uptime").selectExpr(
+        "int(sources) AS sources", "int(processors) AS processors", "int(sinks) AS sinks", "events_processed", "events_dropped", "processing_errors", "running"
+    )
+
+
 @query("batch_flow", "SELECT CAST(event_id AS VARCHAR) AS id, CASE event_type WHEN 'view' THEN 'visit' ELSE 'other' END AS meaning FROM events WHERE event_type <> 'error'")
 def batch_flow(t):
     """The chain of a declared flow over the whole table, as a batch."""

@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
+import inspect
 import json
 import logging
 import time
 from collections.abc import Callable
 from typing import Any
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from logweave import metrics
+from logweave.files import Files, stage
 from logweave.model import event_document, from_documents
 from logweave.operators.base import Step, reason
 from logweave.plans.registry import Registry, accepted, default_registry
-from logweave.session import configure
+from logweave.session import configure, shared_dir
 from logweave.sources.union import fan_in
+from logweave.streaming.ledger import Ledger
 
 
 _log = logging.getLogger(__name__)
@@ -72,6 +74,7 @@ class Flow:
         self.spec, self.name = spec, spec["name"]
         self.sink_failures: list[str] = []  # of this run, in order
         self.started = time.time()
+        self.ledger: Ledger | None = None  # of the running or last stream
         self.registry = registry or default_registry()
         self.steps: list[Callable[[DataFrame], DataFrame]] = []
         for item in spec.get("processors", []):
@@ -102,35 +105,86 @@ class Flow:
             df = step.audited(df, status) if isinstance(step, Step) else step(df)
         return df
 
+    def sinks(self) -> dict[str, dict[str, Any]]:
+        """The declared sinks by a name of their own, in order."""
+        return {f"{number}-{item['name']}": item for number, item in enumerate(self.spec["sinks"])}
+
+    def _send(self, df: DataFrame, sink: dict[str, Any], batch: int | None = None) -> str | None:
+        """Rows to one sink; the failure, if it fails."""
+        builder = self.registry.resolve("sink", sink["type"])
+        given = {} if batch is None or "batch_id" not in inspect.signature(builder).parameters else {"batch_id": batch}
+        try:
+            builder(df, **accepted(builder, sink["config"]), **given)
+        except Exception as error:  # noqa: BLE001 - isolation is the feature
+            _log.error("flow %s, sink %s failed: %s", self.name, sink["name"], error)
+            return f"{sink['name']}: {error}"
+        return None
+
     def write(self, df: DataFrame, on_error: str = "record") -> list[str]:
         """Every row to every sink, in order; returns the failures.
 
-        A failing sink does not keep the others from their rows. ``on_error="fail"`` raises
-        after all were tried, so that a stream replays the batch.
+        A failing sink does not keep the others from their rows. Several sinks read the rows from one written
+        table, so all get the same, ids included. ``on_error="fail"`` raises after all were tried.
         """
-        if on_error not in ("record", "fail"):
-            raise ValueError(f"Invalid on_error: {on_error}")
+        _check_policy(on_error)
         sinks = self.spec["sinks"]
-        shared = len(sinks) > 1
-        if shared:
-            df = df.persist(StorageLevel.MEMORY_AND_DISK)
-        failures = []
+        folder = shared_dir(df.sparkSession, f"fan-out-{self.name}") if len(sinks) > 1 else None
         try:
-            for item in sinks:
-                builder = self.registry.resolve("sink", item["type"])
-                try:
-                    builder(df, **accepted(builder, item["config"]))
-                except Exception as error:  # noqa: BLE001 - isolation is the feature
-                    failures.append(f"{item['name']}: {error}")
-                    _log.error("flow %s, sink %s failed: %s", self.name, item["name"], error)
+            rows = df if folder is None else stage(df, folder)
+            failures = [f for f in (self._send(rows, item) for item in sinks) if f]
         finally:
-            if shared:
-                df.unpersist()
+            if folder is not None:
+                Files(df.sparkSession, folder).remove("")
         self.sink_failures += failures
         if failures and on_error == "fail":
             raise RuntimeError("; ".join(failures))
         return failures
 
+    def deliver(self, df: DataFrame, batch: int, ledger: Ledger, on_error: str = "record", seen: Observation | None = None) -> list[str]:
+        """The rows of a micro-batch to every sink that has not got them; returns the failures.
+
+        A batch that is run again skips the sinks that have it; the others write the same rows to the same place.
+        The rows for a sink that fails are kept and handed to it again before the next batch and at the next
+        start; with ``on_error="fail"`` the stream ends, and runs the batch again when it is restarted. ``seen``
+        counts the rows; the counters go to the ledger once per batch.
+        """
+        _check_policy(on_error)
+        self.redeliver(ledger, batch)
+        sinks = self.sinks()
+        open_ = {name: item for name, item in sinks.items() if name not in ledger.delivered(batch)}
+        if not open_:
+            return []
+        alone = len(sinks) == 1
+        rows = df if alone else ledger.stage(batch, df)
+        failures = []
+        for name, item in open_.items():
+            failure = self._send(rows, item, batch)
+            if failure is None:
+                ledger.mark(batch, name)
+            else:
+                failures.append(failure)
+        if failures and alone and on_error == "record":
+            ledger.stage(batch, df)
+        if seen is not None:
+            ledger.count(batch, observed(seen) or dict.fromkeys(metrics.COUNTERS, 0))
+        ledger.settle(batch, sinks)
+        self.sink_failures += failures
+        if failures and on_error == "fail":
+            raise RuntimeError("; ".join(failures))
+        return failures
+
+    def redeliver(self, ledger: Ledger, before: int | None = None) -> None:
+        """Staged rows of earlier batches to the sinks that have not got them."""
+        sinks = self.sinks()
+        for batch in ledger.waiting(sinks, before):
+            for name in sorted(set(sinks) - ledger.delivered(batch)):
+                failure = self._send(ledger.staged(batch), sinks[name], batch)
+                if failure:
+                    self.sink_failures.append(failure)
+                else:
+                    ledger.mark(batch, name)
+            ledger.settle(batch, sinks)
+
     def run_batch(self, spark: SparkSession, count: bool = False, on_error: str = "record") -> dict[str, Any]:
         """Read, process and write once; returns the status row.
 
@@ -146,9 +200,7 @@ class Flow:
             audited = self.audit(rows).observe(seen, *metrics.counters())
             kept = audited.where(F.col(metrics.STATUS)["state"] == "ok").drop(metrics.STATUS)
             failures = self.write(kept, on_error)
-            # Without a sink that ran to its end there is nothing observed, and asking would wait for ever.
-            observed = seen.get if len(failures) < len(self.spec["sinks"]) else {}
-            tally = {k: int(observed.get(k) or 0) for k in metrics.COUNTERS}
+            tally = observed(seen) or dict.fromkeys(metrics.COUNTERS, 0)
             tally["processing_errors"] += len(failures)
         else:
             failures = self.write(self.transform(rows), on_error)
@@ -160,6 +212,26 @@ class Flow:
         return {"name": self.name, "running": running, **parts, **tally, "uptime": uptime}
 
 
+def _check_policy(on_error: str) -> None:
+    if on_error not in ("record", "fail"):
+        raise ValueError(f"Invalid on_error: {on_error}")
+
+
+def observed(seen: Observation, patience: float = 5.0) -> dict[str, int]:
+    """The observed counters; nothing if no query with them has run to its end, as where a sink ran none.
+
+    They arrive shortly after such a query has ended, which ``patience`` (seconds) allows for.
+    """
+    until = time.time() + patience
+    while seen._jo is not None and not seen._jo.future().isCompleted():
+        if time.time() > until:
+            return {}
+        time.sleep(0.02)
+    if seen._jo is None:
+        return {}
+    return {k: int(seen.get.get(k) or 0) for k in metrics.COUNTERS}
+
+
 def python_step(function: Callable[[dict[str, Any]], dict[str, Any] | None]) -> Step:
     """A custom per-event function as a step over open-layout events.
 

@@ -82,9 +82,9 @@ def _objects_source(spark: SparkSession, **config: Any) -> DataFrame:
     return objects(spark, **accepted(objects, config))
 
 
-def _objects_sink(df: DataFrame, **config: Any) -> None:
+def _objects_sink(df: DataFrame, batch_id: int | None = None, **config: Any) -> None:
     _object_access(df.sparkSession, config)
-    write_objects(df, **accepted(write_objects, config))
+    write_objects(df, **accepted(write_objects, config), batch_id=batch_id)
 
 
 def _search_sink(family: str) -> Callable:

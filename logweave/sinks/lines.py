@@ -9,6 +9,7 @@ from string import Formatter
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from logweave.files import Files
 from logweave.functions import text as tx
 from logweave.model import Fields, event_document
 
@@ -83,16 +84,31 @@ def write_files(
     template: str = TEMPLATE,
     message_field: str = "message",
     max_records_per_file: int | None = None,
+    batch_id: int | None = None,
 ) -> None:
-    """Write one line per event into files under ``path``."""
+    """Write one line per event into files under ``path``.
+
+    A micro-batch has a folder of its own, ``batch_id=<id>``, so writing it again replaces its files.
+    Without ``append`` the first batch of a stream clears ``path``.
+    """
     if not path:
         raise ValueError("File path is required")
+    path, append = batch_folder(df, path, append, batch_id)
     writer = df.select(event_lines(df, format, template, message_field).alias("value")).write
     if max_records_per_file:
         writer = writer.option("maxRecordsPerFile", max_records_per_file)
     writer.mode("append" if append else "overwrite").text(path)
 
 
+def batch_folder(df: DataFrame, path: str, append: bool, batch_id: int | None) -> tuple[str, bool]:
+    """Where a batch is written, and whether to what is there."""
+    if batch_id is None:
+        return path, append
+    if not append and batch_id == 0:
+        Files(df.sparkSession, path).remove("")
+    return f"{path.rstrip('/')}/batch_id={batch_id}", False
+
+
 def partition_columns(df: DataFrame, time: str = "event") -> dict[str, Column]:
     """Year, month, day and hour texts of the event time, or of now with ``processing``."""
     if time not in ("event", "processing"):
@@ -114,10 +130,11 @@ def write_objects(
     max_records_per_file: int | None = None,
     scheme: str = "s3a",
     append: bool = True,
+    batch_id: int | None = None,
 ) -> None:
-    """Write lines under ``prefix/year=/month=/day=/hour=``.
+    """Write lines under ``prefix/year=/month=/day=/hour=``, those of a micro-batch in ``batch_id=<id>`` below.
 
-    Rows are rebalanced by hour before the write: small hours share a task and an hour with
+    A micro-batch that is written again replaces its own files. Rows are rebalanced by hour before the write: small hours share a task and an hour with
     most of the rows is split over several, each about ``buffer_size`` bytes per file.
     """
     if not bucket:
@@ -126,7 +143,15 @@ def write_objects(
     line = event_lines(df, format, template, message_field).alias("value")
     out = df.select(line, *(c.alias(n) for n, c in hours.items())).hint("rebalance", *hours)
     root = f"{scheme}://{bucket.rstrip('/')}" if scheme else bucket.rstrip("/")
-    writer = out.write.partitionBy(*hours)
+    folders = list(hours)
+    if batch_id is not None:
+        if not append and batch_id == 0:
+            Files(df.sparkSession, f"{root}/{key_prefix}").remove("")
+        out, append = out.withColumn("batch_id", F.lit(batch_id)), False
+        folders.append("batch_id")
+    writer = out.write.partitionBy(*folders)
+    if batch_id is not None:
+        writer = writer.option("partitionOverwriteMode", "dynamic")
     if max_records_per_file:
         writer = writer.option("maxRecordsPerFile", max_records_per_file)
     with _setting(df.sparkSession, "spark.sql.adaptive.advisoryPartitionSizeInBytes", str(int(buffer_size))):

@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, functions as F
 
 from logweave.model import event_document
+from logweave.sinks.lines import batch_folder
 
 INDEX = "logs-{yyyy.MM.dd}"
 # Place of each date token in the text form of a timestamp.
@@ -44,8 +45,9 @@ def bulk_lines(actions: DataFrame) -> DataFrame:
     return actions.select(F.concat(action, F.lit("\n"), F.col("_source")).alias("value"))
 
 
-def write_bulk_files(df: DataFrame, path: str, index: str = INDEX, batch_size: int = 1000, append: bool = True) -> None:
-    """Bulk request files of at most ``batch_size`` actions each."""
+def write_bulk_files(df: DataFrame, path: str, index: str = INDEX, batch_size: int = 1000, append: bool = True, batch_id: int | None = None) -> None:
+    """Bulk request files of at most ``batch_size`` actions each; a micro-batch has a folder of its own."""
+    path, append = batch_folder(df, path, append, batch_id)
     lines = bulk_lines(bulk_actions(df, index))
     lines.write.option("maxRecordsPerFile", int(batch_size)).mode("append" if append else "overwrite").text(path)
 

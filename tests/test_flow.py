@@ -237,3 +237,54 @@ def test_typed_rows_can_be_audited(spark):
     assert [r._status.state for r in out.collect()] == ["ok", "error", "filtered"]
     failed = metrics.errors(out).collect()
     assert [(r.n, r.error_stage, r.error_message) for r in failed] == [("x", "filter", "not a number")]
+
+
+def _flow_with(sink, folder, **change):
+    registry = default_registry()
+    registry.register("sink", "own", sink)
+    spec = _spec(str(folder / "in"), str(folder / "out"), **change)
+    spec["sinks"] = [{"name": "own", "type": "own", "config": {}}]
+    return Flow(spec, registry)
+
+
+def test_counted_batch_with_a_lazy_sink_ends(spark, folder):
+    """A sink that runs no query leaves nothing observed; the batch must not wait for it."""
+    status = _flow_with(lambda df: df.createOrReplaceTempView("lazy"), folder).run_batch(spark, count=True)
+    assert status["failures"] == [] and status["events_processed"] == 0
+
+
+def test_lone_sink_gets_what_it_failed_on(spark, folder):
+    """The rows of a failed batch are kept and delivered by the next start, which has no new rows."""
+    got, fails = [], [True]
+
+    def sink(df):
+        if fails:
+            fails.pop()
+            raise RuntimeError("down")
+        got.extend(r.raw_data for r in df.collect())
+
+    flow = _flow_with(sink, folder)
+    for _ in range(3):
+        streaming.start(flow, spark, str(folder / "c"), available_now=True, count=True).awaitTermination()
+    assert len(got) == 3 and flow.ledger.totals() == {"events_processed": 3, "events_dropped": 4, "processing_errors": 1}
+    assert not any("rows" in flow.ledger.files.names(f"batch={b}") for b in flow.ledger.batches())
+
+
+def test_counters_of_many_batches(spark, tmp_path):
+    """More batches than the progress of a query keeps."""
+    kept = spark.conf.get("spark.sql.streaming.numRecentProgressUpdates")
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "2")
+    try:
+        (tmp_path / "in").mkdir()
+        for i in range(6):
+            (tmp_path / "in" / f"{i}.log").write_text(json.dumps(LINES[0]))
+        spec = _spec(str(tmp_path / "in"), str(tmp_path / "out"), name="many")
+        spec["sources"][0]["config"]["max_files_per_trigger"] = 1
+        spec["sources"][0]["config"]["read_from_start"] = True
+        flow = Flow(spec)
+        query = streaming.start(flow, spark, str(tmp_path / "c"), available_now=True, count=True)
+        query.awaitTermination()
+        assert len(query.recentProgress) < 6
+        assert streaming.status(flow, query)["events_processed"] == 6
+    finally:
+        spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", kept)
