@@ -68,19 +68,54 @@ def enrich_missing_noted(t):
     return rows.select("doc_id", "verdict", F.map_contains_key("metadata", "enrich_error").alias("noted"))
 
 
+_SIZES = "SELECT {n} AS entries, event_id, CASE WHEN user_id % 50 < {n} THEN CAST(user_id % 50 * 2 AS BIGINT) END AS worth FROM events"
+
+
+@query("enrich_lookup_types", f"{_SIZES.format(n=30)} UNION ALL {_SIZES.format(n=40)}")
+def enrich_lookup_types(t):
+    """Mappings of 30 and of 40 whole numbers give one type."""
+    rows = t("events").select("event_id", F.col("user_id") % 50).toDF("event_id", "kind")
+    made = [rows.transform(lookup("kind", "worth", {str(i): 2 * i for i in range(n)})).select(F.lit(n).alias("entries"), "event_id", "worth") for n in (30, 40)]
+    assert made[0].schema == made[1].schema
+    return made[0].union(made[1])
+
+
+@query(
+    "enrich_lookup_null",
+    " UNION ALL ".join(f"SELECT '{way}' AS way, event_id, CASE event_type WHEN 'click' THEN 'hit' WHEN 'view' THEN NULL ELSE 'default' END AS meaning FROM events" for way in ("mapping", "table", "shuffled")),
+)
+def enrich_lookup_null(t):
+    """A key whose value is null sets nothing, not even the default."""
+    pairs = {"click": "hit", "view": None}
+    rows, table = t("events").select("event_id", "event_type"), t.spark.createDataFrame(list(pairs.items()), "key string, value string")
+    ways = {"mapping": lookup("event_type", "meaning", pairs, default_value="default"), "table": lookup("event_type", "meaning", table, default_value="default"),
+            "shuffled": lookup("event_type", "meaning", table, default_value="default", broadcast_rows=0)}
+    made = [rows.transform(step).select(F.lit(way).alias("way"), "event_id", "meaning") for way, step in ways.items()]
+    return made[0].union(made[1]).union(made[2])
+
+
+@query(
+    "enrich_lookup_missing_keys",
+    """SELECT l.l_orderkey, l.l_linenumber, CASE WHEN l_linenumber = 1 THEN o.o_orderpriority END AS priority FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey""",
+)
+def enrich_lookup_missing_keys(t):
+    """A shuffled lookup in which most rows have no key."""
+    rows = t("lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_linenumber") == 1, F.col("l_orderkey")).alias("order"))
+    table = t("orders").select(F.col("o_orderkey").cast("string").alias("key"), F.col("o_orderpriority").alias("value"))
+    return rows.transform(lookup("order", "priority", table, broadcast_rows=0)).select("l_orderkey", "l_linenumber", "priority")
+
+
 @query(
     "enrich_lookup_file",
     """SELECT event_id, event_type, COALESCE(r.r_name, CASE event_type WHEN 'error' THEN 'failure' END) AS meaning FROM events
-    LEFT JOIN region r ON event_type = CASE r.r_regionkey WHEN 0 THEN 'view' WHEN 1 THEN 'click' END""",
+    LEFT JOIN region r ON event_type = CASE r.r_regionkey WHEN 0 THEN 'view' WHEN 1 THEN 'click' WHEN 2 THEN 'purchase' WHEN 3 THEN 'signup' WHEN 4 THEN 'refund' END""",
 )
 def enrich_lookup_file(t):
     """The JSON object in the file is merged over the inline table."""
     folder = shared_dir(t.spark, "lookup")
-    names = t("region").groupBy().agg(
-        F.max(F.when(F.col("r_regionkey") == 0, F.col("r_name"))).alias("view"),
-        F.max(F.when(F.col("r_regionkey") == 1, F.col("r_name"))).alias("click"),
-    )
-    names.select(F.to_json(F.struct("view", "click"))).write.text(folder)
+    kinds = ("view", "click", "purchase", "signup", "refund")
+    names = t("region").groupBy().agg(*(F.max(F.when(F.col("r_regionkey") == i, F.col("r_name"))).alias(kind) for i, kind in enumerate(kinds)))
+    names.select(F.to_json(F.struct(*kinds))).coalesce(1).write.text(folder)
     step = lookup("event_type", "meaning", {"error": "failure", "view": "overridden"}, lookup_file=folder)
     return t("events").select("event_id", "event_type").transform(step)
 
@@ -114,6 +149,55 @@ def enrich_geo_range(t):
     return rows.select("event_id", "ip", "place.country_code", "place.country_name")
 
 
+def _overlapping(t):
+    """Networks of customers: one or more per nation, nested and ragged, many inside another."""
+    key, nation = F.col("c_custkey"), F.col("c_nationkey")
+    a, b, c = nation * 10 + key % 10, key * 7 % 256, key * 13 % 256
+    text = lambda *parts: F.concat_ws(".", *parts)
+    wide = t("nation").select(text("n_nationkey", F.lit(0), F.lit(0), F.lit(0)).alias("lo"), text(F.col("n_nationkey") * 9 + 20, F.lit(255), F.lit(255), F.lit(255)).alias("hi"), F.col("n_name").alias("city_name"))
+    inner = t("customer").select(
+        text(a, b, c, F.lit(3)).alias("lo"), text(a, F.least(b + key % 5, F.lit(255)), F.lit(255), key % 256).alias("hi"),
+        F.concat(F.lit("c"), key).alias("city_name"),
+    ).where(nation < 25)
+    return wide.unionByName(inner)
+
+
+@query(
+    "enrich_geo_overlap",
+    """WITH r AS (
+      SELECT n_nationkey * 16777216::BIGINT AS lo, (n_nationkey * 9 + 20) * 16777216::BIGINT + 16777215 AS hi, n_name AS city_name FROM nation
+      UNION ALL SELECT (c_nationkey * 10 + c_custkey % 10) * 16777216::BIGINT + (c_custkey * 7 % 256) * 65536 + (c_custkey * 13 % 256) * 256 + 3,
+        (c_nationkey * 10 + c_custkey % 10) * 16777216::BIGINT + least(c_custkey * 7 % 256 + c_custkey % 5, 255) * 65536 + 65280 + c_custkey % 256, 'c' || c_custkey FROM customer
+    ), u AS (SELECT DISTINCT 256 + user_id * 34359 + 83886080 AS ip FROM events),
+    m AS (SELECT ip, city_name, row_number() OVER (PARTITION BY ip ORDER BY hi - lo, lo, '{"city_name":"' || city_name || '"}') AS n FROM u JOIN r ON ip BETWEEN lo AND hi WHERE lo <= hi)
+    SELECT event_id, city_name FROM events LEFT JOIN m ON m.ip = 256 + user_id * 34359 + 83886080 AND n = 1""",
+)
+def enrich_geo_overlap(t):
+    """Overlapping ranges: the smallest one that holds the address; broadcast for one half of the rows, shuffled for the other."""
+    number = F.lit(256) + F.col("user_id") * 34359 + 83886080
+    parts = [F.shiftright(number, s).bitwiseAND(F.lit(255)) for s in (24, 16, 8, 0)]
+    rows = t("events").select("event_id", F.concat_ws(".", *parts).alias("ip"))
+    table = _overlapping(t)
+    halves = [rows.where("event_id % 2 = 0").transform(geo("ip", "place", table)), rows.where("event_id % 2 = 1").transform(geo("ip", "place", table, broadcast_rows=0))]
+    return halves[0].unionByName(halves[1]).select("event_id", "place.city_name")
+
+
+@query(
+    "enrich_geo_v6",
+    """SELECT event_id, CASE WHEN user_id % 7 = 0 THEN CASE WHEN event_id % 65536 BETWEEN 16 AND 4660 THEN 'inner' ELSE 'middle' END
+      WHEN user_id % 7 < 3 THEN 'outer' END AS city_name FROM events""",
+)
+def enrich_geo_v6(t):
+    """Nested networks of version 6, one of them ragged, besides one of version 4 with the same leading bits."""
+    table = t.spark.createDataFrame(
+        [("2400::", "2400:2:ffff:ffff:ffff:ffff:ffff:ffff", "outer"), ("2400::", "2400::ffff:ffff:ffff:ffff:ffff:ffff", "middle"),
+         ("2400::10", "2400::1234", "inner"), ("36.0.0.0", "36.255.255.255", "four"), ("2400::9", "2400::1", "reversed"), ("2400::", "36.0.0.9", "mixed")],
+        "lo string, hi string, city_name string",
+    )
+    ip = F.concat(F.lit("2400:"), F.lower(F.hex(F.col("user_id") % 7)), F.lit("::"), F.lower(F.hex(F.col("event_id") % 65536)))
+    return t("events").select("event_id", ip.alias("ip")).transform(geo("ip", "place", table)).select("event_id", "place.city_name")
+
+
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|[0-1]?[0-9]{1,2})"
 
 

@@ -10,16 +10,18 @@ from __future__ import annotations
 import json
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from logweave.functions import ip as ips, useragent_rules as ua
 from logweave.functions.once import once
 from logweave.model import Fields, is_open, literal, note, put
-from logweave.operators import joins
+from logweave.operators import joins, networks
 from logweave.operators.base import Step
 
 _KEY = "_lookup_key"
 _VALUE = "_lookup_value"
+_HIT = "_lookup_hit"
 _SMALL_TABLE = 32
 
 # Members of a location.
@@ -50,7 +52,7 @@ def _end(df: DataFrame, target: str, value: Column, preserve: bool) -> DataFrame
     write = value.isNotNull() & F.col(_KEY).isNotNull()
     if preserve:
         write = write & ~Fields(df).present(target)
-    return put(df, {target: value}, write).drop(_KEY, _VALUE)
+    return put(df, {target: value}, write).drop(_KEY, _VALUE, _HIT)
 
 
 def lookup(
@@ -66,43 +68,60 @@ def lookup(
     """Value of a key table for the text of the source field, else the default.
 
     ``lookup_table`` is a mapping or a DataFrame ``(key, value)``; the JSON object in
-    ``lookup_file`` is merged over it. Of several values of one key the smallest counts.
+    ``lookup_file`` is merged over it. Of several values of one key the smallest counts. A key whose value
+    is null sets nothing, not even the default. Whole numbers are ``bigint`` whatever the size of the mapping. A
+    file that is missing, is no JSON or holds no object raises ``ValueError``.
     """
     _check(source_field, target_field)
 
     def run(df: DataFrame) -> DataFrame:
         out = _begin(df, source_field, ignore_missing)
-        default = F.lit(None) if default_value is None else literal(default_value)
         if isinstance(lookup_table, dict) and not lookup_file and len(lookup_table) <= _SMALL_TABLE:
-            found = _small_table(df, out, lookup_table)
+            found, hit = _small_table(lookup_table)
         else:
             dim = _table(df, lookup_table, lookup_file)
             dim = dim.select(F.col("key").cast("string").alias(_KEY), F.col("value").alias(_VALUE))
             small = joins.fits_broadcast(dim, broadcast_rows)
             pick = F.any_value if isinstance(dim.schema[_VALUE].dataType, (T.VariantType, T.MapType)) else F.min
-            dim = dim.where(F.col(_KEY).isNotNull()).groupBy(_KEY).agg(pick(_VALUE).alias(_VALUE))
+            dim = dim.where(F.col(_KEY).isNotNull()).groupBy(_KEY).agg(pick(_VALUE).alias(_VALUE), F.lit(True).alias(_HIT))
             out = joins.left_lookup(out, dim, _KEY, small)
-            found = F.col(_VALUE)
+            found, hit = F.col(_VALUE), F.col(_HIT)
         kind = out.select(found.alias("v")).schema[0].dataType
         if default_value is not None:
-            found = F.coalesce(found, default.cast("variant") if isinstance(kind, T.VariantType) else default)
+            default = literal(default_value)
+            found = F.when(hit, found).otherwise(default.cast("variant") if isinstance(kind, T.VariantType) else default)
+        if isinstance(kind, T.VariantType):  # a JSON null sets nothing
+            found = F.when(~F.is_variant_null(found), found)
         return _end(out, target_field, found, preserve_existing)
 
     return Step("lookup", finish=run)
 
 
-def _small_table(df: DataFrame, out: DataFrame, table: dict[str, Any]) -> Column:
-    if not table:
-        return F.lit(None).cast("string")
-    pairs: list[Column] = []
-    for key, value in table.items():
-        pairs += [F.lit(str(key)), F.parse_json(F.lit(json.dumps(value))) if _mixed(table) else F.lit(value)]
-    return F.try_element_at(F.create_map(*pairs), F.col(_KEY))
+# Of the Python types of a mapping's values, the type they are stored as.
+_KINDS = {str: "string", int: "bigint", float: "double", bool: "boolean"}
 
 
-def _mixed(table: dict[str, Any]) -> bool:
+def _typed(table: dict[str, Any]) -> tuple[dict[str, Any], str]:
+    """Keys as text, and the one type of the values; values of several types, or of none of these, are variants."""
+    table = {str(k): v for k, v in table.items()}
     kinds = {type(v) for v in table.values() if v is not None}
-    return len(kinds) != 1 or not kinds <= {str, int, float, bool}
+    if not kinds:
+        return table, "string"
+    kind = _KINDS.get(next(iter(kinds))) if len(kinds) == 1 else None
+    return (table, kind) if kind else ({k: json.dumps(v) for k, v in table.items()}, "variant")
+
+
+def _value(column: Column, kind: str) -> Column:
+    return F.parse_json(column) if kind == "variant" else column.cast(kind)
+
+
+def _small_table(table: dict[str, Any]) -> tuple[Column, Column]:
+    """The value of the key, and whether it is there."""
+    table, kind = _typed(table)
+    if not table:
+        return F.lit(None).cast("string"), F.lit(False)
+    pairs = F.create_map(*(c for k, v in table.items() for c in (F.lit(k), _value(F.lit(v), kind))))
+    return F.try_element_at(pairs, F.col(_KEY)), F.coalesce(F.map_contains_key(pairs, F.col(_KEY)), F.lit(False))
 
 
 def _table(df: DataFrame, table: dict[str, Any] | DataFrame | None, path: str | None) -> DataFrame:
@@ -110,17 +129,12 @@ def _table(df: DataFrame, table: dict[str, Any] | DataFrame | None, path: str |
     if isinstance(table, DataFrame):
         dim = table
     elif table:
-        if _mixed(table):
-            rows = [(str(k), json.dumps(v)) for k, v in table.items()]
-            dim = spark.createDataFrame(rows, "key string, value string").withColumn("value", F.parse_json("value"))
-        else:
-            kind = {str: "string", int: "bigint", float: "double", bool: "boolean"}[type(next(iter(table.values())))]
-            dim = spark.createDataFrame([(str(k), v) for k, v in table.items()], f"key string, value {kind}")
+        table, kind = _typed(table)
+        stored = "string" if kind == "variant" else kind
+        dim = spark.createDataFrame(list(table.items()), f"key string, value {stored}").withColumn("value", _value(F.col("value"), kind))
     if path is None:
         return dim if dim is not None else spark.createDataFrame([], "key string, value string")
-    members = spark.read.text(path, wholetext=True).select(
-        F.explode(F.try_parse_json("value").try_cast("map<string,variant>"))
-    )
+    members = _file_members(spark, path)
     if not is_open(df):  # typed columns hold one type: the text of the value
         members = members.withColumn("value", F.try_variant_get("value", "$", "string"))
     if dim is None:
@@ -130,6 +144,22 @@ def _table(df: DataFrame, table: dict[str, Any] | DataFrame | None, path: str |
     return inline.select("key", "value").unionByName(members)
 
 
+def _file_members(spark: SparkSession, path: str) -> DataFrame:
+    """``(key, value)`` of the JSON objects in a file, or in the files of a folder."""
+    try:
+        texts = spark.read.text(path, wholetext=True)
+    except AnalysisException as error:
+        raise ValueError(f"Lookup file not found: {path}") from error
+    read = texts.select(F.try_parse_json("value").alias("document"), F.col("_metadata.file_path").alias("file"))
+    read = read.withColumn("members", F.col("document").try_cast("map<string,variant>"))
+    if read.isEmpty():  # a file without a character has no row
+        raise ValueError(f"Invalid JSON in lookup file: {path}")
+    wrong = read.where("members IS NULL").select("file", F.col("document").isNull().alias("no_json")).first()
+    if wrong is not None:
+        raise ValueError(f"Invalid JSON in lookup file: {wrong['file']}" if wrong["no_json"] else f"Lookup file must contain a JSON object: {wrong['file']}")
+    return read.select(F.explode("members"))
+
+
 def geo(
     source_field: str,
     target_field: str,
@@ -140,9 +170,9 @@ def geo(
 ) -> Step:
     """Location of an IP address from a table of networks.
 
-    ``ranges`` has ``lo`` and ``hi`` (address texts, both inclusive, ranges disjoint) and
-    the location members. Private addresses get nothing; what is no address is noted with
-    ``ignore_missing=False``.
+    ``ranges`` has ``lo`` and ``hi`` (address texts, both inclusive) and the location members. Where ranges
+    overlap, the one with the fewest addresses counts, then the one that begins first. Private addresses
+    get nothing; what is no address is noted with ``ignore_missing=False``.
     """
     _check(source_field, target_field)
 
@@ -153,58 +183,14 @@ def geo(
             message = F.concat(F.lit("Invalid IP address: "), F.col(_KEY))
             out = note(out, "enrich_error", message, F.col(_KEY).isNotNull() & F.col("_ip").isNull())
         out = out.withColumn("_ip", F.when(~ips.is_private("_ip"), F.col("_ip")))
-        table = _located(ranges)
-        # One pass over the ranges: buckets they fill, their size, and whether any is wide.
-        fill = _fine("_hi") - _fine("_lo") + 1
-        size = F.octet_length(F.to_json(_VALUE)) + 80
-        rows, volume, n_wide = table.agg(
-            F.sum(F.when(~F.col("_wide"), fill)), F.sum(F.when(~F.col("_wide"), fill * size)), F.count_if("_wide")
-        ).first()
-        fine = table.where(~F.col("_wide")).select(
-            F.explode(F.sequence(_fine("_lo"), _fine("_hi"))).alias("_bucket"), "_lo", "_hi", _VALUE
-        )
-        out = out.withColumn("_bucket", _fine("_ip"))
-        inside = F.col("_ip").between(F.col("_lo"), F.col("_hi"))
-        small = joins.within_bounds(rows, volume, broadcast_rows)
-        out = joins.left_lookup(out, fine, "_bucket", small, inside).drop("_bucket", "_lo", "_hi")
-        if n_wide:
-            coarse = table.where("_wide").select(
-                F.explode(F.sequence(_coarse("_lo"), _coarse("_hi"))).alias("_bucket"), "_lo", "_hi",
-                F.col(_VALUE).alias("_wide_value"),
-            )
-            out = out.withColumn("_bucket", _coarse("_ip"))
-            small = joins.fits_broadcast(coarse, broadcast_rows)
-            out = joins.left_lookup(out, coarse, "_bucket", small, inside).drop("_bucket", "_lo", "_hi")
-            out = out.withColumn(_VALUE, F.coalesce(_VALUE, "_wide_value")).drop("_wide_value")
+        members = [c for c in GEO_MEMBERS if c in ranges.columns]
+        table = networks.prefixes(ranges, F.struct(*members))
+        out = networks.longest_match(out, table, "_ip", _VALUE, broadcast_rows)
         return _end(out.drop("_ip"), target_field, F.col(_VALUE), preserve_existing)
 
     return Step("geo", finish=run)
 
 
-def _located(ranges: DataFrame) -> DataFrame:
-    """Ranges in hex form with their location; ``_wide`` ones would fill too many fine buckets."""
-    table = ips.with_ip_hex(ranges, F.col("lo").cast("string"), "_lo")
-    table = ips.with_ip_hex(table, F.col("hi").cast("string"), "_hi")
-    members = [c for c in GEO_MEMBERS if c in ranges.columns]
-    table = table.select("_lo", "_hi", F.struct(*members).alias(_VALUE))
-    table = table.where(F.col("_lo").isNotNull() & F.col("_hi").isNotNull() & (F.col("_lo") <= F.col("_hi")))
-    return table.withColumn("_wide", (F.length("_lo") == 32) & (_fine("_hi") - _fine("_lo") > 4096))
-
-
-def _number(column: str, digits: int) -> Column:
-    return F.conv(F.substring(column, 1, digits), 16, 10).cast("bigint")
-
-
-def _fine(column: str) -> Column:
-    """Bucket of an address: 16 leading bits of version 4, 32 of version 6 (kept apart)."""
-    return F.when(F.length(column) == 8, _number(column, 4)).otherwise(_number(column, 8) + F.lit(1 << 33))
-
-
-def _coarse(column: str) -> Column:
-    """Bucket for wide version-6 ranges: 16 leading bits."""
-    return F.when(F.length(column) == 32, _number(column, 4) + F.lit(1 << 40))
-
-
 def resolve_hosts(
     source_field: str,
     target_field: str,

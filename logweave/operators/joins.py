@@ -54,26 +54,26 @@ def left_lookup(
 
     A ``small`` lookup side, one that was measured within the bounds, is broadcast: no
     shuffle and no skew. Beyond them both sides are shuffled, the rows of a hot key cut
-    into slices and its lookup rows repeated once per slice. ``dim`` must match a row at
-    most once.
+    into slices and its lookup rows repeated once per slice; rows without a key are cut into
+    slices too, in a stream as well. ``dim`` must match a row at most once.
     """
     if small:
         return _join(df, F.broadcast(dim), [key], condition)
     hot = None if df.isStreaming else hot_keys(df, key)
-    if hot is None:
-        return _join(df, dim, [key], condition)
-    few = F.broadcast(hot)  # fewer than HOT_SHARE rows
     # The slice of a row follows from its partition and content, so that a task that runs
     # again sends each row to the same place.
     plain = [f.name for f in df.schema if f.dataType.typeName() not in ("map", "variant", "array", "struct")]
     place = F.xxhash64(F.spark_partition_id(), *(F.col(f"`{c}`") for c in plain))
-    left = df.join(few, key, "left").withColumn(
-        "_slice", F.when(F.col("_slices").isNull(), F.lit(0)).otherwise(F.pmod(place, "_slices"))
-    )
-    right = dim.join(few, key, "left").withColumn(
-        "_slice", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce(F.col("_slices"), F.lit(1)) - 1))
-    )
-    joined = _join(left.drop("_slices"), right.drop("_slices"), [key, "_slice"], condition)
+    if hot is None:
+        left, right = df.withColumn("_slices", F.lit(1)), dim.withColumn("_slices", F.lit(1))
+    else:
+        few = F.broadcast(hot)  # fewer than HOT_SHARE rows
+        left, right = df.join(few, key, "left"), dim.join(few, key, "left")
+    # Rows without a key match nothing and may be any number: they are dealt over all tasks.
+    slices = F.when(F.col(key).isNull(), F.lit(SLICES)).otherwise(F.coalesce(F.col("_slices"), F.lit(1)))
+    left = left.withColumn("_slice", F.pmod(place, slices.cast("bigint")))
+    right = right.withColumn("_slice", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce(F.col("_slices"), F.lit(1)).cast("bigint") - 1)))
+    joined = _join(left.drop("_slices"), right.drop("_slices").hint("merge"), [key, "_slice"], condition)
     return joined.drop("_slice")
 
 

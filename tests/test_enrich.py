@@ -151,3 +151,72 @@ def test_settings(make_events, read_events):
         enrich("lookup", source_field="b")
     df = make_events([{"a": 1}])
     assert read_events(df.transform(enrich("none", source_field="a", target_field="b")))["e0"]["fields"] == {"a": 1}
+
+
+@pytest.mark.parametrize("broadcast_rows", [10**6, 0])
+def test_networks_against_all_ranges(spark, broadcast_rows):
+    """Random nested, ragged and touching ranges of both versions: the smallest that holds the address."""
+    import ipaddress
+    import random
+
+    rng = random.Random(4)
+    rows, asked = [], []
+    for base, bits, make in ((0x17000000, 32, ipaddress.IPv4Address), (0x2400 << 112, 128, ipaddress.IPv6Address)):
+        space = 1 << 20 if bits == 32 else 1 << 100
+        for i in range(60):
+            lo = base + rng.randrange(space) // rng.choice([1, 1, 16, 4096]) * 1
+            hi = min(lo + rng.randrange(1, space) // rng.choice([1, 7, 256, 65536]), base + space - 1)
+            if i % 5 == 0:  # a whole network
+                size = 1 << rng.randrange(0, 18)
+                lo -= lo % size
+                hi = lo + size - 1
+            rows.append((str(make(lo)), str(make(hi)), f"r{bits}-{i}", lo, hi, bits))
+            asked += [(make(x), x, bits) for x in (lo - 1, lo, lo + 1, (lo + hi) // 2, hi - 1, hi, hi + 1)]
+    ranges = spark.createDataFrame([r[:3] for r in rows], "lo string, hi string, city_name string")
+    df = spark.createDataFrame([(i, str(a[0])) for i, a in enumerate(asked)] + [(-1, None), (-2, "x"), (-3, "10.0.0.1")], "n int, ip string")
+    got = {r["n"]: r["place"] and r["place"]["city_name"] for r in df.transform(geo("ip", "place", ranges, broadcast_rows=broadcast_rows)).collect()}
+    for i, (address, x, bits) in enumerate(asked):
+        held = [(hi - lo, lo, f'{{"city_name":"{name}"}}', name) for _, _, name, lo, hi, b in rows if b == bits and lo <= x <= hi]
+        assert got[i] == (min(held)[3] if held and not address.is_private else None), address
+    assert len(got) == len(asked) + 3 and got[-1] is got[-2] is got[-3] is None
+    plan = df.transform(geo("ip", "place", ranges, broadcast_rows=broadcast_rows))._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_rows_without_a_key_are_dealt_out(spark):
+    """With 90 % of the rows without a key no task of the shuffled join holds twice its share."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = spark.range(40_000).selectExpr("id", "CASE WHEN id % 10 = 0 THEN cast(id AS STRING) END AS key")
+        table = spark.range(0, 40_000, 7).selectExpr("cast(id AS STRING) AS key", "id AS value")
+        out = rows.transform(lookup("key", "value", table, broadcast_rows=0))
+        sizes = [r["n"] for r in out.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+        assert "SortMergeJoin" in out._jdf.queryExecution().executedPlan().toString()
+        assert len(sizes) == 8 and max(sizes) < 2 * 40_000 / 8
+        assert out.where("value IS NOT NULL").count() == len(range(0, 40_000, 70))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_lookup_files_are_strict(spark, tmp_path):
+    df = spark.createDataFrame([("a",)], "k string")
+    for name, content, message in (("broken", '{"a": 1', "Invalid JSON"), ("list", "[1, 2]", "must contain a JSON object"), ("empty", "", "Invalid JSON")):
+        (tmp_path / name).write_text(content)
+        with pytest.raises(ValueError, match=message):
+            df.transform(lookup("k", "v", lookup_file=str(tmp_path / name)))
+    with pytest.raises(ValueError, match="not found"):
+        df.transform(lookup("k", "v", lookup_file=str(tmp_path / "none")))
+    (tmp_path / "good").write_text('{"a": "x", "b": null}')
+    assert df.transform(lookup("k", "v", lookup_file=str(tmp_path / "good"))).first()["v"] == "x"
+
+
+def test_lookup_of_odd_mappings(spark, make_events, read_events):
+    df = spark.createDataFrame([("a",), ("1",), (None,)], "k string")
+    assert [r["v"] for r in df.transform(lookup("k", "v", {})).collect()] == [None] * 3
+    assert [r["v"] for r in df.transform(lookup("k", "v", {"a": None}, default_value="d")).collect()] == [None, "d", None]
+    assert [r["v"] for r in df.transform(lookup("k", "v", {1: 5})).collect()] == [None, 5, None]
+    big = {str(i): i for i in range(40)} | {"a": "text", "n": None, "l": [1, 2]}
+    got = read_events(make_events([{"k": "a"}, {"k": "7"}, {"k": "n"}, {"k": "l"}, {"k": "zz"}]).transform(lookup("k", "v", big, default_value=0)))
+    assert [got[f"e{i}"]["fields"].get("v") for i in range(5)] == ["text", 7, None, [1, 2], 0]
+    small = {k: v for k, v in big.items() if not k.isdigit()}
+    assert [e["fields"].get("v") for e in read_events(make_events([{"k": "a"}, {"k": "n"}, {"k": "l"}, {"k": "z"}]).transform(lookup("k", "v", small))).values()] == ["text", None, [1, 2], None]
