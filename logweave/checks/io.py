@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from logweave.checks.base import ISO, LEVEL, field_text, level, open_events, query
+from logweave.files import stage
 from logweave.functions.once import once
 from logweave.functions.text import iso_text
 from logweave.metrics import rollup
@@ -11,7 +12,7 @@ from logweave.operators.base import reason
 from logweave.operators.filter import filter_events
 from logweave.operators.json import parse_json
 from logweave.plans.flow import python_step
-from logweave.session import shared_dir
+from logweave.session import setting, shared_dir
 from logweave.sinks import lines as out, search
 from logweave.sources import kafka as mq, text as src, winlog as win
 from logweave.sources.union import fan_in
@@ -31,20 +32,38 @@ def source_file_scan(t):
     return src.files(t.spark, _text_folder(t, "scan")).select("raw_data", "source_type")
 
 
+def _ordered_folder(t, label):
+    """As ``_text_folder``, one file per language with the documents in the order of their ids."""
+    folder = shared_dir(t.spark, label)
+    docs = t("documents").where("text IS NOT NULL").select("text", "lang", "doc_id")
+    docs.repartition("lang").sortWithinPartitions("lang", "doc_id").select("text", "lang").write.partitionBy("lang").text(folder)
+    return folder
+
+
 @query(
     "source_file_position",
-    f"SELECT lang, CAST(count(*) AS BIGINT) AS n_lines, CAST(sum(length(line) + 1) AS BIGINT) AS n_chars FROM {_LINES} GROUP BY lang",
+    """SELECT lang, line, CAST(sum(length(line) + 1) OVER (PARTITION BY lang ORDER BY doc_id, n) - length(line) - 1 AS BIGINT) AS position FROM
+    (SELECT lang, doc_id, unnest(str_split(text, e'\n')) AS line, generate_subscripts(str_split(text, e'\n'), 1) AS n FROM documents WHERE text IS NOT NULL)""",
 )
 def source_file_position(t):
-    """Character positions per line; the end of the last line is the size of the file."""
-    lines = src.with_file_position(src._lines(t.spark, _text_folder(t, "position")))
-    ends = lines.groupBy("path").agg(
-        F.count(F.lit(1)).alias("n"), F.max(F.col("position") + F.length("value") + 1).alias("size"),
-        F.count_distinct("position").alias("places"),
-    )
-    lang = F.regexp_extract("path", "lang=([^/]+)/", 1).alias("lang")
-    whole = ends.where(F.col("n") == F.col("places"))  # positions are unique within a file
-    return whole.groupBy(lang).agg(F.sum("n").alias("n_lines"), F.sum("size").alias("n_chars"))
+    """The position of every line in its file, in splits of 64 KiB."""
+    with setting(t.spark, "spark.sql.files.maxPartitionBytes", "64k"):
+        lines = src.with_file_position(src._lines(t.spark, _ordered_folder(t, "position")))
+    return stage(lines.select(F.regexp_extract("path", "lang=([^/]+)/", 1).alias("lang"), F.col("value").alias("line"), "position"), shared_dir(t.spark, "positions"))
+
+
+@query("stable_ids", "SELECT count(*) AS n_lines, count(*) AS n_ids, CAST(0 AS BIGINT) AS changed FROM (SELECT unnest(str_split(text, e'\n')) AS line FROM documents WHERE text IS NOT NULL) WHERE trim(line, e' \t\n\r') <> ''")
+def stable_ids(t):
+    """Ids of two reads, of files and of objects, the second in splits of another size."""
+    folder = _ordered_folder(t, "ids")
+    read = {}
+    for way, size in (("files", "1m"), ("objects", "100k")):
+        with setting(t.spark, "spark.sql.files.maxPartitionBytes", size):
+            rows = src.files(t.spark, folder, with_position=True) if way == "files" else src.objects(t.spark, folder, "lang=", scheme=None, stable_ids=True)
+            read[way] = stage(rows.select("id", F.trim("raw_data").alias("raw_data")), shared_dir(t.spark, f"ids-{way}"))
+    both = read["files"].join(read["objects"].withColumnRenamed("raw_data", "other"), "id", "full")
+    odd = F.count_if(F.col("raw_data").isNull() | F.col("other").isNull()).alias("changed")
+    return both.agg(F.count(F.lit(1)).alias("n_lines"), F.count_distinct("id").alias("n_ids"), odd)
 
 
 def _object_key():
@@ -68,9 +87,25 @@ def source_incremental(t):
     before = fan_in(*(src.objects(t.spark, folder, f"lang={lang}/", scheme=None) for lang in ("de", "es")))
     seen = before.select(_object_key().alias("key")).distinct()
     rows = src.objects(t.spark, folder, "lang=", scheme=None, processed=seen)
+    assert not any("lang=de" in f or "lang=es" in f for f in rows.inputFiles())  # they are not even read
     return rows.select(_object_lang(), "raw_data")
 
 
+@query(
+    "source_objects_hidden",
+    f"""SELECT 'data' AS folder, lang, line AS raw_data FROM {_LINES} WHERE trim(line, e' \t\n\r') <> ''
+    UNION ALL SELECT '_data', lang, line FROM {_LINES} WHERE trim(line, e' \t\n\r') <> '' UNION ALL SELECT 'data/.in', lang, line FROM {_LINES} WHERE trim(line, e' \t\n\r') <> ''""",
+)
+def source_objects_hidden(t):
+    """Objects in folders that Spark's readers pass over count like any other."""
+    root = shared_dir(t.spark, "hidden")
+    for name in ("data", "_data", "data/.in"):
+        t("documents").select("text", "lang").write.partitionBy("lang").text(f"{root}/{name}")
+    rows = src.objects(t.spark, root, scheme=None)
+    folder = F.regexp_extract(_object_key(), "^(.*)/lang=", 1).alias("folder")
+    return rows.select(folder, _object_lang(), "raw_data")
+
+
 @query(
     "source_start_position",
     f"SELECT trim(line, e' \\t\\n\\r') AS raw_data FROM {_LINES} WHERE trim(line, e' \\t\\n\\r') <> ''",

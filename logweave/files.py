@@ -26,6 +26,29 @@ class Files:
             return []
         return sorted(entry.getPath().getName() for entry in self._fs.listStatus(self._path(self.at(name))))
 
+    def hidden(self, pattern: str) -> list[tuple[str, int, int]]:
+        """Path, size and modification time of files whose name, or a folder's above, begins with ``_`` or ``.``.
+
+        ``pattern`` names files or folders. The file system matches the names, so only such entries come to the driver.
+        """
+        found, above = {}, pattern.rstrip("/")
+        last = above.rsplit("/", 1)[-1]
+        if last.startswith(("_", ".")) or last == "*":
+            found |= self._below(above if last != "*" else above[:-1] + "{_,.}*")
+        while self._fs.globStatus(self._path(above + "/*")):
+            found |= self._below(above + "/{_,.}*")
+            above += "/*"
+        return sorted((path, *rest) for path, rest in found.items())
+
+    def _below(self, pattern: str) -> dict[str, tuple[int, int]]:
+        out = {}
+        for entry in self._fs.globStatus(self._path(pattern)) or []:
+            each = self._fs.listFiles(entry.getPath(), True)
+            while each.hasNext():
+                file = each.next()
+                out[file.getPath().toString()] = (file.getLen(), file.getModificationTime())
+        return out
+
     def put(self, name: str, text: str = "") -> None:
         """Write a small file in one step, in place of one of that name."""
         whole, part = self._path(self.at(name)), self._path(self.at(name) + ".part")

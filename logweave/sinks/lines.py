@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from contextlib import contextmanager
 from string import Formatter
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from logweave.files import Files
 from logweave.functions import text as tx
 from logweave.model import Fields, event_document
+from logweave.session import setting
 
 TEMPLATE = "{timestamp} {message}"
 _OWN = ("id", "timestamp", "source_type", "source_name", "raw_data")
@@ -154,16 +153,5 @@ def write_objects(
         writer = writer.option("partitionOverwriteMode", "dynamic")
     if max_records_per_file:
         writer = writer.option("maxRecordsPerFile", max_records_per_file)
-    with _setting(df.sparkSession, "spark.sql.adaptive.advisoryPartitionSizeInBytes", str(int(buffer_size))):
+    with setting(df.sparkSession, "spark.sql.adaptive.advisoryPartitionSizeInBytes", str(int(buffer_size))):
         writer.mode("append" if append else "overwrite").text(f"{root}/{key_prefix}")
-
-
-@contextmanager
-def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
-    """A session setting for the duration of one write."""
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, value)
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)

@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from datetime import datetime, timezone
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
+from logweave.files import Files
 from logweave.functions import text as tx
 from logweave.model import to_events
 from logweave.operators.joins import fits_broadcast, left_lookup
@@ -63,7 +69,7 @@ def files(
         lines = lines.where(F.col("modified") >= F.lit(started_at or now).cast("timestamp"))
     if with_position and not tail:
         lines = with_file_position(lines)
-        lines = lines.withColumn("id", F.sha2(F.concat_ws("|", "path", F.col("position").cast("string")), 256))
+        lines = lines.withColumn("id", line_id())
     if in_file_order and not tail:
         lines = lines.withColumn("_row", F.monotonically_increasing_id())
         lines = lines.orderBy("modified", "path", "block", "_row")
@@ -82,29 +88,81 @@ def files(
 def with_file_position(lines: DataFrame) -> DataFrame:
     """Add ``position``: characters before the line in its file, one per line end.
 
-    Two levels, so that no task sees a whole file: offsets within an input split, plus the
-    length of the splits before it. Only one row per split is ordered per file. The splits
+    Two levels, so that no task sees a whole file and no line is shuffled: a running sum within an input split, as
+    the split is read, plus the length of the splits before it, which is a table of a row per split. The splits
     are read twice; should the cluster cut them differently the second time, the query
     fails instead of giving wrong offsets.
     """
-    size = F.length("value") + 1
-    numbered = lines.withColumn("_row", F.monotonically_increasing_id()).withColumn("_size", size)
-    within = Window.partitionBy("path", "block").orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = numbered.withColumn("_offset", F.coalesce(F.sum("_size").over(within), F.lit(0)))
     before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    splits = (
-        lines.groupBy("path", "block")
-        .agg(F.sum(size).alias("_length"))
-        .select(
-            F.col("path").alias("_path"), F.col("block").alias("_block"),
-            F.coalesce(F.sum("_length").over(before), F.lit(0)).alias("_start"),
-        )
-    )
-    joined = offsets.join(splits, (F.col("path") == F.col("_path")) & (F.col("block") == F.col("_block")), "left")
+    lengths = lines.groupBy("path", "block").agg(F.sum(F.length("value") + 1).alias("_length"))
+    splits = lengths.select(_split("path", "block"), F.coalesce(F.sum("_length").over(before), F.lit(0)).alias("_start"))
+    schema = T.StructType([*lines.schema.fields, T.StructField("_offset", T.LongType())])
+    offsets = lines.mapInArrow(_running_offsets, schema).withColumn("_split", _split("path", "block"))
+    joined = left_lookup(offsets, splits, "_split", fits_broadcast(splits))
     start = F.coalesce("_start", F.raise_error(F.lit("input splits changed between two reads")).cast("bigint"))
-    return joined.withColumn("position", start + F.col("_offset")).drop(
-        "_row", "_size", "_offset", "_path", "_block", "_start"
-    )
+    return joined.withColumn("position", start + F.col("_offset")).drop("_split", "_offset", "_start")
+
+
+def _split(path: str, block: str) -> Column:
+    return F.concat_ws("|", path, F.col(block).cast("string")).alias("_split")
+
+
+def _running_offsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Characters before each line in its split; the lines of a split come one after the other."""
+    at, last = 0, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        path, block = batch.column("path"), batch.column("block")
+        sizes = np.asarray(pc.add(pc.utf8_length(pc.fill_null(batch.column("value"), "")), 1)).astype(np.int64)
+        before = np.cumsum(sizes) - sizes
+        new = np.ones(len(sizes), bool)  # where another split begins
+        new[0] = (path[0], block[0]) != last
+        new[1:] = np.asarray(pc.or_(pc.not_equal(path[1:], path[:-1]), pc.not_equal(block[1:], block[:-1])))
+        begin = np.maximum.accumulate(np.where(new, np.arange(len(sizes)), -1))
+        offsets = before - np.where(begin < 0, -at, before[begin])
+        at, last = int(offsets[-1] + sizes[-1]), (path[-1], block[-1])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(offsets)], names=[*batch.schema.names, "_offset"])
+
+
+def line_id(path: str = "path", position: str = "position") -> Column:
+    """An id that follows from where a line stands."""
+    return F.sha2(F.concat_ws("|", path, F.col(position).cast("string")), 256)
+
+
+def listing(spark: SparkSession, bucket: str, prefix: str = "", scheme: str | None = "s3a") -> DataFrame:
+    """``(path, key, size, modified)`` of all objects under a prefix, names that Spark's readers pass over included.
+
+    Those begin with ``_`` or ``.``, themselves or a folder above them. All others are listed by Spark, on the
+    executors if they are many; the passed-over ones are asked of the file system folder level by folder level.
+    """
+    root, pattern = _places(bucket, prefix, scheme)
+    found = "path string, size bigint, modified timestamp"
+    try:
+        seen = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(pattern)
+        seen = seen.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+    except AnalysisException:  # nothing of that name, or only passed-over names
+        seen = spark.createDataFrame([], found)
+    hidden = [(path, size, datetime.fromtimestamp(ms / 1000, timezone.utc)) for path, size, ms in Files(spark, root).hidden(pattern)]
+    every = seen.unionByName(spark.createDataFrame(hidden, found)).dropDuplicates(["path"]) if hidden else seen
+    return every.withColumn("key", F.regexp_replace("path", _before_key(bucket), ""))
+
+
+def _places(bucket: str, prefix: str, scheme: str | None) -> tuple[str, str]:
+    """The root of the bucket, and a pattern for what is under the prefix."""
+    root = f"{scheme}://{bucket.rstrip('/')}" if scheme else bucket.rstrip("/")
+    return root, f"{root}/{literal_path(prefix)}*" if prefix and not prefix.endswith("/") else f"{root}/{literal_path(prefix)}"
+
+
+def literal_path(path: str) -> str:
+    """A path whose characters mean themselves where patterns are read."""
+    return re.sub(r"([][{}*?\\])", r"\\\1", path)
+
+
+def _before_key(bucket: str) -> str:
+    """Everything up to the bucket's end; paths may name a host between scheme and folder."""
+    folder = bucket.split("://")[-1].strip("/")
+    return rf"^[a-z0-9]+:/.*?\Q{folder}\E/"
 
 
 def objects(
@@ -116,30 +174,36 @@ def objects(
     tail: bool = False,
     processed: DataFrame | None = None,
     max_files_per_trigger: int | None = None,
+    stable_ids: bool = False,
 ) -> DataFrame:
     """Events from the non-blank lines of all objects under a prefix; lines are not stripped.
 
-    Without a ``scheme`` the bucket is a folder of the default file system. ``tail`` polls for new objects;
-    ``processed(key)`` leaves out the objects read before. Credentials are file system
-    settings of the session.
+    Without a ``scheme`` the bucket is a folder of the default file system. ``tail`` polls for new objects (whose
+    names must not begin with ``_`` or ``.``); ``processed(key)`` leaves out the objects read before, which are taken from the
+    ``listing`` before anything is read. With ``stable_ids`` the id of an event follows from object and place (batch only).
+    Credentials are file system settings of the session.
     """
     if not bucket:
         raise ValueError("S3 bucket is required")
-    root = f"{scheme}://{bucket.rstrip('/')}" if scheme else bucket.rstrip("/")
-    plain = re.sub(r"([][{}*?\\])", r"\\\1", prefix)  # a prefix is no pattern
-    lines = _lines(
-        spark, f"{root}/{plain}*" if prefix and not prefix.endswith("/") else f"{root}/{plain}",
-        stream=tail, max_files=max_files_per_trigger, recursiveFileLookup="true",
-    )
-    # Everything behind the bucket; paths may name a host between scheme and folder.
-    folder = bucket.split("://")[-1].strip("/")
-    key = F.regexp_replace("path", rf"^[a-z0-9]+:/.*?\Q{folder}\E/", "")
+    _, pattern = _places(bucket, prefix, scheme)
+    if tail:
+        lines = _lines(spark, pattern, stream=True, max_files=max_files_per_trigger, recursiveFileLookup="true")
+    else:
+        wanted = listing(spark, bucket, prefix, scheme)
+        if processed is not None:
+            wanted = new_objects(wanted, processed)
+        paths = [literal_path(r["path"]) for r in wanted.select("path").toLocalIterator()]
+        lines = _lines(spark, paths) if paths else spark.createDataFrame([], "value string, path string, block bigint, modified timestamp")
+    given = {}
+    if stable_ids and not tail:
+        lines = with_file_position(lines)
+        given = {"id": line_id()}
+    key = F.regexp_replace("path", _before_key(bucket), "")
     lines = lines.withColumn("key", F.url_decode(F.replace(key, F.lit("+"), F.lit("%2B"))))
     lines = lines.where(tx.strip(F.col("value")) != "")
-    if processed is not None:
-        lines = new_objects(lines, processed)
     return to_events(
         lines,
+        **given,
         source_type=F.lit("s3"),
         source_name=F.concat(F.lit(f"s3://{bucket}/"), F.col("key")),
         raw_data=F.col("value"),

@@ -1,5 +1,6 @@
 """Event model, sources and sinks."""
 
+import random
 import datetime as dt
 import json
 import os
@@ -214,3 +215,40 @@ def test_bulk(make_events, spark, tmp_path):
             search.index_name(bad)
     options = search.connector_options(["h:9"], username="u", password="p", api_key="k")
     assert options["es.net.http.auth.user"] == "u" and "es.net.http.header.Authorization" not in options
+
+
+@pytest.mark.parametrize("prefix,want", [("", {"a", "b", "c", "d", "e"}), ("p/", {"a", "b", "c"}), ("_q", {"d"}), ("p/.h", {"c"}), ("nothing", set())])
+def test_objects_that_readers_pass_over(spark, tmp_path, prefix, want):
+    """Names that begin with _ or . are keys like any other, in a listing without anything read too."""
+    for name, text in (("p/x", "a"), ("p/_y", "b"), ("p/.h/z", "c"), ("_q/r/s", "d"), (".t", "e")):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    rows = src.objects(spark, str(tmp_path), prefix, scheme="file").collect()
+    assert {r["raw_data"] for r in rows} == want and len(rows) == len(want)
+    listed = src.listing(spark, str(tmp_path), prefix, scheme="file")
+    assert listed.count() == len(want)
+    seen = listed.where("key LIKE 'p/%'").select("key")
+    assert {r["raw_data"] for r in src.objects(spark, str(tmp_path), prefix, scheme="file", processed=seen).collect()} == want - {"a", "b", "c"}
+
+
+def test_offsets_over_batches_and_splits(spark, tmp_path):
+    """Lines of several files in small splits and batches: no line moves, each has its place."""
+    rng = random.Random(2)
+    want = {}
+    for name in ("a", "b", "c"):
+        lines = ["é" * rng.randint(0, 60) for _ in range(400)]
+        (tmp_path / name).write_text("\n".join(lines) + "\n")
+        at = 0
+        for line in lines:
+            want[name, at] = line
+            at += len(line) + 1
+    for key, value in (("spark.sql.files.maxPartitionBytes", "3000"), ("spark.sql.execution.arrow.maxRecordsPerBatch", "7")):
+        spark.conf.set(key, value)
+    try:
+        lines = src.with_file_position(src._lines(spark, str(tmp_path)))
+        assert {(r["path"][-1], r["position"]): r["value"] for r in lines.collect()} == want
+        plan = lines._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(path") <= 2 and "value#" not in plan.split("BroadcastExchange")[1].split("MapInArrow")[0]
+    finally:
+        for key in ("spark.sql.files.maxPartitionBytes", "spark.sql.execution.arrow.maxRecordsPerBatch"):
+            spark.conf.unset(key)
