@@ -175,12 +175,14 @@ def objects(
     processed: DataFrame | None = None,
     max_files_per_trigger: int | None = None,
     stable_ids: bool = False,
+    skip_hidden: bool = False,
 ) -> DataFrame:
     """Events from the non-blank lines of all objects under a prefix; lines are not stripped.
 
     Without a ``scheme`` the bucket is a folder of the default file system. ``tail`` polls for new objects (whose
     names must not begin with ``_`` or ``.``); ``processed(key)`` leaves out the objects read before, which are taken from the
-    ``listing`` before anything is read. With ``stable_ids`` the id of an event follows from object and place (batch only).
+    ``listing`` before anything is read. Objects in folders of such names are read; one whose own name begins so
+    raises an error, as Spark's readers pass over it, unless it is empty or ``skip_hidden`` leaves such objects out. With ``stable_ids`` the id of an event follows from object and place (batch only).
     Credentials are file system settings of the session.
     """
     if not bucket:
@@ -192,7 +194,12 @@ def objects(
         wanted = listing(spark, bucket, prefix, scheme)
         if processed is not None:
             wanted = new_objects(wanted, processed)
-        paths = [literal_path(r["path"]) for r in wanted.select("path").toLocalIterator()]
+        wanted = wanted.where("size > 0").select("path", F.col("path").rlike("/[_.][^/]*$").alias("no"))
+        rows = [(r["path"], r["no"]) for r in wanted.toLocalIterator()]
+        unread = sorted(path for path, no in rows if no)
+        if unread and not skip_hidden:
+            raise ValueError(f"Spark reads no object whose own name begins with _ or . ({len(unread)}, the first is {unread[0]})")
+        paths = [literal_path(path) for path, no in rows if not no]
         lines = _lines(spark, paths) if paths else spark.createDataFrame([], "value string, path string, block bigint, modified timestamp")
     given = {}
     if stable_ids and not tail:
