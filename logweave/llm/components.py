@@ -20,8 +20,8 @@ def components(links: DataFrame) -> DataFrame:
     ends: DataFrame | None = None
     while True:
         edges = written(edges, "links")
-        if ends is not None and edges.isEmpty():
-            return ends
+        if edges.isEmpty():
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("component")) if ends is None else ends
         both = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).union(edges.select(F.col("b").alias("node"), F.col("a").alias("other")))
         lowest = both.groupBy("node").agg(F.min("other").alias("other"))
         points = _followed(written(lowest.select("node", F.least("other", "node").alias("component")), "pointers"))

@@ -200,7 +200,7 @@ def distinct_sets(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     whole = found.where("doc_id IS NOT NULL AND n_shingles > 0")
     first = written(whole.groupBy("set1", "set2", "n_shingles").agg(F.min("doc_id").alias("rep")), "near-first")  # written, so that the join may split copies
-    member = whole.join(first, ["set1", "set2", "n_shingles"]).withColumnRenamed("n_shingles", "n").drop("set1", "set2")
+    member = whole.join(first, ["set1", "set2", "n_shingles"]).withColumnRenamed("n_shingles", "n").drop("set2")
     member = written(member, "near-members")
     lowest = member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("doc_id", "a")
     return member, member.select("doc_id", F.col("rep").alias("b")).join(lowest, "doc_id").where("a < b").select("a", "b").distinct()

@@ -37,7 +37,7 @@ from logweave.llm.bytewords import U, mix, slices, stream
 from logweave.llm.components import components
 from logweave.llm.neardup import answer, digests, distinct_sets, sets_of, shingle_sets
 from logweave.llm.shared import ship, written
-from logweave.llm.stars import beside, held_in_common, star_classes
+from logweave.llm.stars import held_in_common, star_classes
 
 FEATURES = "struct<n_shingles: bigint, set1: bigint, set2: bigint, sample: array<bigint>>"
 SHARES = 2  # the sample is this many times the share of n-grams that a pair may differ in
@@ -70,19 +70,22 @@ def _features(size: int, percent: int):
     return measure
 
 
-def _open_by_sample(member: DataFrame, percent: int) -> DataFrame:
-    """``(node)``: sets whose sample leaves it open whether they link."""
-    reps = member.where("doc_id = rep").select(F.col("rep").alias("node"), "n", "sample")
-    rows = reps.select("node", F.explode("sample").alias("item"))
-    often = rows.groupBy("item").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("item")
-    shared = rows.join(written(often, "ngram-shared"), "item").groupBy("node").agg(F.count(F.lit(1)).alias("shared"))
-    sampled = reps.groupBy("node").agg(F.max(prefix_length(F.col("n"), percent)).alias("prefix"), F.sum(F.size("sample")).alias("sampled"))
-    left = sampled.join(shared, "node", "left").where(F.col("sampled") - F.coalesce("shared", F.lit(0)) < F.col("prefix"))
-    return written(left.select("node"), "ngram-open")
+def _open_by_sample(found: DataFrame, member: DataFrame, percent: int) -> DataFrame:
+    """``(node)``: documents whose sample leaves it open whether they link.
+
+    An n-gram is a set's own if all documents that hold it have that set, however many they are; sets are told apart
+    by 48 bits of their digest, so that copies need not be found first.
+    """
+    rows = found.select(F.shiftright("set1", 16).alias("held"), F.explode("sample").alias("item"))
+    own = rows.groupBy("item").agg(F.min("held").alias("lo"), F.max("held").alias("hi")).where("lo = hi")
+    own = own.groupBy(F.col("lo").alias("held")).agg(F.count(F.lit(1)).alias("own"))
+    reps = member.where("doc_id = rep").select(F.col("rep").alias("node"), "n", F.shiftright("set1", 16).alias("held"))
+    left = reps.join(own, "held", "left").where(F.coalesce("own", F.lit(0)) < prefix_length(F.col("n"), percent))
+    return written(left.select("node").distinct(), "ngram-open")
 
 
 def prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """``(node, n, shared, by_rarity, by_class, by_chance)`` of sets that may link: their prefixes under the three orders.
+    """``(node, n, items, shared, by_rarity, by_class, by_chance)`` of sets that may link: their prefixes under the three orders.
 
     N-grams of one document alone are left out of the prefixes, where they meet nothing.
     """
@@ -102,7 +105,7 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
     by_chance = F.transform(F.sort_array(F.transform("items", lambda x: F.struct(chance(x).alias("by"), x.alias("item")))), lambda x: x["item"])
     known = F.transform("cells", lambda x: x["item"])
     return rows.select(
-        "node", "n", F.size("cells").cast("bigint").alias("shared"),
+        "node", "n", "items", F.size("cells").cast("bigint").alias("shared"),
         first(lambda x: [x["df"].alias("by")]).alias("by_rarity"),
         first(lambda x: [F.floor(F.log2(x["df"])).alias("by"), chance(x["item"]).alias("then")]).alias("by_class"),
         F.array_intersect(F.slice(by_chance, F.lit(1), F.col("prefix").cast("int")), known).alias("by_chance"),
@@ -118,19 +121,13 @@ def similar_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", *,
     ship(docs.sparkSession)
     docs = docs.select(F.col(f"`{key}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     found = written(docs.select("doc_id", _features(size, percent)(F.coalesce("text", F.lit(""))).alias("f")).select("doc_id", "f.*"), "ngram-features")
-    member, same = distinct_sets(found)
-    left = _open_by_sample(member, percent)
+    member, same = distinct_sets(found.drop("sample"))
+    left = _open_by_sample(found, member, percent)
     if left.isEmpty():
         return _rows(answer(found, member, components(same)))
-    sets = sets_of(docs, left, size)
-    heads = written(prefixes(sets, percent), "ngram-prefixes")
-
-    def agree(pairs: DataFrame) -> DataFrame:
-        both = beside(pairs, heads, ["by_class", "by_chance"])
-        return both.where(F.arrays_overlap("by_class_a", "by_class_b") & F.arrays_overlap("by_chance_a", "by_chance_b")).select("a", "b").distinct()
-
-    active = heads.select(F.explode("by_rarity").alias("bucket"), "node", "n", "shared")
-    return _rows(answer(found, member, star_classes(active, sets, percent, same, agree)))
+    sets = written(prefixes(sets_of(docs, left, size), percent), "ngram-prefixes")
+    active = sets.select(F.explode("by_rarity").alias("bucket"), "node", "n", "shared")
+    return _rows(answer(found, member, star_classes(active, sets, percent, same, ["by_class", "by_chance"])))
 
 
 def _rows(classes: DataFrame) -> DataFrame:

@@ -14,13 +14,14 @@ over the distances to the first center.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from logweave.llm.components import components
 from logweave.llm.shared import written
 
+SLOTS = 16  # tasks that share the members of a bucket
 ROUNDS = (1, 32, 512)  # centers a bucket may take in the first rounds; all later ones take the last number
 
 
@@ -38,11 +39,14 @@ def beside(pairs: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
     return half.join(table.select(F.col("node").alias("b"), *(F.col(c).alias(f"{c}_b") for c in columns)), "b")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``pairs`` (a, b) with ``common``, the exact size of the intersection, and both sizes."""
+def _confirmed(pairs: DataFrame, sets: DataFrame, heads: Sequence[str]) -> DataFrame:
+    """``pairs`` (a, b) that meet in every one of ``heads``, with ``common``, the exact size of the intersection, and both sizes."""
     common = F.size(F.array_intersect("items_a", "items_b")).cast("bigint")
     sizes = (F.size(f"items_{x}").cast("bigint").alias(f"size_{x}") for x in "ab")
-    return beside(pairs, sets, ["items"]).select("a", "b", common.alias("common"), *sizes)
+    both = beside(pairs, sets, ["items", *heads])
+    for name in heads:
+        both = both.where(F.arrays_overlap(f"{name}_a", f"{name}_b"))
+    return both.select("a", "b", common.alias("common"), *sizes)
 
 
 def held_in_common(sets: DataFrame) -> DataFrame:
@@ -78,17 +82,21 @@ def _spokes(active: DataFrame, centers: DataFrame, percent: int) -> DataFrame:
     def named(test) -> Column:
         return F.transform(F.filter("centers", test), lambda c: c["c"])
 
-    met = active.join(centers, "bucket").withColumn("is_center", F.exists("centers", lambda c: c["c"] == F.col("node"))).select("node", named(other).alias("near"), named(too_far).alias("ruled_out"))
+    # Rows are few bytes but much work: dealt by count, not by size, a bucket's members over several tasks.
+    width = int(active.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    members = active.withColumn("slot", F.pmod(F.xxhash64("node"), F.lit(SLOTS)).cast("int")).repartition(width, "bucket", "slot")
+    centers = centers.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1)))).repartition(width, "bucket", "slot")
+    met = members.join(centers.hint("merge"), ["bucket", "slot"]).withColumn("is_center", F.exists("centers", lambda c: c["c"] == F.col("node"))).select("node", named(other).alias("near"), named(too_far).alias("ruled_out"))
     lists = met.groupBy("node").agg(F.flatten(F.collect_list("near")).alias("near"), F.flatten(F.collect_list("ruled_out")).alias("ruled_out"))
     return lists.select("node", F.explode(F.array_except("near", "ruled_out")).alias("c"))
 
 
-def star_classes(active: DataFrame, sets: DataFrame, percent: int, links: DataFrame, agree: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def star_classes(active: DataFrame, sets: DataFrame, percent: int, links: DataFrame, heads: Sequence[str] = ()) -> DataFrame:
     """``(node, component)`` of nodes linked with any other, by ``100 * |intersection| >= percent * |union|``.
 
     ``active``: ``(bucket, node, n, shared)``, a node in its buckets with the size of its set and the number of its items that
-    others have too. ``sets``: ``(node, items)``. ``links``: pairs ``(a, b)`` linked beforehand. ``agree``
-    may drop candidate pairs (a, b) before they are confirmed, if they cannot link.
+    others have too. ``sets``: ``(node, items)``. ``links``: pairs ``(a, b)`` linked beforehand. ``heads`` names
+    further array columns of ``sets``: candidates without a common member in each are dropped before full sets are compared.
     """
     active = active.where(100 * F.col("shared") >= percent * F.col("n"))  # else it links with nothing
     several = active.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("held")).where("lo < hi")
@@ -116,12 +124,11 @@ def star_classes(active: DataFrame, sets: DataFrame, percent: int, links: DataFr
         pairs = written(pairs, "star-pairs")
         new = pairs.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
         tried = new if tried is None else tried.union(new)
-        if agree is not None:
-            pairs = written(agree(pairs), "star-agreed")
-        measured = written(_confirmed(pairs, sets), "star-measured")
+        measured = written(_confirmed(pairs, sets, heads), "star-measured")
         union = F.col("size_a") + F.col("size_b") - F.col("common")
         linked = measured.where(100 * F.col("common") >= percent * union).select("a", "b")
-        classes = components(classes.select(F.col("component").alias("a"), F.col("node").alias("b")).union(linked))
+        if not linked.isEmpty():
+            classes = components(classes.select(F.col("component").alias("a"), F.col("node").alias("b")).union(linked))
         if turn == 0:
             measure = measured.groupBy("a", "b").agg(F.max(F.col("common") / union).alias("s"))
             both = measure.select(F.col("a").alias("c"), F.col("b").alias("node"), "s").union(measure.select(F.col("b").alias("c"), F.col("a").alias("node"), "s"))
