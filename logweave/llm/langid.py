@@ -132,7 +132,7 @@ def _languages(samples: tuple[tuple[str, str], ...]) -> list[tuple[str, Language
 
 def costs(languages: list[tuple[str, Language]], codes: list[np.ndarray]) -> np.ndarray:
     """Bits that each text costs in each language."""
-    sizes = np.array([len(c) for c in codes])
+    sizes = np.array([len(c) for c in codes], np.int64)  # typed, as there may be no text
     flat = np.concatenate(codes) if len(codes) else np.zeros(0, np.uint32)
     blocks = -(-sizes // BLOCK)
     owner = np.repeat(np.arange(len(codes)), blocks)

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from logweave.session import shared_dir
 
 PACKAGE = Path(__file__).resolve().parents[1]
+BATCH_ROWS = 1000  # sent to a Python worker at a time, unless the cluster says otherwise
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -41,8 +42,11 @@ def free_names(df: DataFrame, *names: str) -> list[str]:
 def ship(spark: SparkSession) -> None:
     """Make this package importable in Python workers, as ``--py-files`` would; once per context.
 
-    Nothing is sent where the workers find it anyway: it is installed or on ``PYTHONPATH``.
+    Nothing is sent where the workers find it anyway: it is installed or on ``PYTHONPATH``. Batches
+    for the workers are kept short, as texts are long and idle workers keep the memory they once had.
     """
+    if "spark.sql.execution.arrow.maxRecordsPerBatch" not in dict(spark.sparkContext.getConf().getAll()):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     root, context = str(PACKAGE.parent), spark.sparkContext
     near = root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or "site-packages" in root
     if near or (context.master.startswith("local[") and os.path.realpath(os.getcwd()) == root) or getattr(context, "_logweave_shipped", False):

@@ -15,6 +15,7 @@ from tokenizers import Tokenizer
 
 from logweave.llm.alignment import align
 from logweave.llm.bytewords import SLICE
+from logweave.llm.langid import CHARS, identify
 from logweave.llm.lexical import index, search
 from logweave.llm.neardup import sets_of
 from logweave.llm.ngramjoin import prefixes, similar_classes
@@ -259,3 +260,16 @@ def test_every_order_filters(spark, frame):
     alike = {(a, b) for a in items for b in items if a < b and 5 * len(items[a] & items[b]) >= 4 * len(items[a] | items[b])}
     every = set.intersection(*met.values())
     assert alike <= every and len(every) < min(map(len, met.values()))
+
+
+def test_languages_of_very_long_texts(frame):
+    """Texts beyond what is parsed at a time, first, in the middle and last of a batch."""
+    rng = random.Random(1)
+    kinds = {"aa": ["alpha", "beta", "gamma", "delta"], "bb": ["uno", "dos", "tres", "cuatro"]}
+    samples = tuple((lang, " ".join(rng.choices(words, k=300))) for lang, words in kinds.items())
+    long = {lang: " ".join(rng.choices(words, k=2 * CHARS // 5)) for lang, words in kinds.items()}
+    rows = [(0, long["aa"]), (1, "uno dos"), (2, long["bb"]), (3, None), (4, "beta"), (5, long["aa"])]
+    got = {r["doc_id"]: r["lang_pred"] for r in identify(frame(rows).coalesce(1), samples).collect()}
+    assert got == {0: "aa", 1: "bb", 2: "bb", 3: "und", 4: "aa", 5: "aa"}
+    only = frame([(0, long["bb"])]).coalesce(1)
+    assert [r["lang_pred"] for r in identify(only, samples).collect()] == ["bb"]
