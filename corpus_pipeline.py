@@ -14,7 +14,7 @@ from logweave.llm.packing import pack_documents
 from logweave.llm.quality import quality
 from logweave.llm.queries import table, tokenizer_path
 from logweave.llm.secrets import redact
-from logweave.llm.shared import free_names, written
+from logweave.llm.shared import written
 
 
 def _as_before(changed: DataFrame, docs: DataFrame) -> DataFrame:
@@ -24,34 +24,52 @@ def _as_before(changed: DataFrame, docs: DataFrame) -> DataFrame:
     return changed.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
+def _set_aside(docs: DataFrame, *used: str) -> DataFrame:
+    """The columns a stage uses, and all others in one struct, where no result's name meets theirs."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in used]
+    return docs.select(*used, F.struct(*rest, F.lit(None).cast("int").alias("none")).alias("row"))
+
+
+def _back(changed: DataFrame, docs: DataFrame, *used: str) -> DataFrame:
+    """The columns of ``docs``, in their order, after ``_set_aside``."""
+    return changed.select(*(F.col(f"`{c}`") if c in used else F.col(f"row.`{c}`") for c in docs.columns))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and read like their language."""
-    judged = quality(docs.select("text", "lang", F.struct("*").alias("row")))
-    return judged.where("kept").select("row.*")
+    """Documents that pass the base rules and read like their language.
+
+    A null or empty text has no words and goes. A null language, or one without a reference, is judged by
+    the base rules alone. Repeated rows are judged one by one; an empty table stays empty.
+    """
+    judged = quality(_set_aside(docs, "text", "lang"))
+    return _back(judged.where("kept"), docs, "text", "lang")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of repeated runs of lines removed; a document of which nothing is left goes."""
-    removed = free_names(docs, "n_removed")[0]
-    cleaned = drop_repeated_lines(docs.select("doc_id", "text", F.struct("*").alias("row"))).withColumnRenamed("n_removed", removed)
-    left = cleaned.where((F.col(removed) == 0) | (F.btrim("text", F.lit(" \t\r\n\x0b\x0c")) != ""))
-    others = [F.col(f"row.`{c}`") if c not in ("doc_id", "text") else F.col(c) for c in docs.columns]
-    return _as_before(left.select(*others), docs)
+    """Later copies of repeated runs of lines removed; a document of which nothing is left goes.
+
+    A null text goes, as it has nothing. Among equal rows the run stays in one of them.
+    """
+    cleaned = drop_repeated_lines(_set_aside(docs, "doc_id", "text"))
+    left = cleaned.where((F.col("n_removed") == 0) | (F.btrim("text", F.lit(" \t\r\n\x0b\x0c")) != ""))
+    return _as_before(_back(left, docs, "doc_id", "text"), docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, linked at a similarity of 0.8 or more."""
+    """One document of each group of near-duplicates, linked at a similarity of 0.8 or more.
+
+    Null and empty texts link with nothing and stay; of rows equal in id and text one stays.
+    """
     return drop_near_duplicates(docs, percent=80)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets replaced by a mark."""
-    cleaned = redact(docs.select("text", F.struct("*").alias("row")))
-    return _as_before(cleaned.select(*(F.col(f"row.`{c}`") if c != "text" else F.col(c) for c in docs.columns)), docs)
+    """Secrets replaced by a mark. Null texts stay null; repeated rows are treated one by one."""
+    return _as_before(_back(redact(_set_aside(docs, "text")), docs, "text"), docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces and the sequence each goes to."""
+    """Token pieces and the sequence each goes to; a null or empty text is one piece, the end token."""
     return pack_documents(docs.select("doc_id", "text"), tokenizer_path("byte_bpe_50k.json"))
 
 
