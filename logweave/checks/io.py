@@ -6,12 +6,12 @@ from logweave.checks.base import ISO, LEVEL, field_text, level, open_events, que
 from logweave.files import stage
 from logweave.functions.once import once
 from logweave.functions.text import iso_text
-from logweave.metrics import rollup
+from logweave.metrics import STATUS, errors, rollup
 from logweave.model import event_document, from_documents
 from logweave.operators.base import reason
+from logweave.operators.custom import python_step
 from logweave.operators.filter import filter_events
 from logweave.operators.json import parse_json
-from logweave.plans.flow import python_step
 from logweave.session import setting, shared_dir
 from logweave.sinks import lines as out, search
 from logweave.sources import kafka as mq, text as src, winlog as win
@@ -310,6 +310,23 @@ def sink_partition_columns(t):
     return lines.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "sink_file_size",
+    f"""SELECT strftime(date_trunc('week', ts), '%d') AS day,
+    CAST(sum(strlen({LEVEL} || ' ' || event_id || ' ' || CASE event_type WHEN 'view' THEN props ELSE event_type END) + 1) AS BIGINT) AS bytes, TRUE AS well_sized
+    FROM events GROUP BY ALL""",
+)
+def sink_file_size(t):
+    """Objects written with a size, their files measured: all but the last one of each hour come within a tenth of it."""
+    folder, size = shared_dir(t.spark, "sizes"), 16 << 10
+    events = _typed_events(t).withColumn("timestamp", F.date_trunc("week", "timestamp"))
+    out.write_objects(events, folder, "logs", format="text", template="{level} {id} {message}", buffer_size=size, scheme=None)
+    written = t.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{folder}/logs")
+    files = written.select(F.regexp_extract("path", "/day=([0-9]+)/", 1).alias("day"), "length")
+    off = F.count_if((F.col("length") < 0.9 * size) | (F.col("length") > 1.1 * size))
+    return files.groupBy("day").agg(F.sum("length").alias("bytes"), (off <= 1).alias("well_sized"))
+
+
 @query(
     "sink_write_files",
     f"""SELECT {ISO} || ' ' || CASE event_type WHEN 'view' THEN props ELSE event_type END AS value FROM events
@@ -373,6 +390,49 @@ def custom_step(t):
     return rows.select("id", field_text("event_type").alias("event_type"))
 
 
+def _strict(event):
+    """A custom function that fails in two ways, drops some events and changes the rest."""
+    fields = event["fields"]
+    if fields["event_type"] == "error":
+        fields["half"] = "done"
+        raise ValueError(f"no value in {event['id']}")
+    if fields["event_type"] == "view":
+        return fields["user_id"]
+    if fields["event_type"] == "signup":
+        return None
+    fields["event_type"] = fields["event_type"].upper()
+    return event
+
+
+@query(
+    "custom_step_errors",
+    """SELECT CAST(event_id AS VARCHAR) AS id, 'strict' AS error_stage, event_type, FALSE AS half,
+    CASE event_type WHEN 'error' THEN 'ValueError: no value in ' || event_id ELSE 'TypeError: an event is a dictionary, not int' END AS error_message
+    FROM events WHERE event_type IN ('error', 'view')""",
+)
+def custom_step_errors(t):
+    """The rows a custom function failed on, as they were, each with its error."""
+    rows = open_events(t).withColumn(STATUS, reason("ok", "", F.lit("")))
+    failed = errors(python_step(_strict, "strict").audited(rows, STATUS))
+    half = F.map_contains_key("fields", "half").alias("half")
+    return failed.select("id", "error_stage", "error_message", field_text("event_type").alias("event_type"), half)
+
+
+@query(
+    "custom_step_audited",
+    """SELECT CAST(event_id AS VARCHAR) AS id, CASE WHEN user_id >= 20 AND event_type IN ('click', 'purchase') THEN upper(event_type) ELSE event_type END AS event_type,
+    CASE WHEN user_id < 20 OR event_type = 'signup' THEN 'filtered' WHEN event_type IN ('error', 'view') THEN 'error' WHEN user_id >= 100 THEN 'filtered' ELSE 'ok' END AS state,
+    CASE WHEN user_id < 20 THEN 'filter' WHEN event_type IN ('error', 'view', 'signup') THEN 'strict' WHEN user_id >= 100 THEN 'filter' ELSE '' END AS stage
+    FROM events""",
+)
+def custom_step_audited(t):
+    """Every row with its fate: a filter, a custom function that meets the rows left, a filter on what it made."""
+    rows = open_events(t).withColumn(STATUS, reason("ok", "", F.lit("")))
+    for step in (filter_events("user_id >= 20"), python_step(_strict, "strict"), filter_events("user_id < 100")):
+        rows = step.audited(rows, STATUS)
+    return rows.select("id", field_text("event_type").alias("event_type"), f"{STATUS}.state", f"{STATUS}.stage")
+
+
 def flagship(t):
     """Raw JSON lines parsed, filtered and rendered: the smallest whole flow."""
     raw = F.to_json(F.struct(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("time"), level().alias("level"), F.col("event_type").alias("service"), F.col("value")))

@@ -203,3 +203,36 @@ def grok_open_layout(t):
     events = to_events(log_lines(t), id=F.col("event_id").cast("string"), timestamp=F.col("ts").cast("timestamp"), raw_data=F.col("raw_data"))
     rows = events.transform(extract_grok(["%{LOGLEVEL:level} user=%{INT:user_id}"]))
     return rows.select("id", field_text("level").alias("level"), field_text("user_id").alias("user_id"), iso_text(F.col("timestamp")).alias("time"))
+
+
+@query(
+    "regex_on_error",
+    f"SELECT page_id, {_url_part(2)} AS host, regexp_matches(url, '{_URL_RE2}') AS matched, 0 AS noted FROM pages",
+)
+def regex_on_error(t):
+    """Without a match nothing is set, dropped or noted, whatever ``ignore_errors`` says."""
+    rows = t("pages").select("page_id", "url")
+    parts = [rows.transform(extract_regex(_URL, "url", ignore_errors=flag)).where((F.col("page_id") % 2 == 0) == flag) for flag in (True, False)]
+    rows = parts[0].unionByName(parts[1])
+    noted = F.lit(0) if "metadata" not in rows.columns else F.size("metadata")
+    return rows.select("page_id", "host", F.col("host").isNotNull().alias("matched"), noted.alias("noted"))
+
+
+@query(
+    "grok_drop_source",
+    r"SELECT page_id, nullif(regexp_extract(url, '/(\w+)/[+-]?[0-9]+', 1), '') AS code, CASE WHEN regexp_matches(url, '/\w+/[+-]?[0-9]+') THEN NULL ELSE url END AS url FROM pages",
+)
+def grok_drop_source(t):
+    """The source field goes where the pattern matched, and only there."""
+    step = extract_grok("/%{WORD:code}/%{INT}", "url", preserve_original=False)
+    return t("pages").select("page_id", "url").transform(step).select("page_id", "code", "url")
+
+
+@query(
+    "grok_on_error",
+    "SELECT CAST(event_id AS VARCHAR) AS id, CASE WHEN event_type = 'error' THEN 'rro' END AS word, 0 AS noted FROM events",
+)
+def grok_on_error(t):
+    """Events without a match go on unchanged and unmarked."""
+    step = extract_grok("^e%{DATA:word}r$", "event_type", ignore_errors=True)
+    return open_events(t).transform(step).select("id", field_text("word").alias("word"), F.size("metadata").alias("noted"))

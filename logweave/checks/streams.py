@@ -1,5 +1,7 @@
 """Flows as streams; each must give what the same flow gives as a batch."""
 
+import os
+
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from logweave.plans.flow import Flow
 from logweave.plans.registry import default_registry
 from logweave.session import shared_dir
 from logweave.sinks.lines import write_files
+from logweave.sources.follow import local_path
 from logweave.streaming import query as streaming
 
 
@@ -115,6 +118,46 @@ def stream_file_follow(t):
     return t.spark.read.parquet(f"{folder}/out").drop("id")
 
 
+def _grow(lines, folder):
+    """Lines added to the live files of a folder, by the tasks that have them."""
+    names = F.concat(F.lit(f"{folder}/"), F.spark_partition_id().cast("string"), F.lit(".log"))
+
+    def add(rows):
+        file = None
+        for row in rows:
+            file = file or open(row.name, "ab")  # noqa: SIM115
+            file.write(row.value.encode() + b"\n")
+        if file:
+            file.close()
+
+    lines.select("value", names.alias("name")).foreachPartition(add)
+
+
+@query("stream_file_grow", f"SELECT {MICROS} AS time, {LEVEL} AS level, event_type AS kind FROM events")
+def stream_file_grow(t):
+    """Live files that are begun, grow, and are replaced by others: over four runs each line arrives once."""
+    folder = shared_dir(t.spark, "grow")
+    live = local_path(f"{folder}/in")
+    os.makedirs(live)
+    lines = log_lines(t).select(F.col("raw_data").alias("value")).repartition(5, F.hash("value"))
+    flow = Flow(
+        {
+            "name": f"grow-{folder[-8:]}",
+            "sources": [{"name": "in", "type": "file", "config": {"path": live, "growing": True, "read_from_start": True, "split_bytes": 20_000}}],
+            "processors": [{"name": "g", "type": "grok", "config": {"patterns": ["%{TIMESTAMP_ISO8601:time} %{LOGLEVEL:level} .*\\(%{WORD:kind}\\)"]}}],
+            "sinks": [{"name": "t", "type": "table", "config": {"path": f"{folder}/out", "fields": ["time", "level", "kind"]}}],
+        },
+        _registry(),
+    )
+    for part in ("value LIKE '%(click)'", "value LIKE '%(view)'", "value LIKE '%(error)'", "NOT value RLIKE '[(](click|view|error)[)]$'"):
+        if "error" in part and "NOT" not in part:
+            for name in os.listdir(live):
+                os.remove(f"{live}/{name}")
+        _grow(lines.where(part), live)
+        streaming.start(flow, t.spark, f"{folder}/checkpoint", available_now=True, on_error="fail").awaitTermination()
+    return t.spark.read.parquet(f"{folder}/out").drop("id")
+
+
 @query(
     "stream_objects",
     "SELECT role, text AS raw_data FROM (SELECT role, unnest(str_split(text, e'\\n')) AS text FROM conversations) WHERE trim(text, e' \\t\\n\\r') <> ''",
@@ -270,3 +313,42 @@ def batch_flow(t):
         }
     )
     return flow.transform(open_events(t)).select("id", field_text("meaning").alias("meaning"))
+
+
+@query(
+    "stream_two_flows",
+    """SELECT 'a' AS flow, CAST(event_id AS VARCHAR) AS id FROM events WHERE event_type = 'click'
+    UNION ALL SELECT 'b', CAST(event_id AS VARCHAR) FROM events WHERE event_type <> 'click'""",
+)
+def stream_two_flows(t):
+    """Two flows of one session side by side, each with a checkpoint of its own."""
+    folder = shared_dir(t.spark, "two-flows")
+    queries = []
+    for name, condition in (("a", "event_type == click"), ("b", "event_type != click")):
+        flow = Flow(
+            {
+                "name": f"{name}-{folder[-8:]}", "sources": _source(),
+                "processors": [{"name": "f", "type": "filter", "config": {"condition": condition}}],
+                "sinks": [{"name": "t", "type": "table", "config": {"path": f"{folder}/{name}", "fields": ["event_type"]}}],
+            },
+            _registry(),
+        )
+        queries.append(streaming.start(flow, t.spark, f"{folder}/checkpoint-{name}", available_now=True, on_error="fail", rows=_events_stream(t)))
+    for query_ in queries:
+        query_.awaitTermination()
+    parts = [t.spark.read.parquet(f"{folder}/{name}").select(F.lit(name).alias("flow"), "id") for name in ("a", "b")]
+    return parts[0].union(parts[1])
+
+
+@query("custom_source", "SELECT CAST(event_id AS VARCHAR) AS id, event_type FROM events WHERE event_type <> 'view'")
+def custom_source(t):
+    """A source and a sink of one's own, named in a declaration; the flow reads, filters and writes as a batch."""
+    folder, registry = shared_dir(t.spark, "custom-source"), _registry()
+    registry.register("source", "pkg.EventTableSource", lambda spark, path: _events_of(spark.read.parquet(path)))
+    spec = {
+        "name": "custom", "sources": [{"name": "in", "type": "eventtable", "config": {"path": t.path("events")}}],
+        "processors": [{"name": "f", "type": "filter", "config": {"condition": "event_type != view"}}],
+        "sinks": [{"name": "t", "type": "table", "config": {"path": f"{folder}/out", "fields": ["event_type"]}}],
+    }
+    Flow(spec, registry).run_batch(t.spark, on_error="fail")
+    return t.spark.read.parquet(f"{folder}/out")

@@ -279,13 +279,13 @@ def event_columns(df: DataFrame, **given: Column) -> list[Column]:
     ]
 
 
-def to_events(df: DataFrame, **given: Column) -> DataFrame:
-    """Open-layout events out of any rows; ``given`` maps envelope names to columns."""
+def to_events(df: DataFrame, *keep: str, **given: Column) -> DataFrame:
+    """Open-layout events out of any rows; ``given`` maps envelope names to columns, ``keep`` names columns to go along."""
     fields = given.get("fields")
     if "fields" in given:  # built once, however many later conditions read it
         given["fields"] = F.col("_fields")
         df = once(df, "_fields", fields)
-    return df.select(*event_columns(df, **given))
+    return df.select(*event_columns(df, **given), *keep)
 
 
 def fields_object(df: DataFrame) -> Column:
@@ -311,16 +311,17 @@ def event_document(df: DataFrame) -> Column:
     return F.to_json(document, {"ignoreNullFields": "false" if is_open(df) else "true"})
 
 
-def from_documents(df: DataFrame, column: str = "value") -> DataFrame:
-    """Events out of their JSON documents; a missing id or time gets its default."""
+def from_documents(df: DataFrame, column: str = "value", *keep: str) -> DataFrame:
+    """Events out of their JSON documents; a missing id or time gets its default. ``keep`` names columns to go along."""
     doc = F.from_json(
         F.col(column),
         "id string, timestamp string, source_type string, source_name string, raw_data string, "
         "fields variant, metadata variant, tags array<string>",
     )
-    df = df.select(doc.alias("d"))
+    df = df.select(doc.alias("d"), *keep)
     return to_events(
         df,
+        *keep,
         id=F.nullif(F.col("d.id"), F.lit("")),
         timestamp=F.col("d.timestamp").try_cast("timestamp"),
         source_type=F.col("d.source_type"),

@@ -60,8 +60,11 @@ def parse_json(
 
 
 def _member(f: T.StructField) -> Column:
-    # The name is one member, dots included.
-    return F.try_variant_get(F.col(_PARSED), f"$[0]['{f.name}']", f.dataType.simpleString())
+    # The name is one member, dots included. A path can hold one kind of quotes; a name with both is looked up in the object.
+    mark = "'" if "'" not in f.name else '"'
+    if mark not in f.name and "\\" not in f.name:
+        return F.try_variant_get(F.col(_PARSED), f"$[0][{mark}{f.name}{mark}]", f.dataType.simpleString())
+    return F.try_variant_get(F.try_element_at(jsontext.value(_PARSED, OPEN_MAP), F.lit(f.name)), "$", f.dataType.simpleString())
 
 
 def _merge_object(df: DataFrame) -> DataFrame:

@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from logweave import metrics
 from logweave.files import Files, stage
-from logweave.model import event_document, from_documents
 from logweave.operators.base import Step, reason
 from logweave.plans.registry import Registry, accepted, default_registry
 from logweave.session import configure, shared_dir
@@ -85,11 +84,16 @@ class Flow:
                 self.registry.resolve(kind, item["type"])
 
     def read(self, spark: SparkSession, stream: bool = False) -> DataFrame:
-        """All sources in one DataFrame."""
+        """All sources in one DataFrame.
+
+        In a stream ``batch_size`` bounds the rows of a micro-batch for sources that count rows (``max_poll_records``),
+        unless they set it themselves; sources of files have bounds of their own.
+        """
+        bound = {"max_poll_records": int(self.spec["batch_size"])} if stream and self.spec.get("batch_size") else {}
         frames = []
         for item in self.spec["sources"]:
             builder = self.registry.resolve("source", item["type"])
-            frames.append(builder(spark, **accepted(builder, {**item["config"], "tail": stream})))
+            frames.append(builder(spark, **accepted(builder, {**bound, **item["config"], "tail": stream})))
         return fan_in(*frames)
 
     def transform(self, df: DataFrame) -> DataFrame:
@@ -230,23 +234,3 @@ def observed(seen: Observation, patience: float = 5.0) -> dict[str, int]:
     if seen._jo is None:
         return {}
     return {k: int(seen.get.get(k) or 0) for k in metrics.COUNTERS}
-
-
-def python_step(function: Callable[[dict[str, Any]], dict[str, Any] | None]) -> Step:
-    """A custom per-event function as a step over open-layout events.
-
-    It gets the event as a dictionary and returns it, changed or not, or ``None`` to drop
-    it. Rows travel in Arrow batches; built-in steps do not pay this price.
-    """
-
-    def batches(frames):
-        for frame in frames:
-            results = (function(json.loads(document)) for document in frame["value"])
-            kept = [json.dumps(event) for event in results if event is not None]
-            yield frame.iloc[0:0].reindex(range(len(kept))).assign(value=kept)
-
-    def run(df: DataFrame) -> DataFrame:
-        documents = df.select(event_document(df).alias("value"))
-        return from_documents(documents.mapInPandas(batches, "value string"))
-
-    return Step("python", finish=run)

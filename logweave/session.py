@@ -53,6 +53,12 @@ def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
         spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
 
 
+def lasting_dir(spark: SparkSession, label: str) -> str | None:
+    """The folder of that label under ``spark.checkpoint.dir``, the same in every session; none without that setting."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{root.rstrip('/')}/logweave/{label}" if root else None
+
+
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder every executor can reach.
 

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from logweave.files import Files
 from logweave.functions import text as tx
 from logweave.model import Fields, event_document
-from logweave.session import setting
+from logweave.session import shared_dir
+from logweave.sinks.sizing import dealt_by_bytes
 
 TEMPLATE = "{timestamp} {message}"
 _OWN = ("id", "timestamp", "source_type", "source_name", "raw_data")
@@ -133,14 +134,16 @@ def write_objects(
 ) -> None:
     """Write lines under ``prefix/year=/month=/day=/hour=``, those of a micro-batch in ``batch_id=<id>`` below.
 
-    A micro-batch that is written again replaces its own files. Rows are rebalanced by hour before the write: small hours share a task and an hour with
-    most of the rows is split over several, each about ``buffer_size`` bytes per file.
+    A micro-batch that is written again replaces its own files. The text of an hour is cut into files of ``buffer_size``
+    bytes, the last one has the rest; rows keep their order (``sizing.py``).
     """
     if not bucket:
         raise ValueError("S3 bucket is required")
     hours = partition_columns(df, time)
     line = event_lines(df, format, template, message_field).alias("value")
-    out = df.select(line, *(c.alias(n) for n, c in hours.items())).hint("rebalance", *hours)
+    out = df.select(line, *(c.alias(n) for n, c in hours.items()))
+    scratch = shared_dir(df.sparkSession, "sizing")
+    out = dealt_by_bytes(out, list(hours), int(buffer_size), scratch)
     root = f"{scheme}://{bucket.rstrip('/')}" if scheme else bucket.rstrip("/")
     folders = list(hours)
     if batch_id is not None:
@@ -153,5 +156,7 @@ def write_objects(
         writer = writer.option("partitionOverwriteMode", "dynamic")
     if max_records_per_file:
         writer = writer.option("maxRecordsPerFile", max_records_per_file)
-    with setting(df.sparkSession, "spark.sql.adaptive.advisoryPartitionSizeInBytes", str(int(buffer_size))):
+    try:
         writer.mode("append" if append else "overwrite").text(f"{root}/{key_prefix}")
+    finally:
+        Files(df.sparkSession, scratch).remove("")

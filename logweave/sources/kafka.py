@@ -41,14 +41,17 @@ def kafka_options(
     consumer_timeout_ms: int = 1000,
     tail: bool = True,
 ) -> dict[str, str]:
-    """Connector options for the consumer settings."""
+    """Connector options for the consumer settings.
+
+    ``consumer_timeout_ms``, after which an idle consumer stops waiting, has no option: a batch ends at the newest
+    offsets, and a stream waits for its trigger. The connector's poll timeout is a bound on failures and stays its own.
+    """
     def joined(value: list[str] | str) -> str:
         return value if isinstance(value, str) else ",".join(value)
 
     options = {
         "kafka.bootstrap.servers": joined(brokers),
         "subscribe": joined(topics),
-        "kafkaConsumer.pollTimeoutMs": str(consumer_timeout_ms),
     }
     if group_id:
         options["kafka.group.id"] = group_id

@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
+import os
 import re
-from collections.abc import Iterator
 from datetime import datetime, timezone
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from logweave.files import Files
 from logweave.functions import text as tx
+from logweave.functions.prefix import with_running_sum
 from logweave.model import to_events
 from logweave.operators.joins import fits_broadcast, left_lookup
+from logweave.sources.follow import SPLIT, growing_lines
 
 
 def _lines(
@@ -54,14 +53,20 @@ def files(
     with_position: bool = False,
     in_file_order: bool = False,
     max_files_per_trigger: int | None = None,
+    growing: bool | None = None,
+    split_bytes: int = SPLIT,
 ) -> DataFrame:
     """Events from the non-blank lines of a file or a directory of rolled files.
 
-    ``tail`` follows the directory as a stream: a rolled or replaced file is a new file.
+    ``tail`` follows the directory as a stream: a rolled or replaced file is a new file. With ``growing`` a stream
+    follows what is added to files as well (``follow.py``; files of a mounted file system only); it begins at their
+    present ends unless ``read_from_start``. Left open, it is so where ``path`` is one file there.
     A stream starts with the files modified since ``started_at`` (UTC text, default: now)
     unless ``read_from_start``; a batch reads all unless that is False. ``with_position`` adds the character offset of each line (batch only), which
     also makes ids repeatable. ``in_file_order`` sorts by modification time, oldest first.
     """
+    if tail and (growing or (growing is None and os.path.isfile(path))):
+        return _growing(growing_lines(spark, path, bool(read_from_start), split_bytes))
     lines = _lines(spark, path, stream=tail, max_files=max_files_per_trigger)
     if not (not tail if read_from_start is None else read_from_start):
         # A constant: the start time must not move on with every micro-batch.
@@ -85,6 +90,22 @@ def files(
     )
 
 
+def _growing(lines: DataFrame) -> DataFrame:
+    """Events of lines with a byte position; the same line of the same file has the same id whenever it is read.
+
+    Bytes that are no UTF-8 text become hex text and a ``decode_error`` entry.
+    """
+    valid = F.is_valid_utf8(F.col("value").cast("string"))
+    text = F.when(valid, F.col("value").cast("string")).otherwise(F.lower(F.hex("value")))
+    lines = lines.withColumns({"valid": valid, "text": tx.strip(text)}).where(F.col("text") != "")
+    mark = _mark(file_path=F.col("path"), file_position=F.col("position"))
+    failed = F.map_concat(mark, _mark(decode_error=F.lit("not UTF-8, shown as hex")))
+    return to_events(
+        lines, id=F.sha2(F.concat_ws("|", "file", F.col("position").cast("string"), "text"), 256), source_type=F.lit("file"),
+        source_name=F.col("path"), raw_data=F.col("text"), metadata=F.when(F.col("valid"), mark).otherwise(failed),
+    )
+
+
 def with_file_position(lines: DataFrame) -> DataFrame:
     """Add ``position``: characters before the line in its file, one per line end.
 
@@ -96,35 +117,17 @@ def with_file_position(lines: DataFrame) -> DataFrame:
     before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     lengths = lines.groupBy("path", "block").agg(F.sum(F.length("value") + 1).alias("_length"))
     splits = lengths.select(_split("path", "block"), F.coalesce(F.sum("_length").over(before), F.lit(0)).alias("_start"))
-    schema = T.StructType([*lines.schema.fields, T.StructField("_offset", T.LongType())])
-    offsets = lines.mapInArrow(_running_offsets, schema).withColumn("_split", _split("path", "block"))
+    sized = lines.withColumn("_size", F.coalesce(F.length("value"), F.lit(0)) + 1)
+    offsets = with_running_sum(sized, ["path", "block"], "_size", "_offset").withColumn("_split", _split("path", "block"))
     joined = left_lookup(offsets, splits, "_split", fits_broadcast(splits))
     start = F.coalesce("_start", F.raise_error(F.lit("input splits changed between two reads")).cast("bigint"))
-    return joined.withColumn("position", start + F.col("_offset")).drop("_split", "_offset", "_start")
+    return joined.withColumn("position", start + F.col("_offset")).drop("_split", "_size", "_offset", "_start")
 
 
 def _split(path: str, block: str) -> Column:
     return F.concat_ws("|", path, F.col(block).cast("string")).alias("_split")
 
 
-def _running_offsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Characters before each line in its split; the lines of a split come one after the other."""
-    at, last = 0, None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        path, block = batch.column("path"), batch.column("block")
-        sizes = np.asarray(pc.add(pc.utf8_length(pc.fill_null(batch.column("value"), "")), 1)).astype(np.int64)
-        before = np.cumsum(sizes) - sizes
-        new = np.ones(len(sizes), bool)  # where another split begins
-        new[0] = (path[0], block[0]) != last
-        new[1:] = np.asarray(pc.or_(pc.not_equal(path[1:], path[:-1]), pc.not_equal(block[1:], block[:-1])))
-        begin = np.maximum.accumulate(np.where(new, np.arange(len(sizes)), -1))
-        offsets = before - np.where(begin < 0, -at, before[begin])
-        at, last = int(offsets[-1] + sizes[-1]), (path[-1], block[-1])
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(offsets)], names=[*batch.schema.names, "_offset"])
-
-
 def line_id(path: str = "path", position: str = "position") -> Column:
     """An id that follows from where a line stands."""
     return F.sha2(F.concat_ws("|", path, F.col(position).cast("string")), 256)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import time
 from typing import Any
 
@@ -10,9 +11,11 @@ from pyspark.sql.streaming import StreamingQuery
 
 from logweave import metrics
 from logweave.plans.flow import Flow
-from logweave.session import configure, shared_dir
+from logweave.session import configure, lasting_dir, shared_dir
 from logweave.streaming.ledger import Ledger
 
+_log = logging.getLogger(__name__)
+
 
 def start(
     flow: Flow,
@@ -26,8 +29,8 @@ def start(
     """Start a flow as a stream, in place of a running stream of the same name.
 
     Micro-batches start every ``batch_timeout`` seconds, or with ``available_now`` take
-    what there is and end. Progress is kept in ``checkpoint``; a restart goes on from
-    there, and a ledger beside it (``ledger.py``) keeps what each sink has got: none gets a batch
+    what there is and end. Progress is kept in ``checkpoint``, by default a folder of the flow's name under
+    ``spark.checkpoint.dir``; a restart goes on from there, and a ledger beside it (``ledger.py``) keeps what each sink has got: none gets a batch
     twice, and one that failed gets it later. With ``count`` the counters go to the ledger and appear in
     the query's progress. ``rows`` replaces the declared sources by a streaming DataFrame of events.
     """
@@ -37,7 +40,10 @@ def start(
     rows = flow.read(spark, stream=True) if rows is None else rows
     out = flow.audit(rows).observe(_label(flow), *metrics.counters()) if count else flow.transform(rows)
 
-    checkpoint = checkpoint or shared_dir(spark, f"checkpoint-{flow.name}")
+    checkpoint = checkpoint or lasting_dir(spark, f"checkpoint-{flow.name}")
+    if checkpoint is None:
+        checkpoint = shared_dir(spark, f"checkpoint-{flow.name}")
+        _log.warning("flow %s has no lasting checkpoint and will begin anew when restarted: set spark.checkpoint.dir", flow.name)
     flow.ledger = ledger = Ledger(spark, f"{checkpoint.rstrip('/')}/delivery")
 
     def write(batch: DataFrame, number: int) -> None:
