@@ -224,7 +224,7 @@ def regex_on_error(t):
 )
 def grok_drop_source(t):
     """The source field goes where the pattern matched, and only there."""
-    step = extract_grok("/%{WORD:code}/%{INT}", "url", preserve_original=False)
+    step = extract_grok(["/%{WORD:code}/%{INT}"], "url", preserve_original=False)
     return t("pages").select("page_id", "url").transform(step).select("page_id", "code", "url")
 
 
@@ -234,5 +234,5 @@ def grok_drop_source(t):
 )
 def grok_on_error(t):
     """Events without a match go on unchanged and unmarked."""
-    step = extract_grok("^e%{DATA:word}r$", "event_type", ignore_errors=True)
+    step = extract_grok(["^e%{DATA:word}r$"], "event_type", ignore_errors=True)
     return open_events(t).transform(step).select("id", field_text("word").alias("word"), F.size("metadata").alias("noted"))
