@@ -10,7 +10,7 @@ sequences that a piece fits under *every* capacity, the one with the best score
 A sequence that fits nowhere opens a new one. Documents are turned into ids first, ``id 0`` ends each.
 Only longer ones are cut, into pieces of the capacity; the first piece is the shorter one.
 
-Pieces are dealt evenly over shards of at most ``SHARD``; each is packed by itself, so a shard adds
+Pieces are dealt by hash over shards of some ``SHARD`` each; each is packed by itself, so a shard adds
 less than one sequence over packing all at once, and no task holds more than a shard. Token ids stay in
 their task: what is shuffled is a few numbers a piece.
 
@@ -55,20 +55,24 @@ class TextIds:
     the same ids in a third of the time; a probe of texts is compared, and where it differs, or the file
     is of another kind, the ``tokenizers`` library does the work. A text without two white-space
     characters in a row needs no look-ahead in the pattern, which saves as much again.
+
+    The string of a special token in a text is ordinary text with ``special_as_text``, else it becomes that
+    token's id, as in a plain call of the library.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = True):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = special_as_text
+        self.special = [] if special_as_text else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.encode = self._by_words = self._by_tokenizers
         ranks = self._ranks(path)
         if ranks is not None:
             import tiktoken
 
             whole, words = (tiktoken.Encoding("own", pat_str=p, mergeable_ranks=ranks, special_tokens={}).encode_ordinary for p in (PATTERN, PLAIN_PATTERN))
-            if all((words(t) if not SPACES.search(t) else whole(t)) == whole(t) == self._by_tokenizers(t) for t in PROBE):
+            if all((words(t) if not SPACES.search(t) else whole(t)) == whole(t) == self._by_tokenizers(t) for t in PROBE if not self._has_special(t)):
                 self.encode, self._by_words = whole, words
 
     def _by_tokenizers(self, text: str) -> list[int]:
@@ -87,13 +91,18 @@ class TextIds:
         special = {t["content"] for t in spec.get("added_tokens", [])}
         return {bytes(map(letter.__getitem__, t)): n for t, n in spec["model"]["vocab"].items() if t not in special}
 
+    def _has_special(self, text: str) -> bool:
+        return any(t in text for t in self.special)
+
     def __call__(self, text: str) -> list[int]:
+        if self._has_special(text):
+            return self._by_tokenizers(text)
         return self.encode(text) if SPACES.search(text) else self._by_words(text)
 
 
 @lru_cache(maxsize=2)
-def _tokenizer(path: str) -> TextIds:
-    return TextIds(path)
+def _tokenizer(path: str, special_as_text: bool) -> TextIds:
+    return TextIds(path, special_as_text)
 
 
 def cut(total: int, capacity: int) -> list[int]:
@@ -103,11 +112,13 @@ def cut(total: int, capacity: int) -> list[int]:
     return [total % capacity or capacity] + [capacity] * ((total - 1) // capacity)
 
 
-def pieces(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id", *, capacity: int = CAPACITY) -> DataFrame:
+def pieces(
+    docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id", *, capacity: int = CAPACITY, special_as_text: bool = True
+) -> DataFrame:
     """``(key, piece, start, length, ids_crc32)`` of every document."""
 
     def tokenized(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encode = _tokenizer(tokenizer)
+        encode = _tokenizer(tokenizer, special_as_text)
         for batch in batches:
             sizes, rows = [], ([], [], [], [])
             for text in batch:
@@ -196,14 +207,15 @@ def pack(
         fresh = np.r_[True, np.diff(sequence[by]) > 0] if len(by) else np.zeros(0, bool)
         offset = np.empty(len(frame), np.int64)
         offset[by] = before - np.maximum.accumulate(np.where(fresh, before, 0))
-        return frame[names].assign(sequence_id=frame["_shard"].to_numpy() * (SHARD * 2) + sequence, offset=offset)
+        return frame[names].assign(sequence_id=(frame["_shard"].to_numpy() << 32) + sequence, offset=offset)
 
     # The files are written, so the running number of a row is the same if its task runs again.
-    dealt = rows.withColumn("_shard", F.monotonically_increasing_id() % shards)
+    # Its hash is dealt, as the numbers of all partitions end in the same bits.
+    dealt = rows.withColumn("_shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)))
     return dealt.groupBy("_shard").applyInPandas(packed, schema)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id", *, special_as_text: bool = True, **options) -> DataFrame:
     """Documents tokenized, cut and packed: one row per piece."""
-    found = pieces(docs, tokenizer, text, key, capacity=options.get("capacity", CAPACITY))
+    found = pieces(docs, tokenizer, text, key, capacity=options.get("capacity", CAPACITY), special_as_text=special_as_text)
     return pack(found, **options)

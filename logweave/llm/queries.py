@@ -93,7 +93,7 @@ def tokenizer_path(name: str) -> str:
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     from logweave.llm.packing import pack_documents
 
-    return pack_documents(table(spark, folder, "documents").select("doc_id", "text"), tokenizer_path("byte_bpe_50k.json"))
+    return pack_documents(table(spark, folder, "documents").select("doc_id", "text"), tokenizer_path("byte_bpe_50k.json"), special_as_text=False)
 
 
 @query("op1_chat_format")

@@ -454,8 +454,7 @@ def test_packing_of_table(documents, texts):
 
     path = tokenizer_path("byte_bpe_50k.json")
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    got = packing.pack_documents(documents, path).collect()
+    got = packing.pack_documents(documents, path, special_as_text=False).collect()
     by, sequences = {}, {}
     for r in got:
         by.setdefault(r["doc_id"], []).append(r)
@@ -503,6 +502,41 @@ def test_token_ids_are_those_of_the_tokenizer(texts):
         assert ids(text) == ids._by_tokenizers(text)
 
 
+def test_strings_of_special_tokens(spark):
+    """Plain text for training, a plain call of the library where ids are to be those."""
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    texts = ["a <|endoftext|>  b", "<|endoftext|>", "x<|endoftext|><|endoftext|> y", "no <|end", ""]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for as_text in (False, True):
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.encode_special_tokens = as_text
+        ids = [[*tokenizer.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+        got = {r["doc_id"]: r for r in packing.pack_documents(rows, path, special_as_text=as_text).collect()}
+        assert [got[i]["length"] for i in range(5)] == [len(x) for x in ids]
+        assert [got[i]["ids_crc32"] for i in range(5)] == [zlib.crc32(np.array(x, "<u4").tobytes()) for x in ids]
+    assert got[1]["length"] > 2
+
+
+def test_shards_are_filled_alike(spark, monkeypatch):
+    """Many small partitions and a number of shards that is a power of two; no two sequences share a number."""
+    monkeypatch.setattr(packing, "SHARD", 50)
+    rows = spark.range(800, numPartitions=160).selectExpr("id AS doc_id", "CAST(1 + id % 90 AS bigint) AS length")
+    got = packing.pack(rows, capacity=100).collect()
+    held = {}
+    for r in got:
+        held.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    shards = [sum(r["sequence_id"] >> 32 == k for r in got) for k in range(16)]
+    assert len(got) == sum(shards) == 800 and min(shards) > 20 and max(shards) < 100
+    for parts in held.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 100
+
+
 # Segmentations
 
 
