@@ -14,7 +14,8 @@ of another stretch of ``LONG`` characters or more every ``CHARACTERS`` are a fur
 3. Matches are extended both ways by their neighbours: a repeated run goes on to the right as long as the
    window that ends at the next line matches, to the left as long as the one that begins at the line
    before does; matches that overlap or touch become one run.
-4. All lines of the later run go. The first place keeps its lines.
+4. All lines of the later run go. The first place keeps its lines, but where a later run overlaps it: text that repeats
+   itself without a gap is left once, so of twenty equal lines the first one stays (the run that begins one line on is a later copy).
 
 Before 1, lines that occur once in the table are set aside by a count of line hashes: no repeated run
 holds one. Everything is a DataFrame expression; groups are counted before they are shuffled, and each
