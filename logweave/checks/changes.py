@@ -53,7 +53,7 @@ def mutate_lowercase(t):
 )
 def mutate_convert_int(t):
     lead = F.when(F.col("lang") == "en", "").when(F.col("lang") == "fr", " +").otherwise("x")
-    n = F.concat(lead, F.substring("source", 4, 10))
+    n = F.concat(lead, F.regexp_replace("source", "^src", ""))
     docs = t("documents").select("doc_id", n.alias("n"), (F.col("n_chars") / F.lit(8.0)).alias("f"))
     rows = docs.transform(mutate(convert_fields={"n": "int", "f": "int"}))
     return rows.select("doc_id", "n", "f", F.map_contains_key("metadata", "convert_error_n").alias("failed"))

@@ -287,13 +287,17 @@ def sink_index_name(t):
 
 @query(
     "sink_bulk_files",
-    f"""SELECT CAST(event_id AS VARCHAR) AS _id FROM events""",
+    f"""SELECT 'logs-' || strftime(ts, '%Y.%m.%d') AS _index, CAST(event_id AS VARCHAR) AS _id, {_DOCUMENT} AS _source FROM events""",
 )
 def sink_bulk_files(t):
-    """Bulk request files written and read back: every action line with its document line."""
-    folder = shared_dir(t.spark, "bulk")
-    search.write_bulk_files(_typed_events(t), folder)
-    return t.spark.read.text(folder).select(F.get_json_object("value", "$.index._id").alias("_id")).where(F.col("_id").isNotNull())
+    """Bulk request files written and read back: every action line with the document line below it."""
+    folder, head = shared_dir(t.spark, "bulk"), '{"index":'
+    search.write_bulk_files(_typed_events(t), folder, requests_per_file=2)
+    pairs = t.spark.read.option("lineSep", head).text(folder).where("value <> ''").select(F.split("value", "\n").alias("line"))
+    action = F.concat(F.lit(head), F.col("line")[0])
+    return pairs.select(
+        F.get_json_object(action, "$.index._index").alias("_index"), F.get_json_object(action, "$.index._id").alias("_id"), F.col("line")[1].alias("_source")
+    )
 
 
 @query(

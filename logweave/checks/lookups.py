@@ -259,6 +259,55 @@ def enrich_user_agent(t):
     )
 
 
+# Agents of ten products on five platforms: platform with system, its version, device and kind; product with family and version.
+_PLATFORMS = (
+    ("Windows NT 6.1; WOW64", "Windows", "(7,)", "Other", "pc"),
+    ("Macintosh; Intel Mac OS X 10_15_7", "Mac OS X", "(10, 15, 7)", "Mac", "pc"),
+    ("X11; CrOS x86_64 14541.0.0", "Chrome OS", "(14541, 0, 0)", "Other", "pc"),
+    ("Linux; Android 13; SM-T870", "Android", "(13,)", "Samsung", "tablet"),
+    ("Linux; Android 9.1; Pixel 7 Pro Build/TQ1", "Android", "(9, 1)", "Pixel", "mobile"),
+)
+_PRODUCTS = (
+    ("Chrome/91.0.4472.124 Safari/537.36", "Chrome", "(91, 0, 4472)"),
+    ("Chrome/120.0.0.0 Mobile Safari/537.36", "Chrome Mobile", "(120, 0, 0)"),
+    ("Chrome/91.0.1 Safari/537.36 Edg/91.0.864.59", "Edge", "(91, 0, 864)"),
+    ("Chrome/90.0.1 Safari/537.36 OPR/76.0", "Opera", "(76, 0)"),
+    ("SamsungBrowser/23.0 Chrome/115.0.0.0 Safari/537.36", "Samsung Internet", "(23, 0)"),
+    ("Gecko/20100101 Firefox/115", "Firefox", "(115,)"),
+    ("Version/16.1 Safari/605.1.15", "Safari", "(16, 1)"),
+    ("Version/16.1.2 Mobile/15E148 Safari/605.1.15", "Mobile Safari", "(16, 1, 2)"),
+    ("Trident/7.0; rv:11.0 like Gecko", "IE", "(11, 0)"),
+    ("Unknown Product 4", "Other", "()"),
+)
+
+
+def _cases(rows, column: int, position: str) -> str:
+    return f"CASE {position} " + " ".join(f"WHEN {i} THEN '{row[column]}'" for i, row in enumerate(rows)) + " END"
+
+
+@query(
+    "enrich_user_agent_products",
+    f"""SELECT event_id, {_cases(_PRODUCTS, 1, "event_id % 10")} AS browser, {_cases(_PRODUCTS, 2, "event_id % 10")} AS version,
+    {_cases(_PLATFORMS, 1, "event_id // 10 % 5")} AS system, {_cases(_PLATFORMS, 2, "event_id // 10 % 5")} AS system_version,
+    {_cases(_PLATFORMS, 3, "event_id // 10 % 5")} AS device, {_cases(_PLATFORMS, 4, "event_id // 10 % 5")} AS kind,
+    CASE event_id // 10 % 5 WHEN 3 THEN 'SM-T870' WHEN 4 THEN 'Pixel 7 Pro' WHEN 1 THEN 'Mac' END AS model FROM events""",
+)
+def enrich_user_agent_products(t):
+    """Fifty agents."""
+    def nth(rows, position):
+        return F.get(F.array(*(F.lit(row[0]) for row in rows)), position.cast("int"))
+
+    agent = F.concat(
+        F.lit("Mozilla/5.0 ("), nth(_PLATFORMS, F.floor(F.col("event_id") / 10) % 5), F.lit(") AppleWebKit/537.36 "), nth(_PRODUCTS, F.col("event_id") % 10)
+    )
+    rows = t("events").select("event_id", agent.alias("agent")).transform(user_agent("agent", "ua"))
+    kind = F.when(F.col("ua.is_mobile"), "mobile").when(F.col("ua.is_tablet"), "tablet").when(F.col("ua.is_pc"), "pc")
+    return rows.select(
+        "event_id", F.col("ua.browser_family").alias("browser"), F.col("ua.browser_version").alias("version"), F.col("ua.os_family").alias("system"),
+        F.col("ua.os_version").alias("system_version"), F.col("ua.device_family").alias("device"), kind.alias("kind"), F.col("ua.device_model").alias("model"),
+    )
+
+
 @query("enrich_none", "SELECT event_id, event_type FROM events")
 def enrich_none(t):
     from logweave.operators.enrich import enrich

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, functions as F
 
@@ -13,7 +15,8 @@ from logweave.functions import regex
 class Rule:
     """``pattern`` finds the product; its group is the version.
 
-    ``version`` gives the version where the text does not spell it.
+    ``version`` gives the version where the text does not spell it. ``marks`` are texts in lower case, one of
+    which every match holds in some case; a plain search for them spares other texts a pattern without a literal of its own.
     """
 
     pattern: str
@@ -21,17 +24,19 @@ class Rule:
     brand: str | None = None
     version: str | None = None
     kind: str = ""  # mobile, tablet, pc or bot
+    marks: tuple[str, ...] = ()
 
 
+_CRAWLERS = ("bot", "spider", "crawler", "slurp")
 _V3 = r"(\d+(?:[._]\d+){0,2})"
 
 # Product tokens browsers, systems and devices announce themselves with.
 BROWSERS = (
     Rule(rf"Googlebot(?:/{_V3})?", "Googlebot", kind="bot"),
-    Rule(rf"(?i)bingbot(?:/{_V3})?", "bingbot", kind="bot"),
-    Rule(rf"(?i)(?:bot|spider|crawler|slurp)\b(?:/{_V3})?", "Other", kind="bot"),
+    Rule(rf"(?i)bingbot(?:/{_V3})?", "bingbot", kind="bot", marks=("bingbot",)),
+    Rule(rf"(?i)(?:bot|spider|crawler|slurp)\b(?:/{_V3})?", "Other", kind="bot", marks=_CRAWLERS),
     Rule(rf"Edg(?:e|A|iOS)?/{_V3}", "Edge"),
-    Rule(rf"(?:OPR|Opera)[/ ]{_V3}", "Opera"),
+    Rule(rf"(?:OPR|Opera)[/ ]{_V3}", "Opera", marks=("opr", "opera")),
     Rule(rf"SamsungBrowser/{_V3}", "Samsung Internet"),
     Rule(rf"FxiOS/{_V3}", "Firefox iOS"),
     Rule(rf"CriOS/{_V3}", "Chrome Mobile iOS"),
@@ -61,24 +66,26 @@ SYSTEMS = (
     Rule(r"Linux", "Linux", version=""),
 )
 DEVICES = (
-    Rule(r"(?i)bot\b|spider|crawler|slurp", "Spider", brand="Spider", kind="bot"),
+    Rule(r"(?i)bot\b|spider|crawler|slurp", "Spider", brand="Spider", kind="bot", marks=_CRAWLERS),
     Rule(r"iPad", "iPad", brand="Apple", kind="tablet"),
     Rule(r"iPhone", "iPhone", brand="Apple", kind="mobile"),
     Rule(r"(SM-T\w+)", "Samsung", brand="Samsung", kind="tablet"),
     Rule(r"(SM-\w+)", "Samsung", brand="Samsung", kind="mobile"),
-    Rule(r"(Pixel [\w ]+?) Build|(Pixel [\w ]+?)\)", "Pixel", brand="Google", kind="mobile"),
-    Rule(r"Android.*Mobile|Mobile.*Firefox", "Generic Smartphone", brand="Generic", kind="mobile"),
+    Rule(r"(Pixel [\w ]+?)(?: Build|\))", "Pixel", brand="Google", kind="mobile"),
+    Rule(r"Android.*Mobile|Mobile.*Firefox", "Generic Smartphone", brand="Generic", kind="mobile", marks=("mobile",)),
     Rule(r"Android", "Generic Tablet", brand="Generic", kind="tablet"),
     Rule(r"Macintosh", "Mac", brand="Apple", kind="pc"),
-    Rule(r"Windows NT|X11|CrOS", "Other", kind="pc"),
+    Rule(r"Windows NT|X11|CrOS", "Other", kind="pc", marks=("windows nt", "x11", "cros")),
 )
 
 
-def first_rule(text: Column, rules: tuple[Rule, ...]) -> Column:
-    """Position of the first rule that applies, NULL if none does."""
+def first_rule(text: Column, lowered: Column, rules: tuple[Rule, ...]) -> Column:
+    """Position of the first rule that applies, NULL if none does; ``lowered`` is the text in lower case."""
     chain = None
     for i, rule in enumerate(rules):
         hit = regex.found(text, regex.compile_pattern(rule.pattern))
+        if rule.marks:
+            hit = reduce(or_, (F.contains(lowered, F.lit(mark)) for mark in rule.marks)) & hit
         chain = F.when(hit, F.lit(i)) if chain is None else chain.when(hit, F.lit(i))
     return chain
 
@@ -100,6 +107,6 @@ def found_version(text: Column, position: Column, rules: tuple[Rule, ...]) -> Co
 
 def version_text(version: Column) -> Column:
     """``91.0.4472`` as ``(91, 0, 4472)``, ``7`` as ``(7,)``."""
-    parts = F.regexp_replace(version, "[._]", ", ")
+    parts = F.replace(F.translate(version, "_", "."), F.lit("."), F.lit(", "))
     single = (version != "") & ~F.contains(parts, F.lit(","))
     return F.concat(F.lit("("), parts, F.when(single, F.lit(",")).otherwise(F.lit("")), F.lit(")"))

@@ -248,8 +248,9 @@ def user_agent(
     def run(df: DataFrame) -> DataFrame:
         out = _begin(df, source_field, ignore_missing)
         text, other, none = F.col(_KEY), F.lit("Other"), F.lit(None).cast("string")
+        out = once(out, "_lowered", F.lower(text))
         for column, rules in {"_browser": browsers, "_system": systems, "_device": devices}.items():
-            out = once(out, column, ua.first_rule(text, rules))
+            out = once(out, column, ua.first_rule(text, F.col("_lowered"), rules))
         out = once(out, "_browser_version", ua.found_version(text, F.col("_browser"), browsers))
         out = once(out, "_system_version", ua.found_version(text, F.col("_system"), systems))
         browser, system, device = F.col("_browser"), F.col("_system"), F.col("_device")
@@ -276,7 +277,7 @@ def user_agent(
             bot.alias("is_bot"),
         )
         out = _end(out, target_field, F.when(F.col(_KEY).isNotNull(), info), preserve_existing)
-        return out.drop("_browser", "_system", "_device", "_browser_version", "_system_version")
+        return out.drop("_lowered", "_browser", "_system", "_device", "_browser_version", "_system_version")
 
     return Step("useragent", finish=run)
 

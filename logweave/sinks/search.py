@@ -45,11 +45,18 @@ def bulk_lines(actions: DataFrame) -> DataFrame:
     return actions.select(F.concat(action, F.lit("\n"), F.col("_source")).alias("value"))
 
 
-def write_bulk_files(df: DataFrame, path: str, index: str = INDEX, batch_size: int = 1000, append: bool = True, batch_id: int | None = None) -> None:
-    """Bulk request files of at most ``batch_size`` actions each; a micro-batch has a folder of its own."""
+def write_bulk_files(
+    df: DataFrame, path: str, index: str = INDEX, batch_size: int = 1000, append: bool = True, batch_id: int | None = None, requests_per_file: int = 100
+) -> None:
+    """Files of at most ``requests_per_file`` bulk requests of ``batch_size`` actions each, one after the other.
+
+    A request is the next ``2 * batch_size`` lines of a file: no text of an action holds a line end. A micro-batch has a folder of its own.
+    """
+    if batch_size < 1 or requests_per_file < 1:
+        raise ValueError("batch_size and requests_per_file must be positive")
     path, append = batch_folder(df, path, append, batch_id)
     lines = bulk_lines(bulk_actions(df, index))
-    lines.write.option("maxRecordsPerFile", int(batch_size)).mode("append" if append else "overwrite").text(path)
+    lines.write.option("maxRecordsPerFile", int(batch_size) * int(requests_per_file)).mode("append" if append else "overwrite").text(path)
 
 
 def connector_options(

@@ -195,6 +195,15 @@ def test_write_objects(make_events, spark, tmp_path):
     assert {json.loads(r.value)["id"] for r in found.collect()} == {"e0", "e1", "e2", "e3"}
 
 
+def test_bulk_files_hold_several_requests(make_events, tmp_path):
+    df = make_events([{"n": i, "text": "two\nlines"} for i in range(25)]).coalesce(1)
+    search.write_bulk_files(df, str(tmp_path / "bulk"), batch_size=3, requests_per_file=4)
+    sizes = sorted(len(p.read_text().splitlines()) for p in (tmp_path / "bulk").glob("part-*"))
+    assert sizes == [2, 24, 24]
+    with pytest.raises(ValueError):
+        search.write_bulk_files(df, str(tmp_path / "none"), batch_size=0)
+
+
 def test_bulk(make_events, spark, tmp_path):
     df = _sink_events(make_events)
     actions = search.bulk_actions(df, "logs-{yyyy.MM.dd}-{HH}").orderBy("_id").collect()
