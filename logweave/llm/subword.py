@@ -72,9 +72,9 @@ class Vocabulary:
                 self.ids[piece] = i
                 self.text[i] = piece.replace(SPACE, " ").encode()
                 ordinary.append(i)
-        weight = (np.arange(len(ordinary)) + 2.7) ** -alpha
+        weight = -alpha * np.log(np.arange(len(ordinary)) + 2.7)
         self.log_weight = np.full(model.vocab_size(), -np.inf)
-        self.log_weight[ordinary] = np.log(weight / weight.sum())
+        self.log_weight[ordinary] = weight - np.log(np.exp(weight - weight.max()).sum()) - weight.max()
         self.least = float(self.log_weight[ordinary].min())  # of a character in bytes
         # All beginnings of pieces as states; (state, next character) leads to a state, by binary search.
         state = {"": 0}
@@ -125,7 +125,7 @@ class Lattices:
 
     def forget(self) -> None:
         self.number: dict[str, int] = {}
-        types = {"word": np.int64, "node": np.int64, "upto": np.float64, "length": np.int64, "piece": np.int32, "log": np.float64}
+        types = {"word": np.int64, "node": np.int64, "upto": np.float64, "length": np.int32, "piece": np.int32, "log": np.float64, "other": np.float64}
         self.tables = {name: np.zeros(1 if name in ("word", "node") else 0, kind) for name, kind in types.items()}  # with room to grow
         self.used = {name: len(values) for name, values in self.tables.items()}
 
@@ -200,12 +200,32 @@ class Lattices:
             upto[here] += upto[here - 1]
             here, stop = here[here + 1 < stop] + 1, stop[here + 1 < stop]
         upto[node - 1] = 1.0
+        other = self._others(log, first[start], (node - first)[start])
         for word in words:
             self.number[word] = len(self.number)
         places, edges = self.used["node"] - 1, self.used["upto"]
-        for name, values in (("word", places + ends), ("node", edges + node), ("upto", upto), ("length", length), ("piece", piece), ("log", log)):
+        for name, values in (("word", places + ends), ("node", edges + node), ("upto", upto), ("length", length), ("piece", piece), ("log", log), ("other", other)):
             self._append(name, values)
 
+    @staticmethod
+    def _others(log: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """For every step the log probability of all other steps of its place, of which there are ``count`` from ``first`` on.
+
+        Next to a step that is all but certain they are added up themselves: what it lacks to 1 is lost in rounding.
+        """
+        other = np.full(len(log), -np.inf)
+        plain = np.flatnonzero((count > 1) & (log <= -1e-6))
+        other[plain] = np.log(-np.expm1(log[plain]))
+        sure = np.flatnonzero((count > 1) & (log > -1e-6))
+        if len(sure):
+            sizes = count[sure]
+            begin = np.cumsum(sizes) - sizes
+            each = np.repeat(first[sure] - begin, sizes) + np.arange(sizes.sum())
+            logs = np.where(each == np.repeat(sure, sizes), -np.inf, log[each])
+            top = np.maximum.reduceat(logs, begin)
+            other[sure] = top + np.log(np.add.reduceat(np.exp(logs - np.repeat(top, sizes)), begin))
+        return other
+
     def _edges(self, word: str) -> list[list[tuple[int, int, float]]]:
         """For every place of a word the steps from there: length, id (below 0: a character in bytes), probability."""
         at, tables = int(self.numbers([word])[0]), self.tables
@@ -312,7 +332,7 @@ def sample_batch(lattices: Lattices, texts: list[str], seeds: np.ndarray, sample
     at = np.concatenate([[0], np.cumsum([len(s) for s in split])]).astype(np.int64)
     tables = lattices.tables
     highest_of = _gumbel(uniform(seeds, 1 << 20, 0)).tolist()  # perturbed value of each text's first path
-    # Entries of the queues: (-highest value, tie, path, step, edges taken there, their mass).
+    # Entries of the queues: (-highest value, turn, step, path, edges taken there).
     queues: list[list] = [[] for _ in texts]
     emitted: list[list[Path]] = [[] for _ in texts]
     todo = [(d, None) for d in range(len(texts))]  # texts to draw a path for, and where it branches off
@@ -349,32 +369,34 @@ def sample_batch(lattices: Lattices, texts: list[str], seeds: np.ndarray, sample
             path = Path(e, n, w, logs, value)
             emitted[d].append(path)
             # What branches off at each new step; only as many can ever be opened as samples are left, and one more to compare with.
-            log = logs[fresh:]
-            some = np.flatnonzero(log < -1e-12)
+            other = tables["other"][e[fresh:]]
+            some = np.flatnonzero(other > -np.inf)
             if len(some):
-                location = path.before[fresh:][some] + np.log(-np.expm1(log[some]))
+                location = path.before[fresh:][some] + other[some]
                 u = uniform(seeds[d : d + 1], (1 << 21) + turn, fresh + some)
                 highest = _below(location, value, u)
                 for i in _greatest(highest, samples - turn):
                     t = fresh + int(some[i])
-                    heapq.heappush(queues[d], (-float(highest[i]), turn, t, path, (int(e[t]),), float(np.exp(log[some[i]]))))
+                    heapq.heappush(queues[d], (-float(highest[i]), turn, t, path, (int(e[t]),)))
         todo = []
         if turn + 1 == samples:
             break
         for d, queue in enumerate(queues):
             if len(emitted[d]) != turn + 1 or not queue:
                 continue
-            negative, origin_turn, t, path, closed, mass = heapq.heappop(queue)
+            negative, _, t, path, closed = heapq.heappop(queue)
             value, node = -negative, int(path.nodes[t])
-            open_ = [x for x in range(int(tables["node"][node]), int(tables["node"][node + 1])) if x not in closed and tables["log"][x] > -math.inf]
-            shares = np.exp(tables["log"][open_])
+            open_ = [x for x in range(int(tables["node"][node]), int(tables["node"][node + 1])) if x not in closed]
+            logs = tables["log"][open_]
+            shares = np.exp(logs - logs.max())
             u = uniform(seeds[d : d + 1], (1 << 22) + turn, t)[0]
-            chosen = open_[min(int(np.searchsorted(np.cumsum(shares) / shares.sum(), u)), len(open_) - 1)]
+            pick = min(int(np.searchsorted(np.cumsum(shares) / shares.sum(), u)), len(open_) - 1)
+            chosen = open_[pick]
             if len(open_) > 1:
-                rest = float(shares.sum() - math.exp(tables["log"][chosen]))
-                if rest > 0:
-                    again = float(_below(path.before[t] + math.log(rest), value, uniform(seeds[d : d + 1], (1 << 23) + turn, t))[0])
-                    heapq.heappush(queue, (-again, turn, t, path, (*closed, chosen), mass))
+                rest = np.delete(logs, pick)
+                rest = rest.max() + math.log(np.exp(rest - rest.max()).sum())
+                again = float(_below(path.before[t] + rest, value, uniform(seeds[d : d + 1], (1 << 23) + turn, t))[0])
+                heapq.heappush(queue, (-again, turn, t, path, (*closed, chosen)))
             word = int(path.words[t])
             into = node + int(tables["length"][chosen]) - int(tables["word"][flat[at[d] + word]])
             todo.append((d, (path, word, into, t, chosen, value)))

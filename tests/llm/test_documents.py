@@ -604,6 +604,22 @@ def test_all_segmentations_if_fewer():
     assert {tuple(r[0].tolist()) for r in rows} == set(paths) and all(r[3] == 0 for r in rows)
 
 
+@pytest.mark.parametrize("alpha", [3.0, 8.0, 100.0])
+def test_unlikely_segmentations_are_drawn_too(alpha):
+    lattices = subword.Lattices(subword.Vocabulary(model(), alpha))
+    words = subword.Lattices(subword.Vocabulary(model(), 1.0))
+    for text in ("ab", "cats"):
+        paths = all_paths(words, text)
+        rows = subword.sample_batch(lattices, [text], np.array([7], np.uint64), len(paths) + 1)[0]
+        assert {tuple(r[0].tolist()) for r in rows} == set(paths) and len(rows) == len(paths)
+        weight = {i: sum(lattices.vocabulary.log_weight[j] for j in i) for i in paths}
+        top = max(weight.values())
+        total = top + np.log(sum(np.exp(w - top) for w in weight.values()))
+        assert [r[1] for r in rows] == pytest.approx([weight[tuple(r[0].tolist())] - total for r in rows], abs=1e-6)
+        two = subword.sample_batch(lattices, [text] * 20, np.arange(20, dtype=np.uint64), 2)
+        assert all(len(r) == 2 for r in two)
+
+
 def test_segmentations_read_as_the_text(spark, frame, texts):
     rows = odd_frame(spark, frame).select("doc_id", "text").union(frame([(100 + i, t) for i, t in list(texts.items())[:40]]).select("doc_id", "text"))
     drawn = subword.encode_samples(rows, model(), samples=2)
