@@ -264,3 +264,31 @@ def test_default_checkpoint_lasts(spark, tmp_path, monkeypatch):
         streaming.start(Flow(spec), spark, available_now=True, on_error="fail").awaitTermination(60)
     assert (tmp_path / "checkpoint-lasting").is_dir()
     assert sorted(r.value for r in spark.read.text(str(tmp_path / "out")).collect()) == ["a", "b"]
+
+
+def test_tasks_write_files_of_several_keys(spark, tmp_path):
+    from logweave.sinks.sizing import dealt_by_bytes
+
+    def lines(n):
+        return spark.range(12 * n).select(F.concat(F.lit("line "), F.col("id").cast("string")).alias("value"), F.format_string("%02d", F.col("id") % 12).alias("hour"))
+
+    def files(n, size):
+        dealt = dealt_by_bytes(lines(n), ["hour"], size, str(tmp_path / f"scratch-{n}-{size}"))
+        rows = dealt.select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"), "hour", "value").orderBy("part", "at").collect()
+        found = {}
+        for r in rows:
+            found.setdefault((r["part"], r["hour"]), []).append(r["value"])
+        return dealt.rdd.getNumPartitions(), found
+
+    parts, found = files(500, 200)
+    assert parts == max(sum(h == hour for _, h in found) for _, hour in found) < len(found) / 10
+    sizes = {key: sum(len(v) + 1 for v in values) for key, values in found.items()}
+    for hour in {h for _, h in found}:
+        own = sorted(n for (_, h), n in sizes.items() if h == hour)
+        assert all(185 <= n <= 215 for n in own[1:]) and own[0] <= 215  # but for one, the rest
+        numbers = [int(v.split()[1]) for (_, h), values in found.items() if h == hour for v in values]
+        assert sorted(numbers) == list(range(int(hour), 6000, 12))
+    for values in found.values():
+        numbers = [int(v.split()[1]) for v in values]
+        assert numbers == list(range(numbers[0], numbers[-1] + 1, 12))  # a stretch of the hour, in order
+    assert files(3, 10_000)[0] <= 12  # twelve small files need no more tasks
