@@ -6,7 +6,7 @@ or no longer begins as it did (an inode given away anew). Only whole lines are d
 end. What a batch covers follows from its two offsets alone, so a batch that is run again has the same lines.
 
 The driver looks at the files' ends; executors read them, in splits of ``split_bytes``, so the files must lie on a file
-system that all of them mount. Object stores know no appends: use ``objects`` there. The offset names every file of the
+system that all of them mount. A task reads several splits or files where there are more than enough of them for ``tasks`` tasks, up to 64 MiB. Object stores know no appends: use ``objects`` there. The offset names every file of the
 pattern, some 250 bytes each.
 
 A file that is renamed out of the pattern loses what was added to it after the last batch; a pattern that covers the
@@ -29,6 +29,8 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 SPLIT = 64 << 20
 _BLOCK = 1 << 16  # bytes looked at in one go for the last line end
 _HEAD = 64  # first bytes by which a file is known again
+_OPEN = 1 << 14  # bytes that opening a file counts as
+TASKS = 48  # that a batch is dealt to at least, if it has as many splits
 _ROWS, _BYTES = 10_000, 4 << 20  # of one batch for Spark
 
 
@@ -41,7 +43,7 @@ def local_path(path: str) -> str:
 
 
 @dataclass
-class Stretch(InputPartition):
+class Stretch:
     """Bytes ``start`` to ``stop`` of a file; whole lines from ``first`` on, each to the stretch that it begins in."""
 
     path: str
@@ -51,6 +53,13 @@ class Stretch(InputPartition):
     stop: int
 
 
+@dataclass
+class Share(InputPartition):
+    """What one task reads."""
+
+    stretches: list[Stretch]
+
+
 class GrowingFiles(DataSource):
     """``value``, ``path``, ``file`` (device and inode) and ``position`` (in bytes) of each line."""
 
@@ -71,6 +80,7 @@ class GrowingReader(DataSourceStreamReader):
         self.path = local_path(given["path"])
         self.from_start = given.get("read_from_start", "false").lower() == "true"
         self.split = int(given.get("split_bytes", SPLIT))
+        self.tasks = int(given.get("tasks", TASKS))
         self.strict = given.get("fail_on_loss", "true").lower() == "true"
         self.ends: dict[str, tuple[int, int]] = {}  # size and last line end, of files as last seen
 
@@ -96,7 +106,20 @@ class GrowingReader(DataSourceStreamReader):
         self.ends = ends
         return offset
 
-    def partitions(self, start: dict, end: dict) -> list[Stretch]:
+    def partitions(self, start: dict, end: dict) -> list[Share]:
+        stretches = self._stretches(start, end)
+        costs = [s.stop - s.start + _OPEN for s in stretches]
+        most = min(-(-sum(costs) // self.tasks), SPLIT)
+        shares, held = [], 0
+        for stretch, cost in zip(stretches, costs):
+            if not shares or held + cost > most:
+                shares.append(Share([]))
+                held = 0
+            shares[-1].stretches.append(stretch)
+            held += cost
+        return shares
+
+    def _stretches(self, start: dict, end: dict) -> list[Stretch]:
         stretches = []
         for key, now in end.items():
             before = start.get(key, {"end": 0, "head": ""})
@@ -106,7 +129,11 @@ class GrowingReader(DataSourceStreamReader):
                 stretches.append(Stretch(now["path"], key, first, at, min(at + self.split, now["end"])))
         return stretches
 
-    def read(self, partition: Stretch) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Share) -> Iterator[pa.RecordBatch]:
+        for stretch in partition.stretches:
+            yield from self._read(stretch)
+
+    def _read(self, partition: Stretch) -> Iterator[pa.RecordBatch]:
         path = _find(partition.path, partition.file)
         if path is None:
             if self.strict:
@@ -191,4 +218,5 @@ def growing_lines(
     """The lines of a live file, of all files in a folder or of a pattern, as a stream of ``GrowingFiles`` rows."""
     spark.dataSource.register(GrowingFiles)
     reader = spark.readStream.format(GrowingFiles.name()).option("path", local_path(path))
-    return reader.options(read_from_start=read_from_start, split_bytes=split_bytes, fail_on_loss=fail_on_loss).load()
+    tasks = max(TASKS, 4 * spark.sparkContext.defaultParallelism)
+    return reader.options(read_from_start=read_from_start, split_bytes=split_bytes, fail_on_loss=fail_on_loss, tasks=tasks).load()

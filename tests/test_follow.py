@@ -94,6 +94,25 @@ def test_splits_cut_no_line(tmp_path, split):
     assert [p for _, p in found] == [sum(len(x) + 1 for x in lines[:i]) for i in range(len(lines))]
 
 
+def test_tasks_read_several_splits_and_files(tmp_path):
+    (tmp_path / "big.log").write_bytes(b"".join(b"%05d\n" % i for i in range(20_000)))  # 6,000 splits
+    for i in range(300):
+        (tmp_path / f"small-{i:03}.log").write_bytes(b"x%03d\n" % i)
+    reader = _reader(tmp_path, read_from_start=True, split_bytes=20, tasks=10)
+    end = reader.latestOffset()
+    assert 10 <= len(reader.partitions({}, end)) <= 20
+    found = _lines(reader, {}, end)
+    assert [v for v, _ in found] == [b"%05d" % i for i in range(20_000)] + [b"x%03d" % i for i in range(300)]
+    assert [p for _, p in found] == [6 * i for i in range(20_000)] + [0] * 300
+    # No task reads more than 64 MiB, however few are wanted.
+    with open(tmp_path / "wide.log", "wb") as file:
+        file.truncate((200 << 20) - 1)
+        file.seek(0, 2)
+        file.write(b"\n")
+    wide = _reader(tmp_path / "wide.log", read_from_start=True, split_bytes=1 << 20, tasks=1)
+    assert 4 <= len(wide.partitions({}, wide.latestOffset())) <= 5
+
+
 def test_last_line_end_far_back(tmp_path):
     (tmp_path / "x.log").write_bytes(b"short\n" + b"y" * 300_000)
     (tmp_path / "empty.log").write_bytes(b"")
