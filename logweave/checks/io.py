@@ -1,6 +1,8 @@
 """Sources, sinks, the event model and the counters."""
 
-from pyspark.sql import functions as F
+import math
+
+from pyspark.sql import Window, functions as F
 
 from logweave.checks.base import ISO, LEVEL, field_text, level, open_events, query
 from logweave.files import stage
@@ -11,6 +13,7 @@ from logweave.model import event_document, from_documents
 from logweave.operators.base import reason
 from logweave.operators.custom import python_step
 from logweave.operators.filter import filter_events
+from logweave.operators.joins import fits_broadcast, left_lookup
 from logweave.operators.json import parse_json
 from logweave.session import setting, shared_dir
 from logweave.sinks import lines as out, search
@@ -32,11 +35,17 @@ def source_file_scan(t):
     return src.files(t.spark, _text_folder(t, "scan")).select("raw_data", "source_type")
 
 
+ORDERED_BYTES = 32 << 20  # about, of what one task of ``_ordered_folder`` writes
+
+
 def _ordered_folder(t, label):
-    """As ``_text_folder``, one file per language with the documents in the order of their ids."""
+    """As ``_text_folder``, the documents of a language in the order of their ids, over files whose names sort in that order."""
     folder = shared_dir(t.spark, label)
     docs = t("documents").where("text IS NOT NULL").select("text", "lang", "doc_id")
-    docs.repartition("lang").sortWithinPartitions("lang", "doc_id").select("text", "lang").write.partitionBy("lang").text(folder)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    order = ("lang", "doc_id", F.xxhash64("text"))  # documents of the same id need not stay together
+    ordered = docs.repartitionByRange(math.ceil(size / ORDERED_BYTES) or 1, *order).sortWithinPartitions(*order)
+    ordered.select("text", "lang").write.partitionBy("lang").text(folder)
     return folder
 
 
@@ -46,10 +55,16 @@ def _ordered_folder(t, label):
     (SELECT lang, doc_id, unnest(str_split(text, e'\n')) AS line, generate_subscripts(str_split(text, e'\n'), 1) AS n FROM documents WHERE text IS NOT NULL)""",
 )
 def source_file_position(t):
-    """The position of every line in its file, in splits of 64 KiB."""
+    """The position of every line among those of its language: that in its file, in splits of 64 KiB, after the files before."""
     with setting(t.spark, "spark.sql.files.maxPartitionBytes", "64k"):
         lines = src.with_file_position(src._lines(t.spark, _ordered_folder(t, "position")))
-    return stage(lines.select(F.regexp_extract("path", "lang=([^/]+)/", 1).alias("lang"), F.col("value").alias("line"), "position"), shared_dir(t.spark, "positions"))
+    lang = F.regexp_extract("path", "lang=([^/]+)/", 1).alias("lang")
+    rows = stage(lines.select("path", lang, F.col("value").alias("line"), "position"), shared_dir(t.spark, "positions"))
+    lengths = rows.groupBy("lang", "path").agg(F.max(F.col("position") + F.length("line") + 1).alias("_length"))
+    before = Window.partitionBy("lang").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
+    starts = stage(lengths.select("path", F.coalesce(F.sum("_length").over(before), F.lit(0)).alias("_start")), shared_dir(t.spark, "starts"))
+    placed = left_lookup(rows, starts, "path", fits_broadcast(starts))
+    return placed.select("lang", "line", (F.col("position") + F.col("_start")).alias("position"))
 
 
 @query("stable_ids", "SELECT count(*) AS n_lines, count(*) AS n_ids, CAST(0 AS BIGINT) AS changed FROM (SELECT unnest(str_split(text, e'\n')) AS line FROM documents WHERE text IS NOT NULL) WHERE trim(line, e' \t\n\r') <> ''")

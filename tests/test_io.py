@@ -267,3 +267,30 @@ def test_offsets_over_batches_and_splits(spark, tmp_path):
     finally:
         for key in ("spark.sql.files.maxPartitionBytes", "spark.sql.execution.arrow.maxRecordsPerBatch"):
             spark.conf.unset(key)
+
+
+def test_ordered_files_are_cut_and_positions_go_on(spark, tmp_path, monkeypatch):
+    import random
+
+    from logweave.checks import QUERIES, io
+
+    draw = random.Random(5)
+    rows = [(i, "\n".join("word " * draw.randint(0, 9) for _ in range(draw.randint(1, 5))), draw.choice(["en", "en", "de"])) for i in range(300)]
+    draw.shuffle(rows)
+    rows += [(1000, None, "en"), (1001, "", "de"), (1002, "é日", "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(io, "ORDERED_BYTES", 2000)
+    written = []
+    monkeypatch.setattr(io, "shared_dir", lambda spark, label: written.append(f"{tmp_path}/{label}-{len(written)}") or written[-1])
+    expected, at = [], {}
+    for _, text, lang in sorted((r for r in rows if r[1] is not None), key=lambda r: r[0]):
+        for line in text.split("\n"):
+            expected.append((lang, line, at.get(lang, 0)))
+            at[lang] = at.get(lang, 0) + len(line) + 1
+    found = QUERIES["source_file_position"](spark, str(tmp_path))
+    assert sorted(tuple(r) for r in found.select("lang", "line", "position").collect()) == sorted(expected)
+    sizes = [len(file.read_bytes()) for file in (tmp_path / "position-0").glob("lang=*/*.txt")]
+    assert len(sizes) > 6 and max(sizes) < 8000 < sum(sizes)  # no task has a language to itself
+    ids = QUERIES["stable_ids"](spark, str(tmp_path)).first().asDict()
+    n = sum(line.strip(" \t\r") != "" for _, line, _ in expected)
+    assert ids == {"n_lines": n, "n_ids": n, "changed": 0}
