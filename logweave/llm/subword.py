@@ -46,6 +46,8 @@ SPACE = "▁"
 KNOWN = 120_000  # words a worker remembers; beyond that it begins anew
 CHARS = 1 << 18  # characters segmented at a time
 BLOCK = 1 << 16  # pieces decoded at a time
+NEAR = 1e-12  # what a step lacks to 1 where the others are added up themselves
+GREATEST = 37.0  # a Gumbel variable of 53 random bits is further above its location once in 2**53 draws, if ever
 UNIT = re.compile(f"{SPACE}+[^{SPACE}]*")
 RESULT = "array<struct<ids: array<int>, log_prob: double, perturbed: double, log_inclusion: double>>"
 
@@ -125,7 +127,7 @@ class Lattices:
 
     def forget(self) -> None:
         self.number: dict[str, int] = {}
-        types = {"word": np.int64, "node": np.int64, "upto": np.float64, "length": np.int32, "piece": np.int32, "log": np.float64, "other": np.float64}
+        types = {"word": np.int64, "node": np.int64, "upto": np.float64, "length": np.int64, "piece": np.int32, "log": np.float64}
         self.tables = {name: np.zeros(1 if name in ("word", "node") else 0, kind) for name, kind in types.items()}  # with room to grow
         self.used = {name: len(values) for name, values in self.tables.items()}
 
@@ -200,31 +202,23 @@ class Lattices:
             upto[here] += upto[here - 1]
             here, stop = here[here + 1 < stop] + 1, stop[here + 1 < stop]
         upto[node - 1] = 1.0
-        other = self._others(log, first[start], (node - first)[start])
+        sure = np.flatnonzero(log == 0.0)  # a step is 0 only where it is the only one
+        log[sure[node[start[sure]] > first[start[sure]] + 1]] = -1e-300
         for word in words:
             self.number[word] = len(self.number)
         places, edges = self.used["node"] - 1, self.used["upto"]
-        for name, values in (("word", places + ends), ("node", edges + node), ("upto", upto), ("length", length), ("piece", piece), ("log", log), ("other", other)):
+        for name, values in (("word", places + ends), ("node", edges + node), ("upto", upto), ("length", length), ("piece", piece), ("log", log)):
             self._append(name, values)
 
-    @staticmethod
-    def _others(log: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """For every step the log probability of all other steps of its place, of which there are ``count`` from ``first`` on.
-
-        Next to a step that is all but certain they are added up themselves: what it lacks to 1 is lost in rounding.
-        """
-        other = np.full(len(log), -np.inf)
-        plain = np.flatnonzero((count > 1) & (log <= -1e-6))
-        other[plain] = np.log(-np.expm1(log[plain]))
-        sure = np.flatnonzero((count > 1) & (log > -1e-6))
-        if len(sure):
-            sizes = count[sure]
-            begin = np.cumsum(sizes) - sizes
-            each = np.repeat(first[sure] - begin, sizes) + np.arange(sizes.sum())
-            logs = np.where(each == np.repeat(sure, sizes), -np.inf, log[each])
-            top = np.maximum.reduceat(logs, begin)
-            other[sure] = top + np.log(np.add.reduceat(np.exp(logs - np.repeat(top, sizes)), begin))
-        return other
+    def others(self, nodes: np.ndarray, edges: np.ndarray) -> np.ndarray:
+        """The log probability of all other steps of the places of these steps, which have some, added up themselves."""
+        first = self.tables["node"][nodes]
+        sizes = self.tables["node"][nodes + 1] - first
+        begin = np.cumsum(sizes) - sizes
+        each = np.repeat(first - begin, sizes) + np.arange(sizes.sum())
+        logs = np.where(each == np.repeat(edges, sizes), -np.inf, self.tables["log"][each])
+        top = np.maximum.reduceat(logs, begin)
+        return top + np.log(np.add.reduceat(np.exp(logs - np.repeat(top, sizes)), begin))
 
     def _edges(self, word: str) -> list[list[tuple[int, int, float]]]:
         """For every place of a word the steps from there: length, id (below 0: a character in bytes), probability."""
@@ -369,13 +363,18 @@ def sample_batch(lattices: Lattices, texts: list[str], seeds: np.ndarray, sample
             path = Path(e, n, w, logs, value)
             emitted[d].append(path)
             # What branches off at each new step; only as many can ever be opened as samples are left, and one more to compare with.
-            other = tables["other"][e[fresh:]]
-            some = np.flatnonzero(other > -np.inf)
+            log, before, left = logs[fresh:], path.before[fresh:], samples - turn
+            some = np.flatnonzero(log < -NEAR)
+            highest = _below(before[some] + np.log(-np.expm1(log[some])), value, uniform(seeds[d : d + 1], (1 << 21) + turn, fresh + some))
+            # Next to a step that is all but certain, where rounding would lose what it lacks to 1, unless not even the greatest Gumbel value makes it one of them.
+            least = np.partition(highest, len(highest) - left)[len(highest) - left] if len(highest) >= left else -np.inf
+            near = np.flatnonzero((log >= -NEAR) & (log < 0) & (before > least - math.log(NEAR) - GREATEST))
+            if len(near):
+                location = before[near] + lattices.others(n[fresh:][near], e[fresh:][near])
+                highest = np.append(highest, _below(location, value, uniform(seeds[d : d + 1], (1 << 21) + turn, fresh + near)))
+                some = np.append(some, near)
             if len(some):
-                location = path.before[fresh:][some] + other[some]
-                u = uniform(seeds[d : d + 1], (1 << 21) + turn, fresh + some)
-                highest = _below(location, value, u)
-                for i in _greatest(highest, samples - turn):
+                for i in _greatest(highest, left):
                     t = fresh + int(some[i])
                     heapq.heappush(queues[d], (-float(highest[i]), turn, t, path, (int(e[t]),)))
         todo = []
