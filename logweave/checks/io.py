@@ -76,7 +76,9 @@ def stable_ids(t):
         with setting(t.spark, "spark.sql.files.maxPartitionBytes", size):
             rows = src.files(t.spark, folder, with_position=True) if way == "files" else src.objects(t.spark, folder, "lang=", scheme=None, stable_ids=True)
             read[way] = stage(rows.select("id", F.trim("raw_data").alias("raw_data")), shared_dir(t.spark, f"ids-{way}"))
-    both = read["files"].join(read["objects"].withColumnRenamed("raw_data", "other"), "id", "full")
+    # Ids alone are joined: whether a line is there, not the line.
+    there = {way: rows.select("id", F.when(F.col("raw_data").isNotNull(), True).alias(name)) for (way, rows), name in zip(read.items(), ("raw_data", "other"))}
+    both = there["files"].join(there["objects"], "id", "full")
     odd = F.count_if(F.col("raw_data").isNull() | F.col("other").isNull()).alias("changed")
     return both.agg(F.count(F.lit(1)).alias("n_lines"), F.count_distinct("id").alias("n_ids"), odd)
 
