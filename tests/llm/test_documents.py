@@ -620,6 +620,40 @@ def test_unlikely_segmentations_are_drawn_too(alpha):
         assert all(len(r) == 2 for r in two)
 
 
+def test_words_met_again_stay_known_when_memory_is_full(monkeypatch):
+    monkeypatch.setattr(subword, "KNOWN", 6)
+    lattices, added = subword.Lattices(subword.Vocabulary(model(), 1.0)), Counter()
+    add = lattices.add
+    monkeypatch.setattr(lattices, "add", lambda words: (added.update(w.lstrip("▁") for w in words), add(words)))
+    for i in range(20):
+        text, seed = f"the old{i} cat new{i} the", np.array([i], np.uint64)
+        found = subword.sample_batch(lattices, [text], seed, 2)[0]
+        alone = subword.sample_batch(subword.Lattices(lattices.vocabulary), [text], seed, 2)[0]
+        assert [(r[0].tolist(), *r[1:]) for r in found] == [(r[0].tolist(), *r[1:]) for r in alone]
+        assert len(lattices.number) <= 6 + 4
+    assert added["the"] == added["cat"] == 1 and added["old7"] == 1
+
+
+def test_texts_drawn_together_are_drawn_as_alone():
+    lattices = subword.Lattices(subword.Vocabulary(model(), 1.0))
+    texts = ["the cat sat", "", "a", " ", "  two  spaces ", "the▁cat", "日本語 \x01é", "line\nthe cat sat\t", "x", "the " * 50]
+    seeds = subword.mix(np.arange(len(texts), dtype=np.uint64))
+    together = subword.sample_batch(lattices, texts, seeds, 4)
+    for k, text in enumerate(texts):
+        alone = subword.sample_batch(subword.Lattices(lattices.vocabulary), [text], seeds[k : k + 1], 4)[0]
+        assert [(r[0].tolist(), *r[1:]) for r in together[k]] == [(r[0].tolist(), *r[1:]) for r in alone]
+    rows = subword._rows(together, lattices.vocabulary.byte).to_pylist()
+    assert [{lattices.vocabulary.decode(r["ids"]) for r in own} for own in rows] == [{t.replace("▁", " ")} for t in texts]
+
+
+def test_ids_are_decoded_across_blocks(monkeypatch):
+    monkeypatch.setattr(subword, "BLOCK", 2)
+    vocabulary = subword.Vocabulary(model(), 1.0)
+    byte, ids = vocabulary.byte, [vocabulary.ids["▁the"], vocabulary.ids["▁"]]
+    assert vocabulary.decode([*ids, *(byte[b] for b in "日".encode())]) == "the 日"
+    assert vocabulary.decode([byte[0xE6], *ids]) == "\ufffd the " and vocabulary.decode([]) == ""
+
+
 def test_segmentations_read_as_the_text(spark, frame, texts):
     rows = odd_frame(spark, frame).select("doc_id", "text").union(frame([(100 + i, t) for i, t in list(texts.items())[:40]]).select("doc_id", "text"))
     drawn = subword.encode_samples(rows, model(), samples=2)
